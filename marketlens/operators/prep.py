@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from marketlens.functions.scalars import uniform
 from marketlens.operators.quantiles import quantile_name, quantiles, with_row
 
-RARE = "__rare__"
+# Fixed value: the name under which rare categories appear in feature tables.
+RARE = "infrequent_sklearn"
 UNSEEN = "__unseen__"
 
 
@@ -54,15 +55,15 @@ def impute_mode(df: DataFrame, columns: list[str], fit_on: DataFrame | None = No
     return fill_from(df, fit_modes(df if fit_on is None else fit_on, columns))
 
 
-def standardize(
-    df: DataFrame, columns: list[str], fit_on: DataFrame | None = None, suffix: str = "_z"
-) -> DataFrame:
-    """Add (x - mean) / population std for each column; a constant column gives 0."""
-    source = df if fit_on is None else fit_on
-    stats = source.agg(
+def fit_scaler(df: DataFrame, columns: list[str]) -> DataFrame:
+    """One row: mean and population standard deviation of each column."""
+    return df.agg(
         *[F.avg(c).alias(f"_mean_{c}") for c in columns],
         *[F.stddev_pop(c).alias(f"_std_{c}") for c in columns],
     )
+
+
+def apply_scaler(df: DataFrame, columns: list[str], stats: DataFrame, suffix: str = "_z") -> DataFrame:
     scaled = [
         (
             (F.col(c) - F.col(f"_mean_{c}"))
@@ -73,6 +74,13 @@ def standardize(
     return with_row(df, stats).select(*df.columns, *scaled)
 
 
+def standardize(
+    df: DataFrame, columns: list[str], fit_on: DataFrame | None = None, suffix: str = "_z"
+) -> DataFrame:
+    """Add (x - mean) / population std for each column; a constant column gives 0."""
+    return apply_scaler(df, columns, fit_scaler(df if fit_on is None else fit_on, columns), suffix)
+
+
 def category_levels(df: DataFrame, column: str, min_count: int = 50) -> DataFrame:
     """Training categories and the level that each one is encoded as."""
     return (

@@ -112,3 +112,8 @@ def quantiles(df: DataFrame, requests: dict[str, list[float]], method: str = "ex
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
     """Attach the columns of a one-row frame to every row (a broadcast of that row)."""
     return df.crossJoin(F.broadcast(one_row))
+
+
+def frozen(one_row: DataFrame) -> DataFrame:
+    """Compute a one-row frame of fitted values now, so that later jobs do not compute it again."""
+    return one_row.sparkSession.createDataFrame([one_row.first()], one_row.schema)

@@ -204,3 +204,623 @@ for _name in [
     "ab_test_sample",
 ]:
     oracle(_name)
+
+
+# --- sources and sinks ---------------------------------------------------------------------------
+
+oracle(
+    "raw_csv_round_trip",
+    """SELECT CAST(order_id AS VARCHAR) AS order_id, CAST(customer_id AS VARCHAR) AS customer_id, order_status,
+              order_purchase_timestamp, order_delivered_customer_date, order_estimated_delivery_date
+       FROM t_orders""",
+)
+oracle("daily_sales_round_trip", "SELECT * FROM category_daily_sales WHERE year(order_date) = 1997")
+oracle(
+    "metrics_json_round_trip",
+    "SELECT ROUND(AVG(CASE WHEN order_count > 1 THEN 1 ELSE 0 END), 6) AS repeat_customer_rate FROM customer_features",
+)
+
+# --- growth views --------------------------------------------------------------------------------
+
+CTES["kpi"] = f"""
+    SELECT {money('payment_value')} AS total_revenue, COUNT(DISTINCT order_id) AS total_orders,
+           COUNT(DISTINCT customer_unique_id) AS total_customers, AVG(is_late_delivery) AS late_delivery_rate,
+           (SELECT AVG(CASE WHEN order_count > 1 THEN 1 ELSE 0 END) FROM customer_features) AS repeat_customer_rate,
+           (SELECT product_category FROM fact_orders GROUP BY product_category
+            ORDER BY {money('payment_value')} DESC, product_category LIMIT 1) AS top_category
+    FROM fact_orders"""
+
+
+def percent(x: str) -> str:
+    return f"printf('%.1f%%', floor({x} * 1000 + 0.5) / 10)"
+
+
+oracle(
+    "kpi_summary",
+    f"""SELECT total_revenue, total_orders, total_customers,
+               ROUND(total_revenue / total_orders, 6) AS avg_order_value,
+               ROUND(late_delivery_rate, 6) AS late_delivery_rate,
+               ROUND(repeat_customer_rate, 6) AS repeat_customer_rate,
+               top_category, {label('top_category')} AS top_category_display
+        FROM kpi""",
+)
+oracle(
+    "insight_lines",
+    f"""SELECT 'Category leader' AS title, {label('top_category')} || ' is the top filtered revenue category.' AS body FROM kpi
+        UNION ALL SELECT 'Repeat behavior', 'Only ' || {percent('repeat_customer_rate')} || ' of customers bought more than once.' FROM kpi
+        UNION ALL SELECT 'Delivery signal', {percent('late_delivery_rate')} || ' of filtered orders arrived after the estimated date.' FROM kpi""",
+)
+oracle(
+    "repeat_customer_rate",
+    "SELECT ROUND(AVG(CASE WHEN order_count > 1 THEN 1 ELSE 0 END), 6) AS repeat_customer_rate FROM customer_features",
+)
+oracle(
+    "filter_choices",
+    """SELECT DISTINCT 'state' AS choice, customer_state AS value FROM fact_orders
+       UNION ALL SELECT DISTINCT 'category', product_category FROM fact_orders
+       UNION ALL SELECT 'min_date', CAST(CAST(MIN(order_purchase_ts) AS DATE) AS VARCHAR) FROM fact_orders
+       UNION ALL SELECT 'max_date', CAST(CAST(MAX(order_purchase_ts) AS DATE) AS VARCHAR) FROM fact_orders""",
+)
+oracle(
+    "filtered_orders",
+    f"""SELECT * FROM fact_orders
+        WHERE CAST(order_purchase_ts AS DATE) BETWEEN DATE '1996-01-01' AND DATE '1998-12-31'
+          AND customer_state IN {_in(CORE_STATES)} AND product_category IN ('watches_gifts', 'sports_leisure')""",
+)
+oracle(
+    "daily_revenue",
+    f"""SELECT CAST(order_purchase_ts AS DATE) AS order_date, {money('payment_value')} AS revenue,
+               COUNT(DISTINCT order_id) AS orders FROM fact_orders GROUP BY 1""",
+)
+oracle(
+    "top_categories",
+    f"""SELECT product_category, {money('payment_value')} AS revenue, {label('product_category')} AS product_category_display
+        FROM fact_orders GROUP BY product_category ORDER BY revenue DESC, product_category LIMIT 10""",
+)
+oracle(
+    "top_states",
+    f"""SELECT customer_state, {money('payment_value')} AS revenue FROM fact_orders
+        GROUP BY customer_state ORDER BY revenue DESC, customer_state LIMIT 12""",
+)
+CTES["mix"] = f"""
+    SELECT customer_state, product_category, {label('product_category')} AS product_category_display,
+           {money('payment_value')} AS revenue,
+           {money('payment_value')} / (SELECT {money('payment_value')} FROM fact_orders) AS revenue_share
+    FROM fact_orders GROUP BY customer_state, product_category
+    ORDER BY revenue DESC, customer_state, product_category LIMIT 60"""
+oracle(
+    "state_category_mix",
+    f"""SELECT customer_state, product_category, product_category_display, revenue,
+               ROUND(revenue_share, 6) AS revenue_share, {percent('revenue_share')} AS share_label FROM mix""",
+)
+oracle(
+    "state_category_rollup",
+    f"""SELECT customer_state, product_category_display, {money('revenue')} AS revenue,
+               ROUND(SUM(revenue_share), 6) AS revenue_share,
+               CAST(GROUPING(customer_state, product_category_display) AS INT) AS level
+        FROM mix GROUP BY ROLLUP (customer_state, product_category_display)""",
+)
+oracle(
+    "first_orders",
+    "SELECT customer_unique_id, order_id, order_purchase_ts, payment_value FROM ranked_orders WHERE order_rank = 1",
+)
+oracle(
+    "feature_labels",
+    f"""SELECT DISTINCT 'categorical__first_product_category_' || product_category AS encoded,
+               'first_category=' || product_category AS feature,
+               'First category: ' || {label('product_category')} AS feature_display FROM fact_orders
+        UNION ALL SELECT DISTINCT 'categorical__first_customer_state_' || customer_state,
+               'state=' || customer_state, 'State: ' || {label('customer_state')} FROM fact_orders
+        UNION ALL SELECT DISTINCT 'categorical__first_payment_type_' || primary_payment_type,
+               'payment=' || primary_payment_type, 'Payment: ' || {label('primary_payment_type')} FROM fact_orders""",
+)
+
+# --- audit ---------------------------------------------------------------------------------------
+
+# Retail table, its building block, its columns.
+_RAW = {
+    "customers": ("t_customers", ["customer_id", "customer_unique_id", "customer_city", "customer_state"]),
+    "orders": (
+        "t_orders",
+        ["order_id", "customer_id", "order_status", "order_purchase_timestamp",
+         "order_delivered_customer_date", "order_estimated_delivery_date"],
+    ),
+    "order_items": (
+        "t_items", ["order_id", "order_item_id", "product_id", "seller_id", "price", "freight_value"],
+    ),
+    "order_payments": ("t_payments", ["order_id", "payment_type", "payment_installments", "payment_value"]),
+    "products": ("t_products", ["product_id", "product_category_name"]),
+    "category_translation": ("t_translation", ["product_category_name", "product_category_name_english"]),
+}
+_PROCESSED = [
+    "fact_orders", "customer_features", "category_daily_sales", "state_category_daily_sales",
+    "customer_repeat_features", "ab_test_sample",
+]
+
+
+def _check(name: str, status: str, value: str, number: str, detail: str, source: str) -> str:
+    return (
+        f"SELECT {name} AS \"check\", {status} AS status, CAST({value} AS VARCHAR) AS value, "
+        f"CAST({number} AS DOUBLE) AS value_num, '{detail}' AS detail {source}"
+    )
+
+
+def _count_check(name: str, count: str, detail: str, source: str, zero: bool = False) -> str:
+    status = "CASE WHEN n = 0 THEN 'pass' ELSE 'fail' END" if zero else "'pass'"
+    return _check(f"'{name}'", status, "n", "n", detail, f"FROM (SELECT {count} AS n {source})")
+
+
+def _null_rates(name: str, block: str, columns: list[str]) -> str:
+    each = " UNION ALL ".join(
+        f"SELECT '{c}' AS col, 1 - COUNT({c}) / COUNT(*)::DOUBLE AS rate FROM {block}" for c in columns
+    )
+    rows = f"(SELECT *, ROW_NUMBER() OVER (ORDER BY rate DESC, col) AS pos FROM ({each}))"
+    return _check(
+        f"'raw_null_rate__{name}__' || col",
+        "CASE WHEN rate > 0.25 THEN 'warn' ELSE 'pass' END",
+        "CAST(ROUND(rate, 4) AS DECIMAL(10,4))",
+        "ROUND(rate, 4)",
+        "Top raw missing-value rates",
+        f"FROM {rows} WHERE pos <= 5",
+    )
+
+
+def _orphans(check: str, child: str, parent: str, key: str, detail: str) -> str:
+    return _count_check(
+        f"referential_integrity__{check}",
+        "COUNT(*)",
+        detail,
+        f"FROM {child} c WHERE NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.{key} = c.{key})",
+        True,
+    )
+
+
+_DQ = {
+    "dq_raw_files": [
+        f"SELECT 'raw_file_exists__{name}' AS \"check\", 'pass' AS status, 'true' AS value, "
+        f"1.0::DOUBLE AS value_num, 'Required raw file {name}' AS detail"
+        for name in _RAW
+    ],
+    "raw_counts": [
+        _count_check(f"raw_row_count__{name}", "COUNT(*)", "Raw table row count", f"FROM {block}")
+        for name, (block, _) in _RAW.items()
+    ],
+    "processed_counts": [
+        _count_check(f"processed_row_count__{name}", "COUNT(*)", "Processed table row count", f"FROM {name}")
+        for name in _PROCESSED
+    ],
+    "dq_duplicate_keys": [
+        _count_check(
+            f"raw_duplicate_key_count__{name}",
+            "COALESCE(SUM(c - 1), 0)",
+            f"Duplicate count for {key}",
+            f"FROM (SELECT COUNT(*) AS c FROM {block} GROUP BY {key})",
+            True,
+        )
+        for name, block, key in [
+            ("customers", "t_customers", "customer_id"),
+            ("orders", "t_orders", "order_id"),
+            ("products", "t_products", "product_id"),
+            ("category_translation", "t_translation", "product_category_name"),
+        ]
+    ],
+    "dq_null_rates": [_null_rates(name, block, columns) for name, (block, columns) in _RAW.items()],
+    "dq_referential_integrity": [
+        _orphans("orders_to_customers", "t_orders", "t_customers", "customer_id",
+                 "Orders whose customer_id is missing from customers"),
+        _orphans("items_to_orders", "t_items", "t_orders", "order_id",
+                 "Order item rows whose order_id is missing from orders"),
+        _orphans("payments_to_orders", "t_payments", "t_orders", "order_id",
+                 "Payment rows whose order_id is missing from orders"),
+        _orphans("items_to_products", "t_items", "t_products", "product_id",
+                 "Order item rows whose product_id is missing from products"),
+    ],
+    "dq_fact_checks": [
+        _check("'fact_orders__positive_payment_rate'", "'pass'", "CAST(ROUND(r, 4) AS DECIMAL(10,4))", "ROUND(r, 4)",
+               "Share of fact orders with positive payment value",
+               "FROM (SELECT AVG(CASE WHEN payment_value > 0 THEN 1 ELSE 0 END) AS r FROM fact_orders)"),
+        _check("'fact_orders__date_range'", "'pass'",
+               "'{\"min_order_purchase_ts\":\"' || strftime(lo, '%Y-%m-%d %H:%M:%S') || "
+               "'\",\"max_order_purchase_ts\":\"' || strftime(hi, '%Y-%m-%d %H:%M:%S') || '\"}'",
+               "NULL", "Observed order purchase timestamp range",
+               "FROM (SELECT MIN(order_purchase_ts) AS lo, MAX(order_purchase_ts) AS hi FROM fact_orders)"),
+        _check("'customer_repeat_features__repeat_rate'", "'pass'", "CAST(ROUND(r, 4) AS DECIMAL(10,4))", "ROUND(r, 4)",
+               "Observed repeat purchase target rate",
+               "FROM (SELECT AVG(repeat_purchase_label) AS r FROM customer_repeat_features)"),
+    ],
+}
+
+
+def _union(parts: list[str]) -> str:
+    return "\nUNION ALL ".join(parts)
+
+
+for _name in ("dq_raw_files", "dq_duplicate_keys", "dq_null_rates", "dq_referential_integrity", "dq_fact_checks"):
+    oracle(_name, _union(_DQ[_name]))
+oracle("dq_row_counts", _union(_DQ["raw_counts"] + _DQ["processed_counts"]))
+_REPORT = _union([part for parts in _DQ.values() for part in parts])
+oracle("dq_report", _REPORT)
+oracle(
+    "dq_status_rollup",
+    f"""SELECT CASE WHEN COUNT(*) FILTER (status = 'fail') > 0 THEN 'fail' ELSE 'pass' END AS overall_status,
+               COUNT(*) FILTER (status = 'pass') AS passed, COUNT(*) FILTER (status = 'warn') AS warned,
+               COUNT(*) FILTER (status = 'fail') AS failed, COUNT(*) AS checks FROM ({_REPORT})""",
+)
+oracle("dq_status_counts", f"SELECT status, COUNT(*) AS checks FROM ({_REPORT}) GROUP BY status")
+oracle("dq_filtered_checks", f"SELECT * FROM ({_REPORT}) WHERE status IN ('pass', 'warn')")
+
+# --- forecasts -----------------------------------------------------------------------------------
+
+CTES["scopes"] = """
+    SELECT order_date, customer_state, product_category, revenue FROM state_category_daily_sales
+    UNION ALL SELECT order_date, 'ALL', product_category, revenue FROM state_category_daily_sales"""
+CTES["scope_sums"] = f"""
+    SELECT customer_state, product_category, order_date, {money('revenue')} AS revenue
+    FROM scopes GROUP BY 1, 2, 3"""
+CTES["scope_grid"] = """
+    SELECT customer_state, product_category,
+           CAST(unnest(generate_series(MIN(order_date), MAX(order_date), INTERVAL 1 DAY)) AS DATE) AS order_date
+    FROM scope_sums GROUP BY 1, 2"""
+CTES["daily_series"] = """
+    SELECT g.order_date, g.customer_state, g.product_category, COALESCE(s.revenue, 0.0::DOUBLE) AS revenue
+    FROM scope_grid g LEFT JOIN scope_sums s
+      ON g.customer_state = s.customer_state AND g.product_category = s.product_category AND g.order_date = s.order_date"""
+CTES["sized_series"] = """
+    SELECT *, CAST(LEAST(28, GREATEST(7, days // 8)) AS INT) AS width FROM (
+      SELECT *, COUNT(*) OVER (PARTITION BY customer_state, product_category) AS days,
+             ROW_NUMBER() OVER (PARTITION BY customer_state, product_category ORDER BY order_date DESC) AS back
+      FROM daily_series) WHERE days >= 35"""
+CTES["rolling"] = """
+    SELECT *, CASE WHEN COUNT(*) OVER w >= 7 THEN
+                CAST(SUM(CAST(ROUND(revenue * 100) AS BIGINT)) OVER w AS DOUBLE) / COUNT(*) OVER w / 100 END AS rolling_mean
+    FROM sized_series
+    WINDOW w AS (PARTITION BY customer_state, product_category ORDER BY order_date
+                 ROWS BETWEEN width - 1 PRECEDING AND CURRENT ROW)"""
+CTES["levels"] = """
+    SELECT customer_state, product_category, MAX(order_date) AS last_date,
+           AVG(revenue) FILTER (back <= width) AS level, stddev_samp(revenue - rolling_mean) AS residual_std
+    FROM rolling GROUP BY 1, 2"""
+CTES["ma_forecast"] = """
+    SELECT CAST(last_date + to_days(CAST(h AS INT)) AS DATE) AS order_date, customer_state, product_category,
+           ROUND(GREATEST(level, 0), 4) AS forecast_revenue,
+           ROUND(GREATEST(level - 1.2815515655446004::DOUBLE * residual_std * sqrt(h), 0), 4) AS lower_revenue,
+           ROUND(GREATEST(level + 1.2815515655446004::DOUBLE * residual_std * sqrt(h), 0), 4) AS upper_revenue
+    FROM levels, generate_series(1, 30) AS g(h)"""
+oracle(
+    "forecast_scope",
+    f"""SELECT customer_state, product_category, {money('revenue')} AS revenue FROM state_category_daily_sales
+        GROUP BY 1, 2 ORDER BY revenue DESC, customer_state, product_category LIMIT 1""",
+)
+oracle(
+    "forecast_scope_choices",
+    f"""SELECT product_category, {money('revenue')} AS revenue FROM state_category_daily_sales
+        WHERE customer_state = 'NATION_7' GROUP BY 1""",
+)
+oracle("daily_series")
+oracle(
+    "series_status",
+    """SELECT customer_state, product_category, COUNT(*) AS days,
+              CASE WHEN COUNT(*) >= 35 THEN 'ok' ELSE 'too short' END AS status
+       FROM daily_series GROUP BY 1, 2""",
+)
+oracle(
+    "rolling_residuals",
+    """SELECT order_date, customer_state, product_category, revenue, width, ROUND(rolling_mean, 6) AS rolling_mean
+       FROM rolling""",
+)
+oracle("forecast_moving_average", "SELECT * FROM ma_forecast")
+oracle(
+    "forecast_overlay",
+    f"""SELECT order_date, customer_state, product_category, 'actual' AS kind, ROUND(revenue, 4) AS revenue,
+               NULL::DOUBLE AS lower_revenue, NULL::DOUBLE AS upper_revenue
+        FROM daily_series WHERE customer_state = 'ALL' AND product_category = '{TARGET_CATEGORY}'
+        UNION ALL
+        SELECT order_date, customer_state, product_category, 'forecast', forecast_revenue, lower_revenue, upper_revenue
+        FROM ma_forecast WHERE customer_state = 'ALL' AND product_category = '{TARGET_CATEGORY}'""",
+)
+
+# --- feature preparation -------------------------------------------------------------------------
+
+_NUMERIC = [
+    "first_order_value", "first_item_count", "first_freight_value", "first_avg_installments",
+    "first_late_delivery", "first_delivery_days", "first_order_month",
+]
+CTES["imputed"] = """
+    SELECT * REPLACE (COALESCE(CAST(first_delivery_days AS DOUBLE), (SELECT quantile_cont(first_delivery_days, 0.5) FROM customer_repeat_features))
+                      AS first_delivery_days)
+    FROM customer_repeat_features"""
+oracle(
+    "impute_median",
+    "SELECT customer_unique_id, " + ", ".join(f"CAST({c} AS DOUBLE) AS {c}" for c in _NUMERIC) + " FROM imputed",
+)
+CTES["blanked"] = """
+    SELECT customer_unique_id, NULLIF(first_payment_type, 'unknown') AS first_payment_type,
+           first_customer_state FROM customer_repeat_features"""
+oracle(
+    "impute_mode",
+    """SELECT customer_unique_id, COALESCE(first_payment_type,
+                (SELECT first_payment_type FROM blanked WHERE first_payment_type IS NOT NULL
+                 GROUP BY 1 ORDER BY COUNT(*) DESC, 1 LIMIT 1)) AS first_payment_type, first_customer_state
+       FROM blanked""",
+)
+oracle(
+    "standardize",
+    "SELECT customer_unique_id, "
+    + ", ".join(f"ROUND((b.{c} - m_{c}) / CASE WHEN s_{c} > 0 THEN s_{c} ELSE 1 END, 6) AS {c}_z" for c in _NUMERIC)
+    + " FROM imputed b, (SELECT "
+    + ", ".join(f"AVG({c}) AS m_{c}, stddev_pop({c}) AS s_{c}" for c in _NUMERIC)
+    + " FROM imputed)",
+)
+_IS_TRAIN = f"CASE WHEN {uniform('customer_unique_id', 42, 'split')} < 0.25 THEN 0 ELSE 1 END"
+
+
+CTES["split_rows"] = f"SELECT *, {_IS_TRAIN} AS is_train FROM customer_repeat_features"
+CTES["category_levels"] = """
+    SELECT first_product_category AS k, COUNT(*) AS n FROM split_rows WHERE is_train = 1 GROUP BY 1"""
+CTES["state_levels"] = """
+    SELECT first_customer_state AS k, COUNT(*) AS n FROM split_rows WHERE is_train = 1 GROUP BY 1"""
+oracle(
+    "pool_rare_categories",
+    """SELECT customer_unique_id,
+              CASE WHEN c.n IS NULL THEN '__unseen__' WHEN c.n < 250 THEN 'infrequent_sklearn' ELSE c.k END AS first_product_category_level,
+              CASE WHEN s.n IS NULL THEN '__unseen__' WHEN s.n < 250 THEN 'infrequent_sklearn' ELSE s.k END AS first_customer_state_level
+       FROM split_rows r LEFT JOIN category_levels c ON r.first_product_category = c.k
+            LEFT JOIN state_levels s ON r.first_customer_state = s.k""",
+)
+oracle("stratified_split", "SELECT customer_unique_id, repeat_purchase_label, is_train FROM split_rows")
+
+# --- evaluation of given scores ------------------------------------------------------------------
+
+CTES["scored"] = f"""
+    SELECT *, floor((0.8::DOUBLE * {uniform('customer_unique_id', 7, 'score')} + 0.2::DOUBLE * repeat_purchase_label) * 1000) / 1000.0::DOUBLE
+           AS repeat_probability
+    FROM customer_repeat_features"""
+CTES["percentiles"] = """
+    SELECT customer_unique_id, repeat_probability,
+           ROW_NUMBER() OVER (ORDER BY repeat_probability, customer_unique_id) / COUNT(*) OVER ()::DOUBLE AS propensity_percentile
+    FROM scored"""
+CTES["banded"] = """
+    SELECT *, CASE WHEN propensity_percentile >= 0.90 THEN 'High' WHEN propensity_percentile >= 0.60 THEN 'Medium' ELSE 'Low' END
+              AS propensity_band FROM percentiles"""
+oracle("propensity_bands", "SELECT * FROM banded")
+oracle(
+    "band_counts",
+    """SELECT propensity_band, COUNT(*) AS customers,
+              CASE propensity_band WHEN 'Low' THEN 1 WHEN 'Medium' THEN 2 ELSE 3 END AS band_order
+       FROM banded GROUP BY propensity_band""",
+)
+CTES["score_ranks"] = """
+    SELECT repeat_purchase_label AS label, COUNT(*) OVER () AS total, AVG(repeat_purchase_label) OVER () AS baseline,
+           ROW_NUMBER() OVER (ORDER BY repeat_probability DESC, customer_unique_id) AS pos FROM scored"""
+oracle(
+    "topk_lift",
+    """SELECT 'Top ' || CAST(f * 100 AS INT) || '%' AS population_slice, COUNT(*) AS customers,
+              ROUND(AVG(label), 6) AS repeat_rate, ROUND(AVG(label) / ANY_VALUE(baseline), 6) AS lift_vs_baseline
+       FROM score_ranks, (VALUES (0.05::DOUBLE), (0.10::DOUBLE), (0.20::DOUBLE)) AS v(f)
+       WHERE pos <= GREATEST(1, floor(total * f)) GROUP BY f""",
+)
+CTES["confusion"] = """
+    SELECT COUNT(*) FILTER (p AND a) AS tp, COUNT(*) FILTER (p AND NOT a) AS fp, COUNT(*) FILTER (NOT p AND a) AS fn,
+           COUNT(*) FILTER (p = a) AS hits, COUNT(*) FILTER (a) AS positives, COUNT(*) AS total
+    FROM (SELECT repeat_probability >= 0.5 AS p, repeat_purchase_label = 1 AS a FROM scored)"""
+oracle(
+    "classification_metrics",
+    """SELECT ROUND(hits / total, 6) AS accuracy, ROUND(COALESCE(tp / NULLIF(tp + fp, 0), 0), 6) AS "precision",
+              ROUND(COALESCE(tp / NULLIF(tp + fn, 0), 0), 6) AS recall,
+              ROUND(COALESCE(2 * tp / NULLIF(2 * tp + fp + fn, 0), 0), 6) AS f1,
+              ROUND(positives / total, 6) AS target_rate, total AS test_rows FROM confusion""",
+)
+CTES["score_counts"] = """
+    SELECT repeat_probability AS score, COUNT(*) FILTER (repeat_purchase_label = 1) AS pos,
+           COUNT(*) FILTER (repeat_purchase_label = 0) AS neg FROM scored GROUP BY 1"""
+oracle(
+    "roc_auc",
+    """SELECT ROUND(SUM(hi.pos * (CASE WHEN hi.score > lo.score THEN 1.0 ELSE 0.5 END) * lo.neg)::DOUBLE
+                    / (SELECT SUM(pos)::DOUBLE * SUM(neg)::DOUBLE FROM score_counts), 6) AS roc_auc
+       FROM score_counts hi JOIN score_counts lo ON hi.score >= lo.score""",
+)
+oracle(
+    "average_precision",
+    """SELECT ROUND(SUM(pos * cp / (cp + cn)) / SUM(pos), 6) AS average_precision FROM (
+         SELECT pos, CAST(SUM(pos) OVER w AS DOUBLE) AS cp, CAST(SUM(neg) OVER w AS DOUBLE) AS cn
+         FROM score_counts WINDOW w AS (ORDER BY score DESC))""",
+)
+
+
+def _score_summary(group: str) -> str:
+    return f"""
+    SELECT {group}, COUNT(DISTINCT customer_unique_id) AS customers,
+           ROUND(AVG(repeat_purchase_label), 6) AS actual_repeat_rate,
+           ROUND(CAST(SUM(CAST(ROUND(repeat_probability * 1000) AS BIGINT)) AS DOUBLE) / 1000 / COUNT(*), 6) AS avg_repeat_probability
+    FROM scored GROUP BY 1"""
+
+
+CTES["by_state"] = _score_summary("first_customer_state")
+CTES["by_category"] = _score_summary("first_product_category")
+oracle("score_by_state", "SELECT * FROM by_state")
+oracle("score_by_category", "SELECT * FROM by_category")
+oracle(
+    "propensity_by_state",
+    "SELECT * FROM by_state ORDER BY avg_repeat_probability DESC, first_customer_state LIMIT 12",
+)
+oracle(
+    "propensity_by_category",
+    f"""SELECT *, {label('first_product_category')} AS first_product_category_display FROM by_category
+        WHERE customers >= 100 ORDER BY avg_repeat_probability DESC, first_product_category LIMIT 15""",
+)
+oracle(
+    "best_prospects",
+    f"""SELECT customer_unique_id, {label('first_product_category')} AS first_product_category, repeat_probability
+        FROM scored ORDER BY repeat_probability DESC, customer_unique_id LIMIT 100""",
+)
+
+# --- segments ------------------------------------------------------------------------------------
+
+CTES["id_groups"] = """
+    SELECT CAST(year(last_purchase_ts) AS INT) AS cluster, COUNT(DISTINCT customer_unique_id) AS customers,
+           AVG(recency_days) AS recency_days, AVG(order_count) AS order_count, AVG(total_revenue) AS total_revenue,
+           AVG(avg_order_value) AS avg_order_value, AVG(churn_label) AS churn_rate
+    FROM customer_features GROUP BY 1"""
+CTES["group_ranks"] = """
+    SELECT *, RANK() OVER (ORDER BY total_revenue DESC) + (COUNT(*) OVER (PARTITION BY total_revenue) - 1) / 2
+            + RANK() OVER (ORDER BY order_count DESC) + (COUNT(*) OVER (PARTITION BY order_count) - 1) / 2
+            + RANK() OVER (ORDER BY recency_days) + (COUNT(*) OVER (PARTITION BY recency_days) - 1) / 2 AS value_score
+    FROM id_groups"""
+oracle(
+    "segment_names",
+    """SELECT cluster, customers, ROUND(recency_days, 4) AS recency_days, ROUND(order_count, 4) AS order_count,
+              ROUND(total_revenue, 4) AS total_revenue, ROUND(avg_order_value, 4) AS avg_order_value,
+              ROUND(churn_rate, 4) AS churn_rate,
+              (['Champions', 'Loyal', 'Promising', 'At Risk'])[LEAST(4, ROW_NUMBER() OVER (ORDER BY value_score, cluster))] AS segment_name
+       FROM group_ranks""",
+)
+
+# --- experiments ---------------------------------------------------------------------------------
+
+_SEED = 20260514
+CTES["joined_scores"] = """
+    SELECT f.*, s.repeat_probability AS score FROM customer_repeat_features f
+    LEFT JOIN (SELECT * FROM scored WHERE first_delivery_days IS NOT NULL) s USING (customer_unique_id)"""
+CTES["frame"] = """
+    SELECT * EXCLUDE (score), COALESCE(score, (SELECT quantile_cont(score, 0.5) FROM joined_scores)) AS repeat_probability
+    FROM joined_scores"""
+oracle(
+    "experiment_frame",
+    "SELECT customer_unique_id, repeat_probability, first_order_value, repeat_purchase_label FROM frame",
+)
+CTES["inputs"] = f"""
+    SELECT customer_unique_id AS id, LEAST(GREATEST(repeat_probability, 0), 1) AS score,
+           GREATEST(first_order_value, 0) AS val, GREATEST(first_freight_value, 0) AS freight,
+           GREATEST(first_item_count, 1) AS items,
+           CASE WHEN first_customer_state IN {_in(CORE_STATES)} THEN 1 ELSE 0 END AS core,
+           CASE WHEN first_product_category = '{TARGET_CATEGORY}' THEN 1 ELSE 0 END AS target,
+           CASE WHEN first_payment_type = 'credit_card' THEN 1 ELSE 0 END AS card, first_late_delivery AS late
+    FROM frame"""
+CTES["purchase"] = """
+    SELECT i.*, 1 / (1 + exp(-(-1.85 + 0.45 * (score - m) / GREATEST(s, 1e-6) + 0.45 * target + 0.22 * core
+                              + 0.12 * card - 0.18 * late))) AS purchase_probability
+    FROM inputs i, (SELECT AVG(score) AS m, stddev_pop(score) AS s FROM inputs)"""
+oracle(
+    "baseline_purchase_probability",
+    """SELECT id AS customer_unique_id, core AS core_market, target AS target_category_affinity,
+              ROUND(purchase_probability, 6) AS purchase_probability FROM purchase""",
+)
+CTES["draws"] = f"""
+    SELECT *, CASE WHEN responder = 1 THEN 720 + 0.20::DOUBLE * LEAST(val, 500) ELSE 0 END AS tau,
+           CASE WHEN {uniform('id', _SEED, 'buyer')} < purchase_probability THEN 1 ELSE 0 END
+             * (38 + 0.10::DOUBLE * val + 4.5::DOUBLE * ln(1 + items) + 0.04::DOUBLE * freight)
+             * exp(0.95::DOUBLE * {normal('id', _SEED, 'spend')}) AS y0,
+           CASE WHEN {uniform('id', _SEED, 'treatment')} < 0.5 THEN 1 ELSE 0 END AS treatment,
+           280 * {normal('id', _SEED, 'noise')} AS noise
+    FROM (SELECT *, CASE WHEN core = 1 AND target = 1
+                          AND score >= (SELECT quantile_cont(score, 0.85) FROM purchase) THEN 1 ELSE 0 END AS responder
+          FROM purchase)"""
+CTES["planted"] = """
+    SELECT *, GREATEST(0, y0 + treatment * tau + noise - AVG(noise) OVER (PARTITION BY treatment)) AS outcome FROM draws"""
+oracle("responder_rule", "SELECT id AS customer_unique_id, responder AS true_responder, ROUND(tau, 4) AS true_tau FROM planted")
+oracle(
+    "planted_effect_table",
+    f"""SELECT id AS customer_unique_id, treatment, ROUND(outcome, 4) AS synthetic_outcome, ROUND(y0, 4) AS baseline_outcome,
+               ROUND(tau, 4) AS true_tau, responder AS true_responder, '{TARGET_CATEGORY}' AS target_category,
+               60 AS promo_window_days, 0.5::DOUBLE AS treatment_probability FROM planted""",
+)
+oracle(
+    "experiment_summary",
+    f"""SELECT 'Semi-synthetic sparse promotion experiment' AS experiment_type, 'customer' AS unit,
+               '{TARGET_CATEGORY}' AS target_category, 'Watches gifts' AS target_category_display,
+               60 AS promo_window_days,
+               '50/50 randomized treatment assignment generated with a fixed seed' AS assignment,
+               'Synthetic post-promotion revenue over 60 days' AS outcome, 'Spark GBTRegressor' AS base_learner,
+               COUNT(*) AS customers, CAST(SUM(treatment) AS BIGINT) AS treated_customers,
+               CAST(SUM(1 - treatment) AS BIGINT) AS control_customers,
+               ROUND(AVG(responder), 4) AS true_responder_rate, ROUND(AVG(tau), 4) AS true_global_ate,
+               ROUND(AVG(tau) FILTER (responder = 1), 4) AS true_responder_ate,
+               'repeat_probability >= 85th percentile AND state in {'/'.join(CORE_STATES)} AND first category is {TARGET_CATEGORY}' AS response_rule
+        FROM planted""",
+)
+CTES["arms"] = """
+    SELECT AVG(outcome) FILTER (treatment = 1) AS m1, AVG(outcome) FILTER (treatment = 0) AS m0,
+           COUNT(*) FILTER (treatment = 1) AS n1, COUNT(*) FILTER (treatment = 0) AS n0,
+           var_samp(outcome) FILTER (treatment = 1) / COUNT(*) FILTER (treatment = 1) AS v1,
+           var_samp(outcome) FILTER (treatment = 0) / COUNT(*) FILTER (treatment = 0) AS v0
+    FROM planted"""
+oracle(
+    "welch_test",
+    """SELECT ROUND(m1 - m0, 4) AS estimate, ROUND(sqrt(v1 + v0), 4) AS standard_error,
+              ROUND((m1 - m0) / sqrt(v1 + v0), 4) AS statistic,
+              ROUND((v1 + v0) * (v1 + v0) / (v1 * v1 / (n1 - 1) + v0 * v0 / (n0 - 1)), 4) AS freedom,
+              n1 AS treated_rows, n0 AS control_rows FROM arms""",
+)
+CTES["holdout"] = f"""
+    SELECT *, floor(({uniform('id', 11, 'tau')} * 50 + tau / 10) * 100) / 100.0::DOUBLE AS tau_hat,
+           floor({uniform('id', 11, 'm')} * 30000) / 100.0::DOUBLE AS m_hat
+    FROM planted WHERE {uniform('id', _SEED, 'split')} < 0.5"""
+CTES["selected"] = """
+    SELECT *, CASE WHEN tau_hat >= cutoff THEN 1 ELSE 0 END AS chosen,
+           tau_hat + (treatment / 0.5) * (outcome - (m_hat - 0.5 * tau_hat + tau_hat))
+             - ((1 - treatment) / (1 - 0.5)) * (outcome - (m_hat - 0.5 * tau_hat)) AS aipw
+    FROM holdout, (SELECT quantile_cont(tau_hat, 0.95) AS cutoff FROM holdout)"""
+oracle(
+    "uplift_cutoff",
+    "SELECT id AS customer_unique_id, tau_hat, ROUND(cutoff, 6) AS cate_cutoff, chosen AS selected_segment FROM selected",
+)
+oracle(
+    "aipw_scores",
+    "SELECT id AS customer_unique_id, treatment, tau_hat, ROUND(aipw, 4) AS aipw_score FROM selected",
+)
+oracle(
+    "pseudo_outcomes",
+    """SELECT id AS customer_unique_id, ROUND((outcome - m_hat) / (treatment - 0.5::DOUBLE), 4) AS pseudo_tau,
+              (treatment - 0.5::DOUBLE) * (treatment - 0.5::DOUBLE) AS r_weight FROM selected""",
+)
+oracle(
+    "one_sample_test",
+    """SELECT ROUND(m, 4) AS estimate, ROUND(s / sqrt(n), 4) AS standard_error, ROUND(m / (s / sqrt(n)), 4) AS statistic,
+              CAST(n - 1 AS DOUBLE) AS freedom, n AS "rows"
+       FROM (SELECT AVG(aipw) AS m, stddev_samp(aipw) AS s, COUNT(*) AS n FROM selected WHERE chosen = 1)""",
+)
+
+
+def _profile(label_text: str, where: str) -> str:
+    return f"""SELECT '{label_text}' AS segment, COUNT(*) AS customers, ROUND(AVG(treatment), 4) AS treatment_rate,
+                      ROUND(AVG(responder), 4) AS true_responder_rate, ROUND(AVG(tau), 4) AS true_average_effect,
+                      ROUND(AVG(tau_hat), 4) AS predicted_cate FROM selected {where}"""
+
+
+oracle(
+    "uplift_segment_profile",
+    _profile("All holdout customers", "") + " UNION ALL " + _profile("Top 5% predicted CATE", "WHERE chosen = 1"),
+)
+
+# --- reports -------------------------------------------------------------------------------------
+
+
+def _six(metric: str, value: str, source: str) -> str:
+    return f"SELECT '{metric}' AS metric, printf('%.6f', {value}) AS value FROM {source}"
+
+
+oracle(
+    "executive_summary",
+    _union(
+        [
+            _six("Repeat purchase accuracy", "hits / total", "confusion"),
+            _six("Repeat purchase precision", "tp / (tp + fp)", "confusion"),
+            _six("Repeat purchase recall", "tp / (tp + fn)", "confusion"),
+            _six("Repeat purchase f1", "2 * tp / (2 * tp + fp + fn)", "confusion"),
+            _six("Repeat purchase target_rate", "positives / total", "confusion"),
+            "SELECT 'Repeat purchase test_rows', CAST(total AS VARCHAR) FROM confusion",
+            "SELECT 'Experiment experiment_type', 'Semi-synthetic sparse promotion experiment'",
+            "SELECT 'Experiment target_category_display', 'Watches gifts'",
+            _six("Experiment true_responder_rate", "AVG(responder)", "planted"),
+            _six("Experiment true_global_ate", "AVG(tau)", "planted"),
+            _six("DIM estimate", "m1 - m0", "arms"),
+            _six("R-learner estimate", "AVG(aipw)", "selected WHERE chosen = 1"),
+            _six("R-learner true_selected_ate", "AVG(tau)", "selected WHERE chosen = 1"),
+        ]
+    ),
+)
+oracle(
+    "report_extracts",
+    """SELECT customer_unique_id, first_customer_state, first_product_category, repeat_probability
+       FROM scored ORDER BY repeat_probability DESC, customer_unique_id LIMIT 5000""",
+)

@@ -5,10 +5,24 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from marketlens.functions import scalars
+from marketlens.operators import prep, scoring
+from marketlens.plans import (
+    dashboard,
+    experiment,
+    features,
+    forecast,
+    propensity,
+    quality,
+    reports,
+    segments,
+)
 from marketlens.plans import fact as fact_plans
-from marketlens.plans import features
-from marketlens.sources import binding
+from marketlens.schemas import FOREIGN_KEYS, RAW_KEYS, RAW_SCHEMAS, REPEAT_NUMERIC
+from marketlens.sources import binding, files
+from marketlens.sources.scratch import materialize, scratch_path
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -19,6 +33,11 @@ def query(fn: Query) -> Query:
     return fn
 
 
+def _rounded(df: DataFrame, *names: str, digits: int = 6) -> DataFrame:
+    """Round derived doubles, whose last bits depend on the order of summation."""
+    return df.select(*[F.round(c, digits).alias(c) if c in names else F.col(c) for c in df.columns])
+
+
 def _fact(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fact_plans.fact_orders(binding.retail_tables(spark, sf_dir))
 
@@ -65,3 +84,584 @@ def customer_repeat_features(spark, sf_dir):
 @query
 def ab_test_sample(spark, sf_dir):
     return features.ab_test_sample(_fact(spark, sf_dir))
+
+
+# --- sources and sinks ---------------------------------------------------------------------------
+
+
+@query
+def raw_csv_round_trip(spark, sf_dir):
+    """Orders written as CSV text and read back with the fixed schema; times parsed afterwards."""
+    folder = scratch_path(spark)
+    path = files.write_csv(binding.orders(spark, sf_dir), folder, "orders")
+    back = files.read_raw_csv(spark, path, RAW_SCHEMAS["orders"], multi_line=False)
+    times = [c for c in back.columns if c not in ("order_id", "customer_id", "order_status")]
+    return back.select(
+        "order_id", "customer_id", "order_status", *[scalars.timestamp_or_null(c).alias(c) for c in times]
+    )
+
+
+@query
+def daily_sales_round_trip(spark, sf_dir):
+    """Daily sales stored in month folders; the date filter reads only the folders of one year."""
+    folder = scratch_path(spark)
+    files.write_daily_parquet(category_daily_sales(spark, sf_dir), f"{folder}/category_daily_sales")
+    back = files.read_table(spark, folder, "category_daily_sales")
+    return back.filter(F.col("order_month").between("1997-01", "1997-12")).select(
+        "order_date", "product_category", "orders", "revenue"
+    )
+
+
+@query
+def metrics_json_round_trip(spark, sf_dir):
+    path = scratch_path(spark)
+    record = dashboard.repeat_customer_rate(customer_features(spark, sf_dir))
+    files.write_json(record, path)
+    return _rounded(files.read_json(spark, path, record.schema), "repeat_customer_rate")
+
+
+# --- growth views --------------------------------------------------------------------------------
+
+
+@query
+def kpi_summary(spark, sf_dir):
+    fact = materialize(_fact(spark, sf_dir))
+    out = dashboard.kpi_summary(fact, features.customer_features(fact))
+    return _rounded(out, "avg_order_value", "late_delivery_rate", "repeat_customer_rate")
+
+
+@query
+def insight_lines(spark, sf_dir):
+    fact = materialize(_fact(spark, sf_dir))
+    return dashboard.insight_lines(dashboard.kpi_summary(fact, features.customer_features(fact)))
+
+
+@query
+def repeat_customer_rate(spark, sf_dir):
+    return _rounded(dashboard.repeat_customer_rate(customer_features(spark, sf_dir)), "repeat_customer_rate")
+
+
+@query
+def filter_choices(spark, sf_dir):
+    return dashboard.filter_choices(_fact(spark, sf_dir))
+
+
+@query
+def filtered_orders(spark, sf_dir):
+    return dashboard.filtered_orders(
+        _fact(spark, sf_dir), "1996-01-01", "1998-12-31", binding.CORE_STATES, ["watches_gifts", "sports_leisure"]
+    )
+
+
+@query
+def daily_revenue(spark, sf_dir):
+    return dashboard.daily_revenue(_fact(spark, sf_dir))
+
+
+@query
+def top_categories(spark, sf_dir):
+    return dashboard.top_categories(_fact(spark, sf_dir))
+
+
+@query
+def top_states(spark, sf_dir):
+    return dashboard.top_states(_fact(spark, sf_dir))
+
+
+@query
+def state_category_mix(spark, sf_dir):
+    return _rounded(dashboard.state_category_mix(_fact(spark, sf_dir)), "revenue_share")
+
+
+@query
+def state_category_rollup(spark, sf_dir):
+    out = dashboard.state_category_rollup(dashboard.state_category_mix(_fact(spark, sf_dir)))
+    return _rounded(out, "revenue_share")
+
+
+@query
+def first_orders(spark, sf_dir):
+    return features.first_orders_by_window(_fact(spark, sf_dir))
+
+
+@query
+def feature_labels(spark, sf_dir):
+    """Display names of every encoded category that occurs."""
+    fact = _fact(spark, sf_dir).select("product_category", "customer_state", "primary_payment_type").distinct()
+    names = fact.select(
+        F.explode(
+            F.array(
+                F.concat(F.lit("categorical__first_product_category_"), "product_category"),
+                F.concat(F.lit("categorical__first_customer_state_"), "customer_state"),
+                F.concat(F.lit("categorical__first_payment_type_"), "primary_payment_type"),
+            )
+        ).alias("encoded")
+    ).distinct()
+    clean = names.withColumn("feature", scalars.clean_feature_name("encoded"))
+    return clean.withColumn("feature_display", scalars.feature_label("feature"))
+
+
+# --- audit ---------------------------------------------------------------------------------------
+
+
+def _processed(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    fact = materialize(_fact(spark, sf_dir))
+    return {
+        "fact_orders": fact,
+        "customer_features": features.customer_features(fact),
+        "category_daily_sales": features.category_daily_sales(fact),
+        "state_category_daily_sales": features.state_category_daily_sales(fact),
+        "customer_repeat_features": features.customer_repeat_features(fact),
+        "ab_test_sample": features.ab_test_sample(fact),
+    }
+
+
+def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    present = binding.available_sources(spark, sf_dir)
+    return quality.audit(spark, present, binding.retail_tables(spark, sf_dir), _processed(spark, sf_dir))
+
+
+@query
+def dq_raw_files(spark, sf_dir):
+    return quality.presence_checks(spark, binding.available_sources(spark, sf_dir))
+
+
+@query
+def dq_row_counts(spark, sf_dir):
+    raw = quality.row_counts(binding.retail_tables(spark, sf_dir), "raw", "Raw table row count")
+    derived = quality.row_counts(_processed(spark, sf_dir), "processed", "Processed table row count")
+    return raw.unionByName(derived)
+
+
+@query
+def dq_duplicate_keys(spark, sf_dir):
+    raw = binding.retail_tables(spark, sf_dir)
+    return quality.union_checks([quality.duplicate_keys(n, raw[n], k) for n, k in RAW_KEYS.items()])
+
+
+@query
+def dq_null_rates(spark, sf_dir):
+    raw = binding.retail_tables(spark, sf_dir)
+    profiles = quality.union_checks([quality.table_profile(n, df) for n, df in raw.items()])
+    return profiles.filter(F.col("check").startswith("raw_null_rate__"))
+
+
+@query
+def dq_referential_integrity(spark, sf_dir):
+    raw = binding.retail_tables(spark, sf_dir)
+    return quality.union_checks(
+        [quality.missing_parents(check, raw[c], k, raw[p], d) for c, k, p, check, d in FOREIGN_KEYS]
+    )
+
+
+@query
+def dq_fact_checks(spark, sf_dir):
+    fact = _fact(spark, sf_dir)
+    return quality.fact_checks(fact).unionByName(quality.target_rate(features.customer_repeat_features(fact)))
+
+
+@query
+def dq_report(spark, sf_dir):
+    return _audit(spark, sf_dir)
+
+
+@query
+def dq_status_rollup(spark, sf_dir):
+    return quality.overall_status(_audit(spark, sf_dir))
+
+
+@query
+def dq_status_counts(spark, sf_dir):
+    return quality.status_counts(_audit(spark, sf_dir))
+
+
+@query
+def dq_filtered_checks(spark, sf_dir):
+    return dashboard.checks_with_status(_audit(spark, sf_dir), ["pass", "warn"])
+
+
+# --- forecasts -----------------------------------------------------------------------------------
+
+
+def _daily(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(state_category_daily_sales(spark, sf_dir))
+
+
+def _series(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return forecast.daily_series(forecast.with_all_states(_daily(spark, sf_dir)))
+
+
+@query
+def forecast_scope(spark, sf_dir):
+    return forecast.default_scope(state_category_daily_sales(spark, sf_dir))
+
+
+@query
+def forecast_scope_choices(spark, sf_dir):
+    return forecast.scope_choices(state_category_daily_sales(spark, sf_dir), "NATION_7")
+
+
+@query
+def daily_series(spark, sf_dir):
+    return _series(spark, sf_dir)
+
+
+@query
+def series_status(spark, sf_dir):
+    return forecast.series_status(_series(spark, sf_dir))
+
+
+@query
+def rolling_residuals(spark, sf_dir):
+    out = forecast.moving_average_residuals(_series(spark, sf_dir))
+    return _rounded(out, "rolling_mean").select(
+        "order_date", "customer_state", "product_category", "revenue", "width", "rolling_mean"
+    )
+
+
+@query
+def forecast_moving_average(spark, sf_dir):
+    out = forecast.forecast(_series(spark, sf_dir), "moving_average")
+    return _rounded(out, "forecast_revenue", "lower_revenue", "upper_revenue", digits=4)
+
+
+@query
+def forecast_overlay(spark, sf_dir):
+    """History and forecast of the largest category over all states."""
+    daily = _daily(spark, sf_dir)
+    series = forecast.daily_series(forecast.select_scope(daily, binding.TARGET_CATEGORY))
+    out = forecast.overlay(series, forecast.forecast(series, "moving_average"))
+    return _rounded(out, "revenue", "lower_revenue", "upper_revenue", digits=4)
+
+
+@query
+def forecast_ets(spark, sf_dir):
+    return forecast.forecast(_series(spark, sf_dir), "ets")
+
+
+@query
+def forecast_sarima(spark, sf_dir):
+    return forecast.forecast(_series(spark, sf_dir), "sarimax")
+
+
+# --- feature preparation -------------------------------------------------------------------------
+
+
+def _repeat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return materialize(customer_repeat_features(spark, sf_dir))
+
+
+@query
+def impute_median(spark, sf_dir):
+    out = prep.impute_median(_repeat(spark, sf_dir), REPEAT_NUMERIC)
+    return out.select("customer_unique_id", *[F.col(c).cast("double").alias(c) for c in REPEAT_NUMERIC])
+
+
+@query
+def impute_mode(spark, sf_dir):
+    """Payment types of first orders, where unknown counts as missing."""
+    known = F.when(F.col("first_payment_type") != "unknown", F.col("first_payment_type"))
+    rows = _repeat(spark, sf_dir).select(
+        "customer_unique_id", known.alias("first_payment_type"), "first_customer_state"
+    )
+    return prep.impute_mode(rows, ["first_payment_type", "first_customer_state"])
+
+
+@query
+def standardize(spark, sf_dir):
+    rows = prep.impute_median(_repeat(spark, sf_dir), ["first_delivery_days"])
+    out = prep.standardize(rows, REPEAT_NUMERIC)
+    zs = [f"{c}_z" for c in REPEAT_NUMERIC]
+    return _rounded(out.select("customer_unique_id", *zs), *zs)
+
+
+@query
+def pool_rare_categories(spark, sf_dir):
+    rows = prep.seeded_split(_repeat(spark, sf_dir), "customer_unique_id", 0.25, 42)
+    out = prep.pool_rare_categories(
+        rows, ["first_product_category", "first_customer_state"], rows.filter("is_train = 1"), min_count=250
+    )
+    return out.select(
+        "customer_unique_id", "first_product_category_level", "first_customer_state_level"
+    )
+
+
+@query
+def stratified_split(spark, sf_dir):
+    rows = prep.seeded_split(customer_repeat_features(spark, sf_dir), "customer_unique_id", 0.25, 42)
+    return rows.select("customer_unique_id", "repeat_purchase_label", "is_train")
+
+
+# --- evaluation of given scores ------------------------------------------------------------------
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """First orders with a score derived from id and label: coarse, so that ties are common."""
+    u = scalars.uniform("customer_unique_id", 7, "score")
+    score = F.floor((0.8 * u + 0.2 * F.col("repeat_purchase_label")) * 1000) / F.lit(1000.0)
+    return materialize(customer_repeat_features(spark, sf_dir).withColumn("repeat_probability", score))
+
+
+@query
+def propensity_bands(spark, sf_dir):
+    return scoring.add_percentile(
+        _scored(spark, sf_dir).select("customer_unique_id", "repeat_probability"), "repeat_probability", "customer_unique_id"
+    )
+
+
+@query
+def band_counts(spark, sf_dir):
+    return dashboard.band_counts(propensity_bands(spark, sf_dir))
+
+
+@query
+def topk_lift(spark, sf_dir):
+    out = scoring.topk_lift(
+        _scored(spark, sf_dir), "repeat_probability", "customer_unique_id", "repeat_purchase_label"
+    )
+    return _rounded(out, "repeat_rate", "lift_vs_baseline")
+
+
+@query
+def classification_metrics(spark, sf_dir):
+    out = scoring.classification_metrics(_scored(spark, sf_dir), "repeat_probability", "repeat_purchase_label")
+    return _rounded(out, "accuracy", "precision", "recall", "f1", "target_rate")
+
+
+@query
+def roc_auc(spark, sf_dir):
+    return _rounded(scoring.roc_auc(_scored(spark, sf_dir), "repeat_probability", "repeat_purchase_label"), "roc_auc")
+
+
+@query
+def average_precision(spark, sf_dir):
+    out = scoring.average_precision(_scored(spark, sf_dir), "repeat_probability", "repeat_purchase_label")
+    return _rounded(out, "average_precision")
+
+
+@query
+def score_by_state(spark, sf_dir):
+    out = propensity.summary_by(_scored(spark, sf_dir), "first_customer_state")
+    return _rounded(out, "actual_repeat_rate", "avg_repeat_probability")
+
+
+@query
+def score_by_category(spark, sf_dir):
+    out = propensity.summary_by(_scored(spark, sf_dir), "first_product_category")
+    return _rounded(out, "actual_repeat_rate", "avg_repeat_probability")
+
+
+@query
+def propensity_by_state(spark, sf_dir):
+    return dashboard.propensity_by_state(score_by_state(spark, sf_dir))
+
+
+@query
+def propensity_by_category(spark, sf_dir):
+    return dashboard.propensity_by_category(score_by_category(spark, sf_dir))
+
+
+@query
+def best_prospects(spark, sf_dir):
+    out = dashboard.best_prospects(_scored(spark, sf_dir))
+    return out.select("customer_unique_id", "first_product_category", "repeat_probability")
+
+
+# --- models --------------------------------------------------------------------------------------
+
+
+@query
+def propensity_model_scores(spark, sf_dir):
+    return propensity.predictions(propensity.fit_scores(_repeat(spark, sf_dir))[0])
+
+
+@query
+def propensity_model_metrics(spark, sf_dir):
+    return propensity.model_metrics(propensity.fit_scores(_repeat(spark, sf_dir))[0])
+
+
+@query
+def feature_importance(spark, sf_dir):
+    return propensity.fit_scores(_repeat(spark, sf_dir))[1]
+
+
+@query
+def top_drivers(spark, sf_dir):
+    return propensity.top_drivers(propensity.fit_scores(_repeat(spark, sf_dir))[1])
+
+
+def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segments.cluster_customers(materialize(customer_features(spark, sf_dir)))
+
+
+@query
+def segment_customers(spark, sf_dir):
+    return segments.segment_customers(_clustered(spark, sf_dir))[0]
+
+
+@query
+def segment_summary(spark, sf_dir):
+    return segments.segment_customers(_clustered(spark, sf_dir))[1]
+
+
+@query
+def segment_names(spark, sf_dir):
+    """Naming and profile of groups that are given by the year of the last purchase."""
+    grouped = customer_features(spark, sf_dir).withColumn("cluster", F.year("last_purchase_ts"))
+    out = segments.assign_segment_names(segments.cluster_profile(grouped))
+    return _rounded(
+        out, "recency_days", "order_count", "total_revenue", "avg_order_value", "churn_rate", digits=4
+    )
+
+
+# --- experiments ---------------------------------------------------------------------------------
+
+_SCOPE = experiment.Scope(tuple(binding.CORE_STATES), binding.TARGET_CATEGORY)
+
+
+def _experiment_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Features with given scores; customers without a first delivery have none."""
+    scored = _scored(spark, sf_dir)
+    predictions = scored.filter(F.col("first_delivery_days").isNotNull())
+    return experiment.experiment_frame(scored.drop("repeat_probability"), predictions)
+
+
+def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    frame = experiment.complete_features(_experiment_frame(spark, sf_dir))
+    return experiment.planted_effects(materialize(frame), _SCOPE)
+
+
+def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Held-out half with given predictions of outcome and effect."""
+    rows = prep.seeded_split(_planted(spark, sf_dir), "customer_unique_id", 0.5, experiment.SEED)
+    u = scalars.uniform("customer_unique_id", 11, "tau")
+    v = scalars.uniform("customer_unique_id", 11, "m")
+    given = (
+        rows.filter("is_train = 0")
+        .withColumn("tau_hat", F.floor((u * 50 + F.col("true_tau") / 10) * 100) / F.lit(100.0))
+        .withColumn("m_hat", F.floor(v * 30000) / F.lit(100.0))
+    )
+    return experiment.aipw_scores(experiment.select_segment(materialize(given)))
+
+
+@query
+def experiment_frame(spark, sf_dir):
+    return _experiment_frame(spark, sf_dir).select(
+        "customer_unique_id", "repeat_probability", "first_order_value", "repeat_purchase_label"
+    )
+
+
+@query
+def baseline_purchase_probability(spark, sf_dir):
+    frame = experiment.complete_features(_experiment_frame(spark, sf_dir))
+    out = experiment.purchase_probabilities(materialize(frame), _SCOPE)
+    return _rounded(out, "purchase_probability").select(
+        "customer_unique_id", "core_market", "target_category_affinity", "purchase_probability"
+    )
+
+
+@query
+def responder_rule(spark, sf_dir):
+    return _planted(spark, sf_dir).select(
+        "customer_unique_id", "true_responder", F.round("true_tau", 4).alias("true_tau")
+    )
+
+
+@query
+def planted_effect_table(spark, sf_dir):
+    out = _planted(spark, sf_dir).select(
+        "customer_unique_id", "treatment", "synthetic_outcome", "baseline_outcome", "true_tau", "true_responder",
+        "target_category", "promo_window_days", "treatment_probability",
+    )
+    return _rounded(out, "synthetic_outcome", "baseline_outcome", "true_tau", digits=4)
+
+
+@query
+def experiment_summary(spark, sf_dir):
+    out = experiment.experiment_summary(_planted(spark, sf_dir), _SCOPE)
+    return _rounded(out, "true_responder_rate", "true_global_ate", "true_responder_ate", digits=4)
+
+
+@query
+def welch_test(spark, sf_dir):
+    """Statistics of the difference in means; the p-value is part of method_comparison."""
+    out = experiment.welch_statistics(_planted(spark, sf_dir))
+    return _rounded(out, "estimate", "standard_error", "statistic", "freedom", digits=4)
+
+
+@query
+def one_sample_test(spark, sf_dir):
+    chosen = _holdout(spark, sf_dir).filter("selected_segment = 1")
+    out = experiment.mean_statistics(chosen, "aipw_score")
+    return _rounded(out, "estimate", "standard_error", "statistic", "freedom", digits=4)
+
+
+@query
+def uplift_cutoff(spark, sf_dir):
+    return _holdout(spark, sf_dir).select(
+        "customer_unique_id", "tau_hat", F.round("cate_cutoff", 6).alias("cate_cutoff"), "selected_segment"
+    )
+
+
+@query
+def aipw_scores(spark, sf_dir):
+    out = _holdout(spark, sf_dir).select("customer_unique_id", "treatment", "tau_hat", "aipw_score")
+    return _rounded(out, "aipw_score", digits=4)
+
+
+@query
+def pseudo_outcomes(spark, sf_dir):
+    out = experiment.pseudo_outcomes(_holdout(spark, sf_dir)).select("customer_unique_id", "pseudo_tau", "r_weight")
+    return _rounded(out, "pseudo_tau", digits=4)
+
+
+@query
+def uplift_segment_profile(spark, sf_dir):
+    out = experiment.segment_profile(_holdout(spark, sf_dir))
+    return _rounded(
+        out, "treatment_rate", "true_responder_rate", "true_average_effect", "predicted_cate", digits=4
+    )
+
+
+def _run_experiment(spark: SparkSession, sf_dir: str) -> experiment.ExperimentResult:
+    rows = _repeat(spark, sf_dir)
+    scored = propensity.fit_scores(rows)[0]
+    return experiment.run_experiment(rows, scored, _SCOPE)
+
+
+@query
+def r_learner_scores(spark, sf_dir):
+    return _run_experiment(spark, sf_dir).uplift.scored
+
+
+@query
+def method_comparison(spark, sf_dir):
+    return _run_experiment(spark, sf_dir).comparison
+
+
+# --- reports -------------------------------------------------------------------------------------
+
+
+@query
+def executive_summary(spark, sf_dir):
+    """Summary of records computed from given scores; they hold no p-values."""
+    scored = _scored(spark, sf_dir)
+    planted = materialize(_planted(spark, sf_dir))
+    chosen = _holdout(spark, sf_dir).filter("selected_segment = 1")
+    uplift = chosen.agg(F.avg("aipw_score").alias("estimate"), F.avg("true_tau").alias("true_selected_ate"))
+    out = reports.executive_summary(
+        scoring.classification_metrics(scored, "repeat_probability", "repeat_purchase_label"),
+        experiment.experiment_summary(planted, _SCOPE),
+        experiment.welch_statistics(planted).select("estimate"),
+        uplift,
+    )
+    return out
+
+
+@query
+def report_extracts(spark, sf_dir):
+    """Bounded extract of the scored customers."""
+    scored = _scored(spark, sf_dir).select(
+        "customer_unique_id", "first_customer_state", "first_product_category", "repeat_probability"
+    )
+    return reports.extract(scored, [F.col("repeat_probability").desc(), "customer_unique_id"])
