@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import uniform
 from marketlens.operators.quantiles import quantile_name, quantiles, with_row
+from marketlens.sources.scratch import materialize
 
 # Fixed value: the name under which rare categories appear in feature tables.
 RARE = "infrequent_sklearn"
@@ -81,15 +82,20 @@ def standardize(
     return apply_scaler(df, columns, fit_scaler(df if fit_on is None else fit_on, columns), suffix)
 
 
-def category_levels(df: DataFrame, column: str, min_count: int = 50) -> DataFrame:
-    """Training categories and the level that each one is encoded as."""
-    return (
-        df.filter(F.col(column).isNotNull())
-        .groupBy(column)
+def category_levels(df: DataFrame, columns: list[str], min_count: int = 50) -> DataFrame:
+    """(name, value, rows, level): training categories and the level that each is encoded as.
+
+    One pass for all columns; counts combine before the shuffle.
+    """
+    counts = (
+        df.select(*columns)
+        .unpivot([], columns, "name", "value")
+        .filter(F.col("value").isNotNull())
+        .groupBy("name", "value")
         .agg(F.count(F.lit(1)).alias("rows"))
-        .select(
-            column, "rows", F.when(F.col("rows") < min_count, RARE).otherwise(F.col(column)).alias("level")
-        )
+    )
+    return counts.withColumn(
+        "level", F.when(F.col("rows") < min_count, RARE).otherwise(F.col("value"))
     )
 
 
@@ -98,15 +104,16 @@ def pool_rare_categories(
 ) -> DataFrame:
     """Add ``<column>_level``: rare training categories share one level, unseen ones get another.
 
-    The level tables are joined without a hint: Spark broadcasts them by their measured size.
+    The levels are stored and joined without a hint: Spark broadcasts them if their files are
+    small and sorts otherwise.
     """
-    source = df if fit_on is None else fit_on
+    levels = materialize(category_levels(df if fit_on is None else fit_on, columns, min_count))
     out = df
     for c in columns:
-        levels = category_levels(source, c, min_count).select(
-            F.col(c).alias(f"_key_{c}"), F.col("level").alias(f"_level_{c}")
+        lookup = levels.filter(F.col("name") == c).select(
+            F.col("value").alias(f"_key_{c}"), F.col("level").alias(f"_level_{c}")
         )
-        out = out.join(levels, F.col(c) == F.col(f"_key_{c}"), "left").drop(f"_key_{c}")
+        out = out.join(lookup, F.col(c) == F.col(f"_key_{c}"), "left").drop(f"_key_{c}")
     return out.select(
         *df.columns, *[F.coalesce(f"_level_{c}", F.lit(UNSEEN)).alias(f"{c}_level") for c in columns]
     )
