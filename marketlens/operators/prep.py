@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import uniform
 from marketlens.operators.quantiles import quantile_name, quantiles, with_row
+from marketlens.operators.ranking import global_row_number
 from marketlens.sources.scratch import materialize
 
 # Fixed value: the name under which rare categories appear in feature tables.
@@ -127,3 +128,23 @@ def seeded_split(df: DataFrame, key: str, fraction: float, seed: int, name: str
     """
     is_test = uniform(key, seed, "split") < fraction
     return df.withColumn(name, F.when(is_test, 0).otherwise(1))
+
+
+def stratified_split(
+    df: DataFrame, key: str, stratum: str, fraction: float, seed: int, name: str = "is_train"
+) -> DataFrame:
+    """Seeded split with an exact share of test rows in every stratum.
+
+    The rows are ranked once by (stratum, hash, key); the position inside a stratum is that rank
+    minus the rows of earlier strata, so a stratum that holds most rows is still many tasks.
+    """
+    drawn = df.withColumn("_u", uniform(key, seed, "split"))
+    ranked = global_row_number(drawn, [F.col(stratum).asc_nulls_first(), F.col("_u"), F.col(key)], "_rank")
+    before = Window.orderBy(F.col(stratum).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    sizes = ranked.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
+    sizes = sizes.select(
+        F.col(stratum).alias("_stratum"), "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    )
+    joined = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum")))
+    is_test = F.col("_rank") - F.col("_start") <= F.round(F.col("_n") * fraction)
+    return joined.select(*df.columns, F.when(is_test, 0).otherwise(1).alias(name))

@@ -567,7 +567,15 @@ oracle(
        FROM split_rows r LEFT JOIN category_levels c ON r.first_product_category = c.k
             LEFT JOIN state_levels s ON r.first_customer_state = s.k""",
 )
-oracle("stratified_split", "SELECT customer_unique_id, repeat_purchase_label, is_train FROM split_rows")
+oracle("seeded_split", "SELECT customer_unique_id, repeat_purchase_label, is_train FROM split_rows")
+oracle(
+    "stratified_split",
+    f"""SELECT customer_unique_id, repeat_purchase_label,
+               CASE WHEN ROW_NUMBER() OVER (PARTITION BY repeat_purchase_label
+                                            ORDER BY {uniform('customer_unique_id', 42, 'split')}, customer_unique_id)
+                         <= ROUND(0.25 * COUNT(*) OVER (PARTITION BY repeat_purchase_label)) THEN 0 ELSE 1 END AS is_train
+        FROM customer_repeat_features""",
+)
 
 # --- evaluation of given scores ------------------------------------------------------------------
 
@@ -639,6 +647,11 @@ CTES["by_state"] = _score_summary("first_customer_state")
 CTES["by_category"] = _score_summary("first_product_category")
 oracle("score_by_state", "SELECT * FROM by_state")
 oracle("score_by_category", "SELECT * FROM by_category")
+oracle(
+    "state_summary_display",
+    f"""SELECT {label('first_customer_state')} AS "First customer state", customers AS "Customers",
+               actual_repeat_rate AS "Actual repeat rate", avg_repeat_probability AS "Avg repeat probability" FROM by_state""",
+)
 oracle(
     "propensity_by_state",
     "SELECT * FROM by_state ORDER BY avg_repeat_probability DESC, first_customer_state LIMIT 12",
@@ -792,6 +805,16 @@ oracle(
     _profile("All holdout customers", "") + " UNION ALL " + _profile("Top 5% predicted CATE", "WHERE chosen = 1"),
 )
 
+oracle(
+    "experiment_readout",
+    """SELECT 'Customers' AS metric, format('{:,}', COUNT(*)) AS value FROM planted
+       UNION ALL SELECT 'Treated customers', format('{:,}', CAST(SUM(treatment) AS BIGINT)) FROM planted
+       UNION ALL SELECT 'Control customers', format('{:,}', CAST(SUM(1 - treatment) AS BIGINT)) FROM planted
+       UNION ALL SELECT 'True responder rate', printf('%.2f', 100 * ROUND(AVG(responder), 4)) || '%' FROM planted
+       UNION ALL SELECT 'True responder ATE', 'R$ ' || printf('%.2f', ROUND(AVG(tau) FILTER (responder = 1), 4)) FROM planted
+       UNION ALL SELECT 'Base learner', 'Spark GBTRegressor'""",
+)
+
 # --- reports -------------------------------------------------------------------------------------
 
 

@@ -12,10 +12,12 @@ from marketlens.plans.experiment import Scope, run_experiment
 from marketlens.plans.fact import fact_orders
 from marketlens.plans.propensity import run_propensity
 from marketlens.plans.segments import cluster_customers, segment_customers
+from marketlens.schemas import PROCESSED_TABLES
 from marketlens.sources.files import (
     load_raw_tables,
     raw_files_available,
     read_table,
+    register_tables,
     write_csv,
     write_daily_parquet,
     write_json,
@@ -38,7 +40,7 @@ class Settings:
 
 def build_tables(spark: SparkSession, raw: dict[str, DataFrame], out_dir: str) -> dict[str, DataFrame]:
     """Derive and store the processed tables. Facts are written first and read back by the others."""
-    write_parquet(fact_orders(raw), f"{out_dir}/fact_orders")
+    write_daily_parquet(fact_orders(raw), f"{out_dir}/fact_orders", "order_purchase_ts")
     fact = read_table(spark, out_dir, "fact_orders")
     unique = features.orders_are_unique(fact)
     write_parquet(features.customer_features(fact, unique_orders=unique), f"{out_dir}/customer_features")
@@ -46,17 +48,9 @@ def build_tables(spark: SparkSession, raw: dict[str, DataFrame], out_dir: str) -
     write_daily_parquet(features.state_category_daily_sales(fact, unique), f"{out_dir}/state_category_daily_sales")
     write_parquet(features.customer_repeat_features(fact), f"{out_dir}/customer_repeat_features")
     write_parquet(features.ab_test_sample(fact), f"{out_dir}/ab_test_sample")
-    return {
-        name: read_table(spark, out_dir, name)
-        for name in (
-            "fact_orders",
-            "customer_features",
-            "category_daily_sales",
-            "state_category_daily_sales",
-            "customer_repeat_features",
-            "ab_test_sample",
-        )
-    }
+    tables = {name: read_table(spark, out_dir, name) for name in PROCESSED_TABLES}
+    register_tables(tables)
+    return tables
 
 
 def build_all(
@@ -135,6 +129,7 @@ def build_all(
     ]:
         write_csv(reports.extract(df, keys), f"{output_dir}/report", name)
 
+    store(reports.experiment_readout(experiment.summary), "experiment_readout")
     orders = tables["fact_orders"]
     store(dashboard.kpi_summary(orders, tables["customer_features"]), "kpi_summary")
     clear_scratch(spark)

@@ -57,3 +57,26 @@ def executive_summary(
 def extract(df: DataFrame, keys: list[Column | str], rows: int = EXTRACT_ROWS) -> DataFrame:
     """The first rows of a report table in a stated order, for a spreadsheet-sized file."""
     return df.orderBy(*keys).limit(rows)
+
+
+def experiment_readout(summary: DataFrame) -> DataFrame:
+    """The experiment's key figures as formatted (metric, value) lines."""
+
+    def line(metric: str, value: Column) -> Column:
+        return F.struct(F.lit(metric).alias("metric"), value.alias("value"))
+
+    def number(name: str, form: str) -> Column:
+        return F.format_string(form, F.coalesce(F.col(name), F.lit(0.0)))
+
+    return summary.select(
+        F.inline(
+            F.array(
+                line("Customers", F.format_number("customers", 0)),
+                line("Treated customers", F.format_number("treated_customers", 0)),
+                line("Control customers", F.format_number("control_customers", 0)),
+                line("True responder rate", F.concat(F.format_string("%.2f", 100 * F.coalesce("true_responder_rate", F.lit(0.0))), F.lit("%"))),
+                line("True responder ATE", number("true_responder_ate", "R$ %.2f")),
+                line("Base learner", F.col("base_learner")),
+            )
+        )
+    )

@@ -388,6 +388,12 @@ def pool_rare_categories(spark, sf_dir):
 
 @query
 def stratified_split(spark, sf_dir):
+    rows = customer_repeat_features(spark, sf_dir).select("customer_unique_id", "repeat_purchase_label")
+    return prep.stratified_split(rows, "customer_unique_id", "repeat_purchase_label", 0.25, 42)
+
+
+@query
+def seeded_split(spark, sf_dir):
     rows = prep.seeded_split(customer_repeat_features(spark, sf_dir), "customer_unique_id", 0.25, 42)
     return rows.select("customer_unique_id", "repeat_purchase_label", "is_train")
 
@@ -461,6 +467,11 @@ def propensity_by_category(spark, sf_dir):
     return dashboard.propensity_by_category(score_by_category(spark, sf_dir))
 
 
+@query
+def state_summary_display(spark, sf_dir):
+    return dashboard.display_table(score_by_state(spark, sf_dir), ["first_customer_state"])
+
+
 @query
 def best_prospects(spark, sf_dir):
     out = dashboard.best_prospects(_scored(spark, sf_dir))
@@ -639,6 +650,11 @@ def method_comparison(spark, sf_dir):
     return _run_experiment(spark, sf_dir).comparison
 
 
+@query
+def experiment_readout(spark, sf_dir):
+    return reports.experiment_readout(experiment_summary(spark, sf_dir))
+
+
 # --- reports -------------------------------------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ from pyspark.sql import types as T
 
 from marketlens.schemas import RAW_SCHEMAS
 
+MONTH_COLUMN = "order_month"
 DEFAULT_FILES = {name: f"{name}.csv" for name in RAW_SCHEMAS}
 
 
@@ -96,9 +97,9 @@ def write_parquet(df: DataFrame, path: str, partition_by: list[str] | None = Non
 
 
 def write_daily_parquet(df: DataFrame, path: str, date_column: str = "order_date") -> None:
-    """Write a daily table in month folders, so that date filters prune partitions."""
-    month = F.date_format(date_column, "yyyy-MM").alias("order_month")
-    write_parquet(df.select("*", month), path, ["order_month"])
+    """Write a dated table in month folders, so that date filters prune partitions."""
+    month = F.date_format(date_column, "yyyy-MM").alias(MONTH_COLUMN)
+    write_parquet(df.select("*", month), path, [MONTH_COLUMN])
 
 
 def write_csv(df: DataFrame, out_dir: str, name: str) -> str:

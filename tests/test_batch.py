@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import re
+
 from marketlens.plans.batch import Settings, build_all
+from marketlens.plans.dashboard import filtered_orders
 from marketlens.plans.experiment import Scope
 from marketlens.sources import binding
 from marketlens.sources.files import path_exists, read_table
@@ -24,7 +27,11 @@ def test_build_all(spark, tmp_path):
     build_all(spark, raw, binding.available_sources(spark, SF_DIR), processed, output, settings)
 
     facts = read_table(spark, processed, "fact_orders")
-    assert facts.count() == 1498
+    assert facts.count() == 1498 and spark.table("fact_orders").count() == 1498
+    march = filtered_orders(facts, "1997-03-05", "1997-03-20")
+    plan = march._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PartitionFilters: \[[^]]*order_month#\d+ >= 1997-03", plan)
+    assert march.count() == facts.filter("to_date(order_purchase_ts) BETWEEN '1997-03-05' AND '1997-03-20'").count()
     daily = read_table(spark, processed, "state_category_daily_sales")
     assert daily.agg({"orders": "sum"}).first()[0] == facts.filter("order_status <> 'canceled'").count()
     report = {r["check"]: r for r in read_table(spark, output, "data_quality_summary").collect()}

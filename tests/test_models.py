@@ -157,7 +157,7 @@ def test_logistic_matches_newton(spark, features):
 
 
 def test_segments(spark):
-    rows = [(i, 10 + i % 3, c, r, r / c, k, 0) for i, (c, r, k) in
+    rows = [(i, 60 - c, c, r, r / c, k, 0) for i, (c, r, k) in
             enumerate([(1, 100.0, 1), (5, 5000.0, 3), (9, 20000.0, 5), (2, 900.0, 2)] * 40)]
     df = spark.createDataFrame(rows, "customer_unique_id long, recency_days int, order_count long, total_revenue double, "
                                      "avg_order_value double, category_count long, churn_label int")
