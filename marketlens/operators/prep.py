@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import uniform
-from marketlens.operators.quantiles import quantile_name, quantiles, with_row
+from marketlens.operators.quantiles import frozen, quantile_name, quantiles, with_row
 from marketlens.operators.ranking import global_row_number
 from marketlens.sources.scratch import materialize
 
@@ -21,6 +21,11 @@ def fit_medians(df: DataFrame, columns: list[str], method: str = "exact") -> Dat
     return row.select(*[F.col(quantile_name(c, 0.5)).alias(c) for c in columns])
 
 
+def columns_with_nulls(df: DataFrame, columns: list[str]) -> list[str]:
+    row = df.agg(*[F.count(F.when(F.col(c).isNull(), 1)).alias(c) for c in columns]).first()
+    return [c for c in columns if row[c] > 0]
+
+
 def fit_modes(df: DataFrame, columns: list[str]) -> DataFrame:
     """One row: the most frequent value of each column, the smallest one on a tie."""
     counts = (
@@ -50,7 +55,13 @@ def fill_from(df: DataFrame, row: DataFrame) -> DataFrame:
 def impute_median(
     df: DataFrame, columns: list[str], fit_on: DataFrame | None = None, method: str = "exact"
 ) -> DataFrame:
-    return fill_from(df, fit_medians(df if fit_on is None else fit_on, columns, method))
+    """Fill NULLs with medians that are computed now; columns without NULLs are left alone."""
+    source = df if fit_on is None else fit_on
+    gaps = columns if fit_on is not None else columns_with_nulls(df, columns)
+    filled = fill_from(df, frozen(fit_medians(source, gaps, method))) if gaps else df
+    return filled.select(
+        *[F.col(c).cast("double").alias(c) if c in columns else F.col(c) for c in filled.columns]
+    )
 
 
 def impute_mode(df: DataFrame, columns: list[str], fit_on: DataFrame | None = None) -> DataFrame:

@@ -538,8 +538,7 @@ def _experiment_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    frame = experiment.complete_features(_experiment_frame(spark, sf_dir))
-    return experiment.planted_effects(materialize(frame), _SCOPE)
+    return experiment.planted_effects(_experiment_frame(spark, sf_dir), _SCOPE)
 
 
 def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -564,8 +563,7 @@ def experiment_frame(spark, sf_dir):
 
 @query
 def baseline_purchase_probability(spark, sf_dir):
-    frame = experiment.complete_features(_experiment_frame(spark, sf_dir))
-    out = experiment.purchase_probabilities(materialize(frame), _SCOPE)
+    out = experiment.purchase_probabilities(_experiment_frame(spark, sf_dir), _SCOPE)
     return _rounded(out, "purchase_probability").select(
         "customer_unique_id", "core_market", "target_category_affinity", "purchase_probability"
     )

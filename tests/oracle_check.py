@@ -45,10 +45,9 @@ def bag(columns, rows) -> Counter:
 
 
 def differences(df: DataFrame, con: duckdb.DuckDBPyConnection, sql: str) -> list[str]:
-    rel = con.execute(sql)
-    names = [d[0] for d in rel.description]
     found = []
     types = {r[0]: r[1] for r in con.execute(f"DESCRIBE {sql}").fetchall()}
+    names = list(types)
     expected_rows = con.execute(sql).fetchall()
     if sorted(names) != sorted(df.columns):
         return [f"columns {sorted(df.columns)} vs {sorted(names)}"]

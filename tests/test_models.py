@@ -173,8 +173,7 @@ def test_segments(spark):
 @pytest.fixture(scope="module")
 def planted(spark, features):
     scores = features.select("customer_unique_id", uniform("customer_unique_id", 9, "p").alias("repeat_probability"))
-    frame = experiment.complete_features(experiment.experiment_frame(features, scores))
-    return experiment.planted_effects(frame).persist()
+    return experiment.planted_effects(experiment.experiment_frame(features, scores)).persist()
 
 
 def test_planted_effects(planted):

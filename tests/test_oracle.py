@@ -9,7 +9,7 @@ import pytest
 from __spark_entry__ import entry, oracle_sql, queries
 from tests.oracle_check import connect, differences
 
-SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.01")
+SF_DIR = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 
 
 @pytest.fixture(scope="module")
