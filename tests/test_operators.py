@@ -124,3 +124,41 @@ def test_t_tail_values():
         assert two_sided_t(t, v) == pytest.approx(0.05, abs=1e-6)
     assert two_sided_t(0.0, 5) == pytest.approx(1.0)
     assert two_sided_t(40.0, 1000) < 1e-200
+
+
+def test_hot_order_product_and_buyer(spark):
+    """One order, one product and one buyer hold a third of the rows; results equal pandas."""
+    import pandas as pd
+
+    from marketlens.plans import fact, features
+    from marketlens.schemas import RAW_SCHEMAS
+
+    rng = random.Random(3)
+    items = [
+        (f"o{0 if i % 3 == 0 else rng.randrange(400)}", i, f"p{1 if i % 3 == 1 else rng.randrange(50)}",
+         f"s{rng.randrange(9)}", rng.randrange(1, 5000) / 100, 1.25)
+        for i in range(6000)
+    ]
+    orders = [(f"o{i}", f"c{i}", "delivered", f"2018-01-{1 + i % 28:02d} 00:00:00", None, None) for i in range(400)]
+    customers = [(f"c{i}", "u0" if i % 3 == 0 else f"u{i}", "x", "SP") for i in range(400)]
+    raw = {
+        "orders": orders, "customers": customers, "order_items": items, "order_payments": [],
+        "products": [(f"p{i}", f"cat{i % 6}") for i in range(50)], "category_translation": [],
+    }
+    tables = {name: spark.createDataFrame(rows, RAW_SCHEMAS[name]) for name, rows in raw.items()}
+    facts = fact.fact_orders(tables)
+    got = {r["order_id"]: r for r in facts.collect()}
+
+    pdf = pd.DataFrame(items, columns=["o", "i", "p", "s", "price", "freight"])
+    pdf["cat"] = pdf["p"].map(lambda p: f"cat{int(p[1:]) % 6}")
+    for order, group in pdf.groupby("o"):
+        r = got[order]
+        assert (r["item_count"], r["distinct_product_count"], r["seller_count"]) == (len(group), group["p"].nunique(), group["s"].nunique())
+        assert r["item_revenue"] == pytest.approx(group["price"].sum())
+        assert r["product_category"] == group["cat"].max()
+
+    buyers = {r["customer_unique_id"]: r for r in features.customer_features(facts).collect()}
+    assert buyers["u0"]["order_count"] == 134
+    first = {r["customer_unique_id"]: r for r in features.customer_repeat_features(facts).collect()}
+    assert first["u0"]["first_order_value"] == got["o0"]["payment_value"]
+    assert first["u0"]["repeat_purchase_label"] == 1 and first["u1"]["repeat_purchase_label"] == 0
