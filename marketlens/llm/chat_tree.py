@@ -24,12 +24,12 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import store
+from marketlens.llm.common import SALTS, store
 
 OPEN, CLOSE = "<turn>", "</turn>\n"
 #: The role whose text is under the loss mask.
 LEARNED = "assistant"
-LEVELS, SALTS = 32, 32
+LEVELS = 32
 
 
 def escape(text: str) -> str:

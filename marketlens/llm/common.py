@@ -8,12 +8,13 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 #: Text bytes handled at once inside a task; one longer document is a chunk of its own.
 CHUNK_BYTES = 1 << 20
+#: Sub-keys of a group when its aggregates go back to its rows.
+SALTS = 32
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -145,6 +146,16 @@ def ragged(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
     return np.repeat(starts - (ends - lengths), lengths) + np.arange(total)
 
 
+def salted(rows: DataFrame, keys: list[str], values: list[Column], salt: Column, least: int) -> DataFrame:
+    """Rows with aggregates of their group, for groups of `least` rows and more.
+
+    Aggregates are combined before the shuffle and come back under the sub-keys that the group's rows use.
+    """
+    rows = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    groups = rows.groupBy(*keys).agg(*values, F.count("*").alias("_n"), F.collect_set("_salt").alias("_salts")).where(F.col("_n") >= least)
+    return rows.join(groups.withColumn("_salt", F.explode("_salts")).drop("_salts", "_n"), [*keys, "_salt"]).drop("_salt")
+
+
 def connected_components(edges: DataFrame, what: str = "components") -> DataFrame:
     """(id, component): the smallest id reachable over undirected edges (a, b).
 
@@ -165,7 +176,3 @@ def connected_components(edges: DataFrame, what: str = "components") -> DataFram
         label = after.select("id", "component")
         if not changed:
             return label
-
-
-def long_type(df: DataFrame, *names: str) -> DataFrame:
-    return df.withColumns({n: F.col(n).cast(T.LongType()) for n in names})

@@ -6,9 +6,8 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, chat_tree, token_files, url_filter, warc
+from marketlens.llm import bpe, chat_tree, decontaminate, minhash, pivots, quality, suffix_dedup, token_files, url_filter, warc
 from marketlens.llm.common import read_table
 
 URL_RULES = [
@@ -20,10 +19,22 @@ URL_RULES = [
 ]
 
 
+def op1_pivots(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pivots.near_duplicates(read_table(spark, sf_dir, "embeddings"))
+
+
+def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality.judge(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
+
+
 def op3_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.round_trip(spark, read_table(spark, sf_dir, "pages"))
 
 
+def op4_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark")).drop("digest")
+
+
 def op5_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(read_table(spark, sf_dir, "pages").select("page_id", "url"), URL_RULES).select("page_id", "host", "path", "rule", "verdict", "score")
 
@@ -33,6 +44,14 @@ def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_files.checksums(files.read(spark))
 
 
+def op7_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(read_table(spark, sf_dir, "documents"), size=3, percent=85)
+
+
+def op8_suffix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.remove_repeats(read_table(spark, sf_dir, "documents"))
+
+
 def op9_chat_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "\\### Assistant: </turn> ok"
     more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], "conv_id long, turn long, role string, text string")
@@ -45,6 +64,6 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op3_warc, op5_url_filter, op6_token_files, op9_chat_tree, op10_bpe)
+    f.__name__: f for f in (op1_pivots, op2_quality, op3_warc, op4_decontaminate, op5_url_filter, op6_token_files, op7_minhash, op8_suffix, op9_chat_tree, op10_bpe)
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE}
