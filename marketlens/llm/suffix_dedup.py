@@ -88,6 +88,7 @@ def sorted_runs(found: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         core_before = phrase_before = None
+        origin = (0, 0)  # document and start of the first occurrence of phrase_before
         held: tuple[int, int] | None = None  # the only first occurrence so far of core_before
         for batch in batches:
             n = batch.num_rows
@@ -99,7 +100,12 @@ def sorted_runs(found: DataFrame) -> DataFrame:
             new[1:] = new_core[1:] | (phrase[1:] != phrase[:-1])
             new_core[0] = core_before is None or core[0] != core_before
             new[0] = new_core[0] or phrase[0] != phrase_before
-            kind = np.where(new, 0, 1).astype(np.int32)
+            # The same bytes found through two triggers are one occurrence.
+            first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+            first_d = np.where(first < 0, origin[0], d[first])
+            first_start = np.where(first < 0, origin[1], place[first] >> 14)
+            kind = np.where(new | ((d == first_d) & (place >> 14 == first_start)), 0, 1).astype(np.int32)
+            origin = (first_d[-1], first_start[-1])
             group = np.cumsum(new_core)  # group 0 goes on from the batch before
             firsts = np.flatnonzero(new)
             counts = np.bincount(group[firsts], minlength=int(group[-1]) + 1)
