@@ -175,7 +175,7 @@ def train(docs: DataFrame, labels: DataFrame) -> Trees:
     # Documents that repeat an id would exceed the bound: the first in order stands for them.
     found = store(found, "statistics").groupBy("doc_id").agg(F.min(F.struct("x", "quality")).alias("s"))
     table = found.select("doc_id", "s.quality", "s.x").toArrow().sort_by("doc_id")
-    x = np.array(table.column("x").to_pylist(), np.float64).reshape(table.num_rows, -1)
+    x = np.array(table.column("x").to_pylist(), np.float64).reshape(table.num_rows, FEATURES)
     return fit(x, (table.column("quality").to_numpy() > 0).astype(np.float64))
 
 

@@ -221,8 +221,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     spark = docs.sparkSession
     names = docs.columns if keep_text else ["doc_id", "text"]
     ids = Window.partitionBy("d").orderBy("xx")
-    base = docs.select(*names).withColumn("d", F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID))).withColumn("xx", F.xxhash64("text"))
-    base = base.withColumn("variant", F.dense_rank().over(ids) - 1).drop("xx")
+    # The caller's columns go under names of their own, so none can clash.
+    inner = {n: "text" if n == "text" else f"column_{i}" for i, n in enumerate(names)}
+    base = docs.select(*[F.col(n).alias(c) for n, c in inner.items()], F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("xx"))
+    base = base.withColumn("variant", (F.dense_rank().over(ids) - 1).cast("long")).drop("xx")
     # A bucketed table: the three joins with flagged places deal out only the places.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"suffix_dedup_{uuid.uuid4().hex}"
@@ -238,7 +240,6 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         schema = T.StructType(docs.schema.fields)
     else:
         schema = T._parse_datatype_string("doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
-    others = [n for n in names if n != "text"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -258,13 +259,10 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 else:
                     rows.append((len(text), len(text) - len(kept), len(spans), hashlib.sha256(kept).hexdigest()))
             if keep_text:
-                columns = [pa.array(out, pa.string()) if n == "text" else batch.column(n) for n in names]
+                columns = [pa.array(out, pa.string()) if n == "text" else batch.column(c) for n, c in inner.items()]
                 yield pa.RecordBatch.from_arrays(columns, names=names)
             else:
                 sums = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *sums, pa.array([r[3] for r in rows], pa.string())], names=schema.names)
+                yield pa.RecordBatch.from_arrays([batch.column(inner["doc_id"]).cast(pa.int64()), *sums, pa.array([r[3] for r in rows], pa.string())], names=schema.names)
 
-    wanted = joined(base, flags, names, "left").select(*others, "text", "places")
-    if not keep_text:
-        wanted = wanted.withColumn("doc_id", F.col("doc_id").cast("long"))
-    return wanted.mapInArrow(run, schema)
+    return joined(base, flags, list(inner.values()), "left").drop("d", "variant").mapInArrow(run, schema)
