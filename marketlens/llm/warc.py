@@ -26,7 +26,7 @@ from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import new_folder, store
+from marketlens.llm.common import new_folder, salted, store
 
 #: Compressed bytes after which a file is closed; html bytes a shard is cut at; id ranges counted for that.
 FILE_BYTES, SHARD_BYTES, ID_RANGES = 16 << 20, 64 << 20, 4096
@@ -34,8 +34,6 @@ FILE_BYTES, SHARD_BYTES, ID_RANGES = 16 << 20, 64 << 20, 4096
 LEAST_REVISIT_BYTES = 0
 #: The capture date of records whose table has none.
 DATE = "2020-01-01T00:00:00Z"
-#: Sub-keys per payload when records look up their first copy.
-SALTS = 32
 
 
 def file_system(uri: str) -> tuple[fs.FileSystem, str]:
@@ -106,18 +104,16 @@ def parse(data: bytes) -> dict:
     return {"page_id": number("Page-ID"), "url": fields.get("WARC-Target-URI"), "payload_bytes": stated, "payload_digest": digest, "record_type": fields["WARC-Type"], "refers_to": number("WARC-Refers-To-Page-ID"), "payload": payload if response else None}
 
 
-def with_first(pages: DataFrame) -> DataFrame:
-    """Adds first (the smallest page_id with the same payload) and response.
+def copies(pages: DataFrame) -> DataFrame:
+    """(page_id, digest, first): the smallest page_id with the same payload, for payloads met twice.
 
-    Copies are counted per payload before the shuffle; only payloads met twice are looked up, under as many
-    sub-keys as their rows use, so that the copies of one payload go to many tasks.
+    Copies are counted per payload before the shuffle; payloads are looked up under as many sub-keys as
+    their rows use, so that the copies of one payload go to many tasks. No html is moved here.
     """
-    rows = pages.selectExpr("cast(page_id as long) as page_id", "url", "html", "sha1(cast(coalesce(html, '') as binary)) as digest")
-    rows = rows.withColumn("salt", F.pmod(F.coalesce("page_id", F.lit(0)), F.lit(SALTS)).cast("int"))
-    copies = rows.where(F.octet_length(F.coalesce("html", F.lit(""))) >= LEAST_REVISIT_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("n"), F.collect_set("salt").alias("salts"))
-    firsts = copies.where("n > 1").select("digest", "first", F.explode("salts").alias("salt"))
-    # (digest, salt) of rows outside the groups meets nothing and stays a response.
-    return rows.join(firsts, ["digest", "salt"], "left").withColumn("response", F.expr("first is null or coalesce(page_id = first, false)")).drop("salt", "digest")
+    payload = F.coalesce("html", F.lit(""))
+    rows = pages.where(F.octet_length(payload) >= LEAST_REVISIT_BYTES).select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload.cast("binary")).alias("digest"))
+    found = salted(rows, ["digest"], [F.min("page_id").alias("first")], F.coalesce("page_id", F.lit(0)), 2)
+    return found.where("first is not null").select("page_id", "digest", "first").distinct()
 
 
 def shard_column(pages: DataFrame) -> tuple[F.Column, int]:
@@ -144,7 +140,10 @@ def write(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BY
     folder = folder or new_folder(spark, "warc")
     shard, shards = shard_column(pages)
     parts = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
-    dealt = with_first(pages).withColumn("shard", shard).repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "url", "html")
+    # Facts about copies travel beside the records: sorted together, a page's facts come right before it.
+    records_ = pages.selectExpr("cast(page_id as long) as page_id", "url", "html", "cast(null as string) as digest", "cast(null as long) as first", "1 as kind")
+    facts = copies(pages).selectExpr("page_id", "cast(null as string) as url", "cast(null as string) as html", "digest", "first", "0 as kind")
+    dealt = records_.union(facts).withColumn("shard", shard).repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
     schema = "shard int, part int, temporary string, records long, bytes long, sha256 string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -159,17 +158,23 @@ def write(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BY
                 made.append(out | {"sha256": out["sha256"].hexdigest()})
                 out = None
 
-        part = 0
+        part, of_page, firsts = 0, None, {}
         for batch in batches:
             for row in batch.itertuples(index=False):
+                if row.page_id != of_page:
+                    of_page, firsts = row.page_id, {}
+                if row.kind == 0:
+                    firsts[row.digest] = int(row.first)
+                    continue
                 if out and (row.shard != out["shard"] or out["bytes"] >= file_bytes):
                     part = part + 1 if row.shard == out["shard"] else 0
                     close()
                 if not out:
                     name = f"_temporary/{attempt}/{row.shard}-{part}"
                     out = {"shard": row.shard, "part": part, "temporary": name, "records": 0, "bytes": 0, "sha256": hashlib.sha256(), "stream": store_at.open_output_stream(f"{root}/{name}")}
-                whole = lambda x: None if x is None else int(x)
-                data = member(record(whole(row.page_id), row.url, row.html, whole(row.first), bool(row.response)))
+                page_id = None if row.page_id is None else int(row.page_id)
+                first = firsts.get(hashlib.sha1((row.html or "").encode("utf-8", "surrogatepass")).hexdigest())
+                data = member(record(page_id, row.url, row.html, first, first is None or first == page_id))
                 out["stream"].write(data)
                 out["sha256"].update(data)
                 out["records"] += 1
@@ -178,7 +183,7 @@ def write(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BY
         yield pd.DataFrame(made, columns=["shard", "part", "temporary", "records", "bytes", "sha256"])
 
     # Ids travel as text: pandas would make floats of a nullable long column.
-    sent = dealt.selectExpr("shard", "cast(page_id as string) page_id", "url", "html", "cast(first as string) first", "response")
+    sent = dealt.selectExpr("shard", "cast(page_id as string) page_id", "kind", "url", "html", "digest", "cast(first as string) first")
     found = store(sent.mapInPandas(run, schema), "warc-manifest")
 
     def commit(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
