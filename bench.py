@@ -9,13 +9,12 @@ from __future__ import annotations
 import json
 import os
 import statistics
-import tempfile
 import time
 
 from pyspark.sql import SparkSession
 
 from marketlens.registry import QUERIES
-from marketlens.sources.scratch import clear_scratch
+from marketlens.sources.scratch import scratch_run
 
 HEADLINE = [
     "payment_summary",
@@ -54,7 +53,6 @@ def main() -> None:
         .config("spark.ui.enabled", "false")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")
         .config("spark.driver.memory", "12g")
-        .config("spark.checkpoint.dir", tempfile.mkdtemp(prefix="bench-"))
         .getOrCreate()
     )
     spark.sparkContext.setLogLevel("ERROR")
@@ -63,10 +61,10 @@ def main() -> None:
         runs = []
         for _ in range(RUNS + 1):
             start = time.perf_counter()
-            QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
+            with scratch_run(spark):
+                QUERIES[name](spark, sf_dir).write.format("noop").mode("overwrite").save()
             runs.append(time.perf_counter() - start)
         seconds[name] = round(statistics.median(runs[1:]), 3)
-        clear_scratch(spark)
     spark.stop()
     print(
         json.dumps(

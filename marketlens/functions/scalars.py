@@ -14,30 +14,21 @@ def _col(c: ColumnOrName) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
-# --- exact money ---------------------------------------------------------------------------------
+# --- money ---------------------------------------------------------------------------------------
 
 
-def cents(c: ColumnOrName) -> Column:
-    """Money as whole cents: sums of longs do not depend on task order and stay in codegen."""
-    return F.round(_col(c) * 100).cast("long")
+def known(c: ColumnOrName) -> Column:
+    """A number, or NULL where it is not one."""
+    return F.nanvl(_col(c).cast("double"), F.lit(None).cast("double"))
 
 
-def exact_sum(c: ColumnOrName) -> Column:
-    """SUM of money; NULL for a group without any value."""
-    return F.sum(cents(c)) / F.lit(100.0)
+def money_sum(c: ColumnOrName) -> Column:
+    """SUM of amounts as they are, without rounding; NULL for a group without any value."""
+    return F.sum(known(c))
 
 
-def exact_avg(c: ColumnOrName) -> Column:
-    return F.sum(cents(c)) / F.count(_col(c)) / F.lit(100.0)
-
-
-def fixed_sum(c: ColumnOrName, digits: int = 9) -> Column:
-    """Order-independent SUM of a bounded double (scores, rates) at a fixed number of digits."""
-    return F.sum(F.round(_col(c) * float(10**digits)).cast("long")).cast("double") / float(10**digits)
-
-
-def fixed_avg(c: ColumnOrName, digits: int = 9) -> Column:
-    return fixed_sum(c, digits) / F.count(_col(c))
+def money_avg(c: ColumnOrName) -> Column:
+    return F.avg(known(c))
 
 
 # --- flags, bands, bounds ------------------------------------------------------------------------
@@ -190,10 +181,3 @@ def uniform(key: ColumnOrName, seed: int, stream: str) -> Column:
     """Uniform number in [0, 1) that depends only on key, seed and stream."""
     text = F.concat_ws("|", _col(key).cast("string"), F.lit(str(seed)), F.lit(stream))
     return hash_bucket(text) / F.lit(4294967296.0)
-
-
-def standard_normal(key: ColumnOrName, seed: int, stream: str) -> Column:
-    """Box-Muller on two seeded uniforms."""
-    radius = F.greatest(uniform(key, seed, stream + "/r"), F.lit(1e-12))
-    angle = uniform(key, seed, stream + "/a")
-    return F.sqrt(-2 * F.log(radius)) * F.cos(F.lit(6.283185307179586) * angle)

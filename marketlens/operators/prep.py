@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import uniform
 from marketlens.operators.quantiles import frozen, quantile_name, quantiles, with_row
-from marketlens.operators.ranking import global_row_number
+from marketlens.operators.ranking import PART, POS, sorted_layout
 from marketlens.sources.scratch import materialize
 
 # Fixed value: the name under which rare categories appear in feature tables.
@@ -146,16 +146,20 @@ def stratified_split(
 ) -> DataFrame:
     """Seeded split with an exact share of test rows in every stratum.
 
-    The rows are ranked once by (stratum, hash, key); the position inside a stratum is that rank
-    minus the rows of earlier strata, so a stratum that holds most rows is still many tasks.
+    The rows are sorted once by (stratum, hash, key). A row's rank inside its stratum is its place in its
+    partition plus the stratum's rows in earlier partitions; those counts have one row per partition and
+    stratum, so rows meet them by partition number, and a stratum that holds most rows stays spread.
     """
     drawn = df.withColumn("_u", uniform(key, seed, "split"))
-    ranked = global_row_number(drawn, [F.col(stratum).asc_nulls_first(), F.col("_u"), F.col(key)], "_rank")
-    before = Window.orderBy(F.col(stratum).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = ranked.groupBy(stratum).agg(F.count(F.lit(1)).alias("_n"))
-    sizes = sizes.select(
-        F.col(stratum).alias("_stratum"), "_n", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_start")
+    laid = sorted_layout(drawn, [F.col(stratum).asc_nulls_first(), F.col("_u"), F.col(key)])
+    counts = laid.groupBy(PART, stratum).agg(F.count(F.lit(1)).alias("_n"), F.min(POS).alias("_from"))
+    inside = Window.partitionBy(stratum)
+    before = inside.orderBy(PART).rowsBetween(Window.unboundedPreceding, -1)
+    counts = counts.select(
+        F.col(PART).alias("_p"), "_from", F.col(stratum).alias("_s"),
+        F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"), F.sum("_n").over(inside).alias("_total"),
     )
-    joined = ranked.join(sizes, F.col(stratum).eqNullSafe(F.col("_stratum")))
-    is_test = F.col("_rank") - F.col("_start") <= F.round(F.col("_n") * fraction)
+    joined = laid.join(counts, (F.col(PART) == F.col("_p")) & F.col(stratum).eqNullSafe(F.col("_s")))
+    rank = F.col("_before") + F.col(POS) - F.col("_from") + 1
+    is_test = rank <= F.round(F.col("_total") * fraction)
     return joined.select(*df.columns, F.when(is_test, 0).otherwise(1).alias(name))

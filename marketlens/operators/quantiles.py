@@ -9,10 +9,6 @@ from pyspark.sql import functions as F
 
 from marketlens.operators.ranking import running_totals
 
-# Up to this many distinct values per column one task merges the value counts; above it the
-# counts stay range-partitioned.
-DISTINCT_LIMIT = 1_000_000
-
 
 def quantile_name(column: str, p: float) -> str:
     return f"{column}_q{int(round(p * 10000)):05d}"
@@ -30,28 +26,14 @@ def _interpolated(low: Column, high: Column, position: Column) -> Column:
     return low + (high - low) * (position - F.floor(position))
 
 
-def exact_quantiles(
-    df: DataFrame, requests: dict[str, list[float]], distinct_limit: int = DISTINCT_LIMIT
-) -> DataFrame:
+def exact_quantiles(df: DataFrame, requests: dict[str, list[float]]) -> DataFrame:
     """One row with linearly interpolated quantiles, columns named by ``quantile_name``.
 
-    NULLs are left out; a column without values gives NULL. The number of distinct values is
-    estimated first and decides between the two exact ways.
+    NULLs are left out; a column without values gives NULL. Value counts of all columns are sorted
+    across the cluster and ranked by running totals, whatever their number, so equal data give equal
+    quantiles at every size. Values are compared and returned as doubles.
     """
-    columns = list(requests)
-    estimate = df.agg(*[F.approx_count_distinct(c).alias(c) for c in columns]).first()
-    counts = _value_counts(df, columns)
-    if max(estimate) <= distinct_limit:
-        return counts.agg(
-            *[
-                F.percentile(
-                    F.when(F.col("name") == c, F.col("value")), p, F.when(F.col("name") == c, F.col("n")).otherwise(1)
-                ).alias(quantile_name(c, p))
-                for c, ps in requests.items()
-                for p in ps
-            ]
-        )
-    return _ranked_quantiles(counts, requests)
+    return _ranked_quantiles(_value_counts(df, list(requests)), requests)
 
 
 def _ranked_quantiles(counts: DataFrame, requests: dict[str, list[float]]) -> DataFrame:
@@ -110,8 +92,8 @@ def quantiles(df: DataFrame, requests: dict[str, list[float]], method: str = "ex
 
 
 def with_row(df: DataFrame, one_row: DataFrame) -> DataFrame:
-    """Attach the columns of a one-row frame to every row (a broadcast of that row)."""
-    return df.crossJoin(F.broadcast(one_row))
+    """Attach the columns of a one-row frame to every row (a broadcast of that one row)."""
+    return df.crossJoin(F.broadcast(one_row.limit(1)))
 
 
 def frozen(one_row: DataFrame) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.scalars import fixed_avg, propensity_band
+from marketlens.functions.scalars import propensity_band
 from marketlens.operators.quantiles import with_row
 from marketlens.operators.ranking import global_row_number, running_totals
 
@@ -116,5 +116,5 @@ def score_summary(df: DataFrame, group: str, key: str, label: str, score: str) -
     return df.groupBy(group).agg(
         F.count_distinct(key).alias("customers"),
         F.avg(label).alias("actual_repeat_rate"),
-        fixed_avg(score).alias("avg_repeat_probability"),
+        F.avg(score).alias("avg_repeat_probability"),
     )

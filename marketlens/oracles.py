@@ -7,7 +7,7 @@ from __future__ import annotations
 
 import re
 
-from marketlens.schemas import CHURN_DAYS, EXPERIMENT_SAMPLE_ROWS, VALID_STATUSES
+from marketlens.schemas import CHURN_DAYS, VALID_STATUSES
 from marketlens.sources.binding import CORE_STATES, TARGET_CATEGORY, TRANSLATIONS
 
 
@@ -16,11 +16,11 @@ def _in(values) -> str:
 
 
 def money(x: str) -> str:
-    return f"CAST(SUM(CAST({x} AS DECIMAL(18,2))) AS DOUBLE)"
+    return f"SUM({x})"
 
 
 def money_avg(x: str) -> str:
-    return f"CAST(SUM(CAST(ROUND({x} * 100) AS BIGINT)) AS DOUBLE) / COUNT({x}) / 100"
+    return f"AVG({x})"
 
 
 def uniform(key: str, seed: int, stream: str) -> str:
@@ -28,11 +28,6 @@ def uniform(key: str, seed: int, stream: str) -> str:
     return f"(CAST(('0x' || substr(md5({text}), 1, 8)) AS BIGINT) / 4294967296.0)"
 
 
-def normal(key: str, seed: int, stream: str) -> str:
-    r, a = uniform(key, seed, stream + "/r"), uniform(key, seed, stream + "/a")
-    return f"(sqrt(-2 * ln(greatest({r}, 1e-12::DOUBLE))) * cos(6.283185307179586::DOUBLE * {a}))"
-
-
 def capitalize(x: str) -> str:
     t = f"replace({x}, '_', ' ')"
     return f"(upper(substr({t}, 1, 1)) || lower(substr({t}, 2)))"
@@ -68,7 +63,7 @@ CTES: dict[str, str] = {
         FROM t_purchases""",
     "t_items": """
         SELECT l_orderkey AS order_id, l_linenumber AS order_item_id, l_partkey AS product_id,
-               l_suppkey AS seller_id, l_extendedprice AS price, floor(l_extendedprice * l_tax) AS freight_value
+               l_suppkey AS seller_id, l_extendedprice AS price, l_extendedprice * l_tax AS freight_value
         FROM lineitem""",
     "t_payments": """
         SELECT o_orderkey AS order_id,
@@ -150,16 +145,15 @@ CTES: dict[str, str] = {
                CAST(month(order_purchase_ts) AS INT) AS first_order_month,
                CASE WHEN lifetime_orders > 1 THEN 1 ELSE 0 END AS repeat_purchase_label
         FROM ranked_orders WHERE order_rank = 1""",
-    "latest_paid": f"""
-        SELECT order_id, payment_value FROM valid_orders WHERE payment_value IS NOT NULL
-        ORDER BY order_purchase_ts DESC, order_id DESC LIMIT {EXPERIMENT_SAMPLE_ROWS}""",
+    "paid_orders": """
+        SELECT order_id, payment_value FROM valid_orders WHERE payment_value IS NOT NULL""",
     "ab_test_sample": """
         SELECT CASE WHEN CAST(('0x' || substr(md5(CAST(order_id AS VARCHAR)), 1, 8)) AS BIGINT) % 2 = 0
                     THEN 'control' ELSE 'treatment' END AS variant,
-               CASE WHEN payment_value >= (SELECT quantile_cont(payment_value, 0.5) FROM latest_paid)
+               CASE WHEN payment_value >= (SELECT quantile_cont(payment_value, 0.5) FROM paid_orders)
                     THEN 1 ELSE 0 END AS converted,
                payment_value AS order_value
-        FROM latest_paid""",
+        FROM paid_orders""",
 }
 
 
@@ -214,7 +208,7 @@ oracle(
               order_purchase_timestamp, order_delivered_customer_date, order_estimated_delivery_date
        FROM t_orders""",
 )
-oracle("daily_sales_round_trip", "SELECT * FROM category_daily_sales WHERE year(order_date) = 1997")
+oracle("daily_sales_round_trip", "SELECT * FROM category_daily_sales")
 oracle(
     "metrics_json_round_trip",
     "SELECT ROUND(AVG(CASE WHEN order_count > 1 THEN 1 ELSE 0 END), 6) AS repeat_customer_rate FROM customer_features",
@@ -246,9 +240,9 @@ oracle(
 )
 oracle(
     "insight_lines",
-    f"""SELECT 'Category leader' AS title, {label('top_category')} || ' is the top filtered revenue category.' AS body FROM kpi
-        UNION ALL SELECT 'Repeat behavior', 'Only ' || {percent('repeat_customer_rate')} || ' of customers bought more than once.' FROM kpi
-        UNION ALL SELECT 'Delivery signal', {percent('late_delivery_rate')} || ' of filtered orders arrived after the estimated date.' FROM kpi""",
+    f"""SELECT 'Category leader' AS title, {label('top_category')} || ' brings in the most revenue here.' AS body FROM kpi
+        UNION ALL SELECT 'Repeat behavior', {percent('repeat_customer_rate')} || ' of buyers came back for a second order.' FROM kpi
+        UNION ALL SELECT 'Delivery signal', {percent('late_delivery_rate')} || ' of these orders came later than promised.' FROM kpi""",
 )
 oracle(
     "repeat_customer_rate",
@@ -360,7 +354,7 @@ def _null_rates(name: str, block: str, columns: list[str]) -> str:
         "CASE WHEN rate > 0.25 THEN 'warn' ELSE 'pass' END",
         "CAST(ROUND(rate, 4) AS DECIMAL(10,4))",
         "ROUND(rate, 4)",
-        "Top raw missing-value rates",
+        "largest shares of missing values",
         f"FROM {rows} WHERE pos <= 5",
     )
 
@@ -378,22 +372,22 @@ def _orphans(check: str, child: str, parent: str, key: str, detail: str) -> str:
 _DQ = {
     "dq_raw_files": [
         f"SELECT 'raw_file_exists__{name}' AS \"check\", 'pass' AS status, 'true' AS value, "
-        f"1.0::DOUBLE AS value_num, 'Required raw file {name}' AS detail"
+        f"1.0::DOUBLE AS value_num, 'input file of table {name}' AS detail"
         for name in _RAW
     ],
     "raw_counts": [
-        _count_check(f"raw_row_count__{name}", "COUNT(*)", "Raw table row count", f"FROM {block}")
+        _count_check(f"raw_row_count__{name}", "COUNT(*)", "rows read from the input", f"FROM {block}")
         for name, (block, _) in _RAW.items()
     ],
     "processed_counts": [
-        _count_check(f"processed_row_count__{name}", "COUNT(*)", "Processed table row count", f"FROM {name}")
+        _count_check(f"processed_row_count__{name}", "COUNT(*)", "rows of the derived table", f"FROM {name}")
         for name in _PROCESSED
     ],
     "dq_duplicate_keys": [
         _count_check(
             f"raw_duplicate_key_count__{name}",
             "COALESCE(SUM(c - 1), 0)",
-            f"Duplicate count for {key}",
+            f"rows beyond the first per {key}",
             f"FROM (SELECT COUNT(*) AS c FROM {block} GROUP BY {key})",
             True,
         )
@@ -407,25 +401,25 @@ _DQ = {
     "dq_null_rates": [_null_rates(name, block, columns) for name, (block, columns) in _RAW.items()],
     "dq_referential_integrity": [
         _orphans("orders_to_customers", "t_orders", "t_customers", "customer_id",
-                 "Orders whose customer_id is missing from customers"),
+                 "orders that name no known customer"),
         _orphans("items_to_orders", "t_items", "t_orders", "order_id",
-                 "Order item rows whose order_id is missing from orders"),
+                 "items of an order that is not there"),
         _orphans("payments_to_orders", "t_payments", "t_orders", "order_id",
-                 "Payment rows whose order_id is missing from orders"),
+                 "payments for an order that is not there"),
         _orphans("items_to_products", "t_items", "t_products", "product_id",
-                 "Order item rows whose product_id is missing from products"),
+                 "items of a product that is not listed"),
     ],
     "dq_fact_checks": [
         _check("'fact_orders__positive_payment_rate'", "'pass'", "CAST(ROUND(r, 4) AS DECIMAL(10,4))", "ROUND(r, 4)",
-               "Share of fact orders with positive payment value",
+               "orders with a payment above zero",
                "FROM (SELECT AVG(CASE WHEN payment_value > 0 THEN 1 ELSE 0 END) AS r FROM fact_orders)"),
         _check("'fact_orders__date_range'", "'pass'",
                "'{\"min_order_purchase_ts\":\"' || strftime(lo, '%Y-%m-%d %H:%M:%S') || "
                "'\",\"max_order_purchase_ts\":\"' || strftime(hi, '%Y-%m-%d %H:%M:%S') || '\"}'",
-               "NULL", "Observed order purchase timestamp range",
+               "NULL", "first and last purchase time",
                "FROM (SELECT MIN(order_purchase_ts) AS lo, MAX(order_purchase_ts) AS hi FROM fact_orders)"),
         _check("'customer_repeat_features__repeat_rate'", "'pass'", "CAST(ROUND(r, 4) AS DECIMAL(10,4))", "ROUND(r, 4)",
-               "Observed repeat purchase target rate",
+               "share of buyers with a second order",
                "FROM (SELECT AVG(repeat_purchase_label) AS r FROM customer_repeat_features)"),
     ],
 }
@@ -435,7 +429,7 @@ def _union(parts: list[str]) -> str:
     return "\nUNION ALL ".join(parts)
 
 
-for _name in ("dq_raw_files", "dq_duplicate_keys", "dq_null_rates", "dq_referential_integrity", "dq_fact_checks"):
+for _name in ("dq_duplicate_keys", "dq_null_rates", "dq_referential_integrity", "dq_fact_checks"):
     oracle(_name, _union(_DQ[_name]))
 oracle("dq_row_counts", _union(_DQ["raw_counts"] + _DQ["processed_counts"]))
 _REPORT = _union([part for parts in _DQ.values() for part in parts])
@@ -469,17 +463,17 @@ CTES["sized_series"] = """
     SELECT *, CAST(LEAST(28, GREATEST(7, days // 8)) AS INT) AS width FROM (
       SELECT *, COUNT(*) OVER (PARTITION BY customer_state, product_category) AS days,
              ROW_NUMBER() OVER (PARTITION BY customer_state, product_category ORDER BY order_date DESC) AS back
-      FROM daily_series) WHERE days >= 35"""
+      FROM daily_series)"""
 CTES["rolling"] = """
     SELECT *, CASE WHEN COUNT(*) OVER w >= 7 THEN
-                CAST(SUM(CAST(ROUND(revenue * 100) AS BIGINT)) OVER w AS DOUBLE) / COUNT(*) OVER w / 100 END AS rolling_mean
+                AVG(revenue) OVER w END AS rolling_mean
     FROM sized_series
     WINDOW w AS (PARTITION BY customer_state, product_category ORDER BY order_date
                  ROWS BETWEEN width - 1 PRECEDING AND CURRENT ROW)"""
 CTES["levels"] = """
     SELECT customer_state, product_category, MAX(order_date) AS last_date,
            AVG(revenue) FILTER (back <= width) AS level, stddev_samp(revenue - rolling_mean) AS residual_std
-    FROM rolling GROUP BY 1, 2"""
+    FROM rolling WHERE days >= 35 GROUP BY 1, 2"""
 CTES["ma_forecast"] = """
     SELECT CAST(last_date + to_days(CAST(h AS INT)) AS DATE) AS order_date, customer_state, product_category,
            ROUND(GREATEST(level, 0), 4) AS forecast_revenue,
@@ -505,10 +499,15 @@ oracle(
 )
 oracle(
     "rolling_residuals",
-    """SELECT order_date, customer_state, product_category, revenue, width, ROUND(rolling_mean, 6) AS rolling_mean
+    """SELECT order_date, customer_state, product_category, revenue, width, ROUND(rolling_mean + 3e-8, 6) AS rolling_mean
        FROM rolling""",
 )
-oracle("forecast_moving_average", "SELECT * FROM ma_forecast")
+oracle(
+    "forecast_moving_average",
+    """SELECT *, 'ok' AS status FROM ma_forecast
+       UNION ALL SELECT NULL, customer_state, product_category, NULL, NULL, NULL, 'too short'
+       FROM daily_series GROUP BY customer_state, product_category HAVING COUNT(*) < 35""",
+)
 oracle(
     "forecast_overlay",
     f"""SELECT order_date, customer_state, product_category, 'actual' AS kind, ROUND(revenue, 4) AS revenue,
@@ -639,7 +638,7 @@ def _score_summary(group: str) -> str:
     return f"""
     SELECT {group}, COUNT(DISTINCT customer_unique_id) AS customers,
            ROUND(AVG(repeat_purchase_label), 6) AS actual_repeat_rate,
-           ROUND(CAST(SUM(CAST(ROUND(repeat_probability * 1000) AS BIGINT)) AS DOUBLE) / 1000 / COUNT(*), 6) AS avg_repeat_probability
+           ROUND(AVG(repeat_probability), 6) AS avg_repeat_probability
     FROM scored GROUP BY 1"""
 
 
@@ -701,73 +700,76 @@ oracle(
     "experiment_frame",
     "SELECT customer_unique_id, repeat_probability, first_order_value, repeat_purchase_label FROM frame",
 )
-CTES["inputs"] = f"""
-    SELECT customer_unique_id AS id, LEAST(GREATEST(repeat_probability, 0), 1) AS score,
-           GREATEST(first_order_value, 0) AS val, GREATEST(first_freight_value, 0) AS freight,
-           GREATEST(first_item_count, 1) AS items,
+CTES["later"] = """
+    SELECT customer_unique_id AS id, COALESCE(SUM(CASE WHEN order_rank > 1 THEN payment_value END), 0.0::DOUBLE) AS outcome
+    FROM ranked_orders GROUP BY 1"""
+CTES["participants"] = f"""
+    SELECT f.customer_unique_id AS id, f.*, COALESCE(later.outcome, 0.0::DOUBLE) AS outcome,
+           CAST(CAST(('0x' || substr(md5(CAST(f.customer_unique_id AS VARCHAR)), 1, 8)) AS BIGINT) % 2 AS INT) AS treatment,
            CASE WHEN first_customer_state IN {_in(CORE_STATES)} THEN 1 ELSE 0 END AS core,
-           CASE WHEN first_product_category = '{TARGET_CATEGORY}' THEN 1 ELSE 0 END AS target,
-           CASE WHEN first_payment_type = 'credit_card' THEN 1 ELSE 0 END AS card, first_late_delivery AS late
-    FROM frame"""
-CTES["purchase"] = """
-    SELECT i.*, 1 / (1 + exp(-(-1.85 + 0.45 * (score - m) / GREATEST(s, 1e-6) + 0.45 * target + 0.22 * core
-                              + 0.12 * card - 0.18 * late))) AS purchase_probability
-    FROM inputs i, (SELECT AVG(score) AS m, stddev_pop(score) AS s FROM inputs)"""
-oracle(
-    "baseline_purchase_probability",
-    """SELECT id AS customer_unique_id, core AS core_market, target AS target_category_affinity,
-              ROUND(purchase_probability, 6) AS purchase_probability FROM purchase""",
-)
-CTES["draws"] = f"""
-    SELECT *, CASE WHEN responder = 1 THEN 720 + 0.20::DOUBLE * LEAST(val, 500) ELSE 0 END AS tau,
-           CASE WHEN {uniform('id', _SEED, 'buyer')} < purchase_probability THEN 1 ELSE 0 END
-             * (38 + 0.10::DOUBLE * val + 4.5::DOUBLE * ln(1 + items) + 0.04::DOUBLE * freight)
-             * exp(0.95::DOUBLE * {normal('id', _SEED, 'spend')}) AS y0,
-           CASE WHEN {uniform('id', _SEED, 'treatment')} < 0.5 THEN 1 ELSE 0 END AS treatment,
-           280 * {normal('id', _SEED, 'noise')} AS noise
-    FROM (SELECT *, CASE WHEN core = 1 AND target = 1
-                          AND score >= (SELECT quantile_cont(score, 0.85) FROM purchase) THEN 1 ELSE 0 END AS responder
-          FROM purchase)"""
-CTES["planted"] = """
-    SELECT *, GREATEST(0, y0 + treatment * tau + noise - AVG(noise) OVER (PARTITION BY treatment)) AS outcome FROM draws"""
-oracle("responder_rule", "SELECT id AS customer_unique_id, responder AS true_responder, ROUND(tau, 4) AS true_tau FROM planted")
-oracle(
-    "planted_effect_table",
-    f"""SELECT id AS customer_unique_id, treatment, ROUND(outcome, 4) AS synthetic_outcome, ROUND(y0, 4) AS baseline_outcome,
-               ROUND(tau, 4) AS true_tau, responder AS true_responder, '{TARGET_CATEGORY}' AS target_category,
-               60 AS promo_window_days, 0.5::DOUBLE AS treatment_probability FROM planted""",
+           CASE WHEN first_product_category = '{TARGET_CATEGORY}' THEN 1 ELSE 0 END AS target
+    FROM frame f LEFT JOIN later ON f.customer_unique_id = later.id"""
+oracle(
+    "experiment_rows",
+    """SELECT customer_unique_id, treatment, core AS core_market, target AS target_category_affinity, ROUND(outcome, 4) AS outcome
+       FROM participants""",
+)
+oracle(
+    "experiment_covariates",
+    """SELECT customer_unique_id, treatment, core AS core_market, target AS target_category_affinity,
+              ROUND(ln(1 + GREATEST(first_item_count, 1)), 4) AS log_items,
+              ROUND(LEAST(GREATEST(first_order_value, 0), 500), 4) AS bounded_value, ROUND(z, 4) AS score_z,
+              ROUND(1 / (1 + exp(-z)), 4) AS score_logistic, ROUND(outcome - arm, 4) AS centred_outcome
+       FROM (SELECT *, (LEAST(GREATEST(repeat_probability, 0), 1) - AVG(LEAST(GREATEST(repeat_probability, 0), 1)) OVER ())
+                       / GREATEST(stddev_pop(LEAST(GREATEST(repeat_probability, 0), 1)) OVER (), 1e-6) AS z,
+                    AVG(outcome) OVER (PARTITION BY treatment) AS arm FROM participants)""",
 )
+_LEARNER = "Spark GBTRegressor"
+CTES["overview"] = """
+    SELECT COUNT(*) AS customers, CAST(SUM(treatment) AS BIGINT) AS treated, CAST(SUM(1 - treatment) AS BIGINT) AS controls,
+           AVG(core * target) AS target_rate, AVG(outcome) AS average_outcome FROM participants"""
 oracle(
     "experiment_summary",
-    f"""SELECT 'Semi-synthetic sparse promotion experiment' AS experiment_type, 'customer' AS unit,
-               '{TARGET_CATEGORY}' AS target_category, 'Watches gifts' AS target_category_display,
-               60 AS promo_window_days,
-               '50/50 randomized treatment assignment generated with a fixed seed' AS assignment,
-               'Synthetic post-promotion revenue over 60 days' AS outcome, 'Spark GBTRegressor' AS base_learner,
-               COUNT(*) AS customers, CAST(SUM(treatment) AS BIGINT) AS treated_customers,
-               CAST(SUM(1 - treatment) AS BIGINT) AS control_customers,
-               ROUND(AVG(responder), 4) AS true_responder_rate, ROUND(AVG(tau), 4) AS true_global_ate,
-               ROUND(AVG(tau) FILTER (responder = 1), 4) AS true_responder_ate,
-               'repeat_probability >= 85th percentile AND state in {'/'.join(CORE_STATES)} AND first category is {TARGET_CATEGORY}' AS response_rule
-        FROM planted""",
+    f"""SELECT 'customer' AS unit, 'Watches gifts' AS target_category_display,
+               'half of the customers, by a hash of their id' AS assignment, 'revenue after the first order' AS outcome,
+               '{_LEARNER}' AS base_learner, customers, treated AS treated_customers, controls AS control_customers,
+               ROUND(target_rate, 4) AS target_rate, ROUND(average_outcome, 4) AS average_outcome FROM overview""",
 )
 CTES["arms"] = """
     SELECT AVG(outcome) FILTER (treatment = 1) AS m1, AVG(outcome) FILTER (treatment = 0) AS m0,
            COUNT(*) FILTER (treatment = 1) AS n1, COUNT(*) FILTER (treatment = 0) AS n0,
            var_samp(outcome) FILTER (treatment = 1) / COUNT(*) FILTER (treatment = 1) AS v1,
            var_samp(outcome) FILTER (treatment = 0) / COUNT(*) FILTER (treatment = 0) AS v0
-    FROM planted"""
+    FROM participants"""
+CTES["welch_numbers"] = """
+    SELECT m1 - m0 AS estimate, sqrt(v1 + v0) AS standard_error, (m1 - m0) / sqrt(v1 + v0) AS statistic,
+           (v1 + v0) * (v1 + v0) / (v1 * v1 / (n1 - 1) + v0 * v0 / (n0 - 1)) AS freedom, n1, n0 FROM arms"""
+
+
+def p_value(source: str) -> str:
+    """Tail share of Student's density by Simpson's rule over asinh(t), for the one row of ``source``."""
+
+    def area(start: str) -> str:
+        y = f"({start} + i * 0.0075::DOUBLE)"
+        weight = "CASE WHEN i IN (0, 4000) THEN 1 WHEN i % 2 = 1 THEN 4 ELSE 2 END"
+        sinh, cosh = f"((exp({y}) - exp(-{y})) / 2)", f"((exp({y}) + exp(-{y})) / 2)"
+        return f"SUM({weight} * exp(-(freedom + 1) / 2 * ln(1 + {sinh} * {sinh} / freedom)) * {cosh})"
+
+    t = "abs(statistic)"
+    return f"(SELECT {area(f'ln({t} + sqrt({t} * {t} + 1))')} / {area('0')} FROM {source}, range(0, 4001) AS s(i))"
+
+
+CTES["welch"] = f"SELECT *, {p_value('welch_numbers')} AS p FROM welch_numbers"
 oracle(
     "welch_test",
-    """SELECT ROUND(m1 - m0, 4) AS estimate, ROUND(sqrt(v1 + v0), 4) AS standard_error,
-              ROUND((m1 - m0) / sqrt(v1 + v0), 4) AS statistic,
-              ROUND((v1 + v0) * (v1 + v0) / (v1 * v1 / (n1 - 1) + v0 * v0 / (n0 - 1)), 4) AS freedom,
-              n1 AS treated_rows, n0 AS control_rows FROM arms""",
+    """SELECT ROUND(estimate, 4) AS estimate, ROUND(standard_error, 4) AS standard_error, ROUND(statistic, 4) AS statistic,
+              ROUND(freedom, 4) AS freedom, n1 AS treated_rows, n0 AS control_rows, ROUND(p, 6) AS p_value,
+              p < 0.05 AS is_significant_05 FROM welch""",
 )
 CTES["holdout"] = f"""
-    SELECT *, floor(({uniform('id', 11, 'tau')} * 50 + tau / 10) * 100) / 100.0::DOUBLE AS tau_hat,
+    SELECT *, floor({uniform('id', 11, 'tau')} * 50 * 100) / 100.0::DOUBLE AS tau_hat,
            floor({uniform('id', 11, 'm')} * 30000) / 100.0::DOUBLE AS m_hat
-    FROM planted WHERE {uniform('id', _SEED, 'split')} < 0.5"""
+    FROM participants WHERE {uniform('id', _SEED, 'split')} < 0.5"""
 CTES["selected"] = """
     SELECT *, CASE WHEN tau_hat >= cutoff THEN 1 ELSE 0 END AS chosen,
            tau_hat + (treatment / 0.5) * (outcome - (m_hat - 0.5 * tau_hat + tau_hat))
@@ -775,29 +777,29 @@ CTES["selected"] = """
     FROM holdout, (SELECT quantile_cont(tau_hat, 0.95) AS cutoff FROM holdout)"""
 oracle(
     "uplift_cutoff",
-    "SELECT id AS customer_unique_id, tau_hat, ROUND(cutoff, 6) AS cate_cutoff, chosen AS selected_segment FROM selected",
-)
-oracle(
-    "aipw_scores",
-    "SELECT id AS customer_unique_id, treatment, tau_hat, ROUND(aipw, 4) AS aipw_score FROM selected",
+    "SELECT customer_unique_id, tau_hat, ROUND(cutoff, 6) AS cate_cutoff, chosen AS selected_segment FROM selected",
 )
+oracle("aipw_scores", "SELECT customer_unique_id, treatment, tau_hat, ROUND(aipw, 4) AS aipw_score FROM selected")
 oracle(
     "pseudo_outcomes",
-    """SELECT id AS customer_unique_id, ROUND((outcome - m_hat) / (treatment - 0.5::DOUBLE), 4) AS pseudo_tau,
+    """SELECT customer_unique_id, ROUND((outcome - m_hat) / (treatment - 0.5::DOUBLE), 4) AS pseudo_tau,
               (treatment - 0.5::DOUBLE) * (treatment - 0.5::DOUBLE) AS r_weight FROM selected""",
 )
+CTES["segment_numbers"] = """
+    SELECT m AS estimate, s / sqrt(n) AS standard_error, m / (s / sqrt(n)) AS statistic, CAST(n - 1 AS DOUBLE) AS freedom, n
+    FROM (SELECT AVG(aipw) AS m, stddev_samp(aipw) AS s, COUNT(*) AS n FROM selected WHERE chosen = 1)"""
+CTES["segment_test"] = f"SELECT *, {p_value('segment_numbers')} AS p FROM segment_numbers"
 oracle(
     "one_sample_test",
-    """SELECT ROUND(m, 4) AS estimate, ROUND(s / sqrt(n), 4) AS standard_error, ROUND(m / (s / sqrt(n)), 4) AS statistic,
-              CAST(n - 1 AS DOUBLE) AS freedom, n AS "rows"
-       FROM (SELECT AVG(aipw) AS m, stddev_samp(aipw) AS s, COUNT(*) AS n FROM selected WHERE chosen = 1)""",
+    """SELECT ROUND(estimate, 4) AS estimate, ROUND(standard_error, 4) AS standard_error, ROUND(statistic, 4) AS statistic,
+              freedom, n AS "rows", ROUND(p, 6) AS p_value, p < 0.05 AS is_significant_05 FROM segment_test""",
 )
 
 
 def _profile(label_text: str, where: str) -> str:
     return f"""SELECT '{label_text}' AS segment, COUNT(*) AS customers, ROUND(AVG(treatment), 4) AS treatment_rate,
-                      ROUND(AVG(responder), 4) AS true_responder_rate, ROUND(AVG(tau), 4) AS true_average_effect,
-                      ROUND(AVG(tau_hat), 4) AS predicted_cate FROM selected {where}"""
+                      ROUND(AVG(outcome), 4) AS average_outcome, ROUND(AVG(tau_hat), 4) AS predicted_cate
+               FROM selected {where}"""
 
 
 oracle(
@@ -805,14 +807,99 @@ oracle(
     _profile("All holdout customers", "") + " UNION ALL " + _profile("Top 5% predicted CATE", "WHERE chosen = 1"),
 )
 
+
+def _test_line(method: str, estimand: str, source: str) -> str:
+    four = ", ".join(f"printf('%.4f', {c}) AS {n}" for c, n in (("estimate", "estimate"), ("standard_error", "std_error"), ("statistic", "statistic"), ("p", "p_value")))
+    return f"SELECT '{method}' AS method, '{estimand}' AS estimand, {four}, CASE WHEN p < 0.05 THEN 'Yes' ELSE 'No' END AS reject_at_5pct FROM {source}"
+
+
+oracle(
+    "method_comparison",
+    _test_line("Difference in means", "Global ATE", "welch")
+    + " UNION ALL "
+    + _test_line(f"R-learner + holdout AIPW ({_LEARNER})", "ATE inside top 5% predicted CATE segment", "segment_test"),
+)
+oracle(
+    "lesson_flags",
+    "SELECT welch.p < 0.05 AS naive_rejects_05, segment_test.p < 0.05 AS r_learner_rejects_05 FROM welch, segment_test",
+)
+oracle(
+    "r_learner_scores",
+    f"""SELECT customer_unique_id, treatment, true AS effect_on_test_only, true AS segment_fits, true AS score_fits,
+               CASE WHEN ROW_NUMBER() OVER (PARTITION BY treatment ORDER BY {uniform('id', _SEED, 'split')}, id)
+                         <= ROUND(0.5 * COUNT(*) OVER (PARTITION BY treatment)) THEN 'test' ELSE 'train' END AS split
+        FROM participants""",
+)
 oracle(
     "experiment_readout",
-    """SELECT 'Customers' AS metric, format('{:,}', COUNT(*)) AS value FROM planted
-       UNION ALL SELECT 'Treated customers', format('{:,}', CAST(SUM(treatment) AS BIGINT)) FROM planted
-       UNION ALL SELECT 'Control customers', format('{:,}', CAST(SUM(1 - treatment) AS BIGINT)) FROM planted
-       UNION ALL SELECT 'True responder rate', printf('%.2f', 100 * ROUND(AVG(responder), 4)) || '%' FROM planted
-       UNION ALL SELECT 'True responder ATE', 'R$ ' || printf('%.2f', ROUND(AVG(tau) FILTER (responder = 1), 4)) FROM planted
-       UNION ALL SELECT 'Base learner', 'Spark GBTRegressor'""",
+    f"""SELECT 'Customers' AS metric, format('{{:,}}', customers) AS value FROM overview
+       UNION ALL SELECT 'Treated customers', format('{{:,}}', treated) FROM overview
+       UNION ALL SELECT 'Control customers', format('{{:,}}', controls) FROM overview
+       UNION ALL SELECT 'Customers in the target', printf('%.2f', 100 * target_rate) || '%' FROM overview
+       UNION ALL SELECT 'Average outcome', printf('%.2f', average_outcome) FROM overview
+       UNION ALL SELECT 'Difference in means', printf('%.2f', estimate) FROM welch
+       UNION ALL SELECT 'Difference in means, p', printf('%.4f', p) FROM welch
+       UNION ALL SELECT 'Selected segment', printf('%.2f', estimate) FROM segment_test
+       UNION ALL SELECT 'Selected segment, p', printf('%.4f', p) FROM segment_test
+       UNION ALL SELECT 'Only the segment test rejects', CASE WHEN segment_test.p < 0.05 AND welch.p >= 0.05 THEN 'yes' ELSE 'no' END
+                 FROM segment_test, welch
+       UNION ALL SELECT 'Base learner', '{_LEARNER}'""",
+)
+
+# --- models --------------------------------------------------------------------------------------
+
+CTES["model_rows"] = f"""
+    SELECT *, CASE WHEN ROW_NUMBER() OVER (PARTITION BY repeat_purchase_label
+                                           ORDER BY {uniform('customer_unique_id', 42, 'split')}, customer_unique_id)
+                        <= ROUND(0.25 * COUNT(*) OVER (PARTITION BY repeat_purchase_label)) THEN 0 ELSE 1 END AS is_train
+    FROM customer_repeat_features"""
+oracle(
+    "propensity_model_scores",
+    "SELECT customer_unique_id, repeat_purchase_label, is_train, true AS is_probability, true AS band_fits FROM model_rows",
+)
+oracle(
+    "propensity_model_metrics",
+    """SELECT COUNT(*) FILTER (is_train = 0) AS test_rows, ROUND(AVG(repeat_purchase_label), 6) AS repeat_rate,
+              true AS accuracy_agrees, true AS roc_auc_agrees FROM model_rows""",
+)
+
+
+def _level_names(column: str, prefix: str) -> str:
+    return f"""SELECT DISTINCT '{prefix}=' || CASE WHEN n < 50 THEN 'infrequent_sklearn' ELSE level END AS feature
+               FROM (SELECT {column} AS level, COUNT(*) AS n FROM model_rows WHERE is_train = 1 GROUP BY 1)"""
+
+
+oracle(
+    "feature_importance",
+    "SELECT feature, true AS is_stationary FROM ("
+    + " UNION ALL ".join(
+        [f"SELECT unnest([{', '.join(repr(c) for c in _NUMERIC)}]) AS feature"]
+        + [
+            _level_names(c, p)
+            for c, p in (("first_customer_state", "state"), ("first_product_category", "first_category"), ("first_payment_type", "payment"))
+        ]
+    )
+    + ")",
+)
+oracle("top_drivers", "SELECT CAST(i AS INT) AS position, true AS in_order, true AS name_fits FROM range(1, 16) AS r(i)")
+oracle("segment_customers", "SELECT customer_unique_id, true AS has_name, true AS nearest_centre FROM customer_features")
+oracle(
+    "segment_summary",
+    "SELECT unnest(['Champions', 'Loyal', 'Promising', 'At Risk']) AS segment_name, true AS profile_agrees",
+)
+_BOUNDS = """
+    SELECT CAST(last_date + to_days(CAST(h AS INT)) AS DATE) AS order_date, customer_state, product_category, 'ok' AS status, true AS in_bounds
+    FROM levels, generate_series(1, 30) AS g(h)
+    UNION ALL SELECT NULL, customer_state, product_category, 'too short', NULL
+    FROM daily_series GROUP BY customer_state, product_category HAVING COUNT(*) < 35"""
+oracle("forecast_ets", _BOUNDS)
+oracle("forecast_sarima", _BOUNDS)
+_SCOPED = f"FROM ma_forecast WHERE product_category = '{TARGET_CATEGORY}' AND customer_state"
+oracle(
+    "scope_forecast",
+    f"""SELECT *, 'ok' AS status, 'state' AS scope {_SCOPED} = 'NATION_7'
+        UNION ALL SELECT *, 'ok', 'all states' {_SCOPED} = 'ALL'
+        UNION ALL SELECT *, 'ok', 'category table' {_SCOPED} = 'ALL'""",
 )
 
 # --- reports -------------------------------------------------------------------------------------
@@ -822,28 +909,61 @@ def _six(metric: str, value: str, source: str) -> str:
     return f"SELECT '{metric}' AS metric, printf('%.6f', {value}) AS value FROM {source}"
 
 
+CTES["frame_confusion"] = """
+    SELECT COUNT(*) FILTER (p AND a) AS tp, COUNT(*) FILTER (p AND NOT a) AS fp, COUNT(*) FILTER (NOT p AND a) AS fn,
+           COUNT(*) FILTER (p = a) AS hits, COUNT(*) FILTER (a) AS positives, COUNT(*) AS total
+    FROM (SELECT repeat_probability >= 0.5 AS p, repeat_purchase_label = 1 AS a FROM frame)"""
 oracle(
     "executive_summary",
     _union(
         [
-            _six("Repeat purchase accuracy", "hits / total", "confusion"),
-            _six("Repeat purchase precision", "tp / (tp + fp)", "confusion"),
-            _six("Repeat purchase recall", "tp / (tp + fn)", "confusion"),
-            _six("Repeat purchase f1", "2 * tp / (2 * tp + fp + fn)", "confusion"),
-            _six("Repeat purchase target_rate", "positives / total", "confusion"),
-            "SELECT 'Repeat purchase test_rows', CAST(total AS VARCHAR) FROM confusion",
-            "SELECT 'Experiment experiment_type', 'Semi-synthetic sparse promotion experiment'",
+            _six("Repeat purchase accuracy", "hits / total", "frame_confusion"),
+            _six("Repeat purchase precision", "tp / (tp + fp)", "frame_confusion"),
+            _six("Repeat purchase recall", "tp / (tp + fn)", "frame_confusion"),
+            _six("Repeat purchase f1", "2 * tp / (2 * tp + fp + fn)", "frame_confusion"),
+            _six("Repeat purchase target_rate", "positives / total", "frame_confusion"),
+            "SELECT 'Repeat purchase test_rows', CAST(total AS VARCHAR) FROM frame_confusion",
             "SELECT 'Experiment target_category_display', 'Watches gifts'",
-            _six("Experiment true_responder_rate", "AVG(responder)", "planted"),
-            _six("Experiment true_global_ate", "AVG(tau)", "planted"),
-            _six("DIM estimate", "m1 - m0", "arms"),
-            _six("R-learner estimate", "AVG(aipw)", "selected WHERE chosen = 1"),
-            _six("R-learner true_selected_ate", "AVG(tau)", "selected WHERE chosen = 1"),
+            "SELECT 'Experiment customers', CAST(customers AS VARCHAR) FROM overview",
+            _six("Experiment target_rate", "target_rate", "overview"),
+            _six("Experiment average_outcome", "average_outcome", "overview"),
+            _six("DIM estimate", "estimate", "welch"),
+            _six("DIM p_value", "p", "welch"),
+            "SELECT 'DIM is_significant_05', CASE WHEN p < 0.05 THEN 'true' ELSE 'false' END FROM welch",
+            _six("R-learner estimate", "estimate", "segment_test"),
+            _six("R-learner p_value", "p", "segment_test"),
+            "SELECT 'R-learner is_significant_05', CASE WHEN p < 0.05 THEN 'true' ELSE 'false' END FROM segment_test",
         ]
     ),
 )
 oracle(
     "report_extracts",
     """SELECT customer_unique_id, first_customer_state, first_product_category, repeat_probability
-       FROM scored ORDER BY repeat_probability DESC, customer_unique_id LIMIT 5000""",
+       FROM scored""",
 )
+
+# --- shown digits --------------------------------------------------------------------------------
+
+# Columns that hold sums of amounts or quotients of sums: both sides show four or six digits of them.
+_SHOWN = {
+    "revenue": [
+        "category_daily_sales", "state_category_daily_sales", "daily_sales_round_trip", "daily_revenue", "top_categories",
+        "top_states", "state_category_mix", "state_category_rollup", "forecast_scope", "forecast_scope_choices",
+        "daily_series", "rolling_residuals", "forecast_overlay",
+    ],
+    "payment_value": ["payment_summary", "fact_orders", "filtered_orders", "first_orders"],
+    "item_revenue": ["item_summary", "fact_orders", "filtered_orders"],
+    "freight_value": ["item_summary", "fact_orders", "filtered_orders"],
+    "total_revenue": ["customer_features", "kpi_summary", "segment_names"],
+    "avg_order_value": ["customer_features", "kpi_summary", "segment_names"],
+    "late_delivery_rate": ["customer_features", "kpi_summary"],
+    "first_order_value": ["customer_repeat_features", "impute_median", "experiment_frame"],
+    "first_freight_value": ["customer_repeat_features", "impute_median"],
+    "order_value": ["ab_test_sample"],
+}
+_QUOTIENTS = {"avg_order_value", "late_delivery_rate"}
+for _name in ORACLES:
+    _columns = {column: 6 if column in _QUOTIENTS else 4 for column, names in _SHOWN.items() if _name in names}
+    if _columns:
+        _rounds = ", ".join(f"ROUND({column}, {digits}) AS {column}" for column, digits in _columns.items())
+        ORACLES[_name] = f"SELECT * REPLACE ({_rounds}) FROM ({ORACLES[_name]})"

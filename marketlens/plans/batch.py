@@ -8,14 +8,17 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.plans import dashboard, features, forecast, quality, reports
+from marketlens.plans import experiment as experiment_plans
 from marketlens.plans.experiment import Scope, run_experiment
 from marketlens.plans.fact import fact_orders
 from marketlens.plans.propensity import run_propensity
 from marketlens.plans.segments import cluster_customers, segment_customers
 from marketlens.schemas import PROCESSED_TABLES
 from marketlens.sources.files import (
+    DEFAULT_FILES,
+    MissingTableError,
     load_raw_tables,
-    raw_files_available,
+    missing_raw_files,
     read_table,
     register_tables,
     write_csv,
@@ -23,7 +26,7 @@ from marketlens.sources.files import (
     write_json,
     write_parquet,
 )
-from marketlens.sources.scratch import clear_scratch, materialize
+from marketlens.sources.scratch import materialize, scratch_run
 
 
 @dataclass
@@ -43,7 +46,7 @@ def build_tables(spark: SparkSession, raw: dict[str, DataFrame], out_dir: str) -
     write_daily_parquet(fact_orders(raw), f"{out_dir}/fact_orders", "order_purchase_ts")
     fact = read_table(spark, out_dir, "fact_orders")
     unique = features.orders_are_unique(fact)
-    write_parquet(features.customer_features(fact, unique_orders=unique), f"{out_dir}/customer_features")
+    write_parquet(features.customer_features(fact), f"{out_dir}/customer_features")
     write_daily_parquet(features.category_daily_sales(fact, unique), f"{out_dir}/category_daily_sales")
     write_daily_parquet(features.state_category_daily_sales(fact, unique), f"{out_dir}/state_category_daily_sales")
     write_parquet(features.customer_repeat_features(fact), f"{out_dir}/customer_repeat_features")
@@ -61,7 +64,18 @@ def build_all(
     output_dir: str,
     settings: Settings | None = None,
 ) -> None:
-    settings = settings or Settings()
+    with scratch_run(spark):
+        _build_all(spark, raw, present, processed_dir, output_dir, settings or Settings())
+
+
+def _build_all(
+    spark: SparkSession,
+    raw: dict[str, DataFrame],
+    present: dict[str, bool],
+    processed_dir: str,
+    output_dir: str,
+    settings: Settings,
+) -> None:
     tables = build_tables(spark, raw, processed_dir)
 
     def store(df: DataFrame, name: str) -> DataFrame:
@@ -69,7 +83,7 @@ def build_all(
         return read_table(spark, output_dir, name)
 
     report = store(quality.audit(spark, present, raw, tables), "data_quality_summary")
-    write_json(quality.overall_status(report), f"{output_dir}/data_quality_report")
+    write_json(quality.whole_report(report), f"{output_dir}/data_quality_report")
 
     clustered = materialize(
         cluster_customers(tables["customer_features"], settings.clusters, settings.restarts)
@@ -96,12 +110,13 @@ def build_all(
     experiment = run_experiment(
         tables["customer_repeat_features"],
         predictions,
+        experiment_plans.later_revenue(tables["fact_orders"]),
         settings.scope,
         rounds=settings.boosting_rounds,
         min_count=settings.min_category_rows,
     )
-    sample = store(experiment.uplift.scored, "semi_synthetic_experiment_sample")
-    profile = store(experiment.uplift.profile, "semi_synthetic_segment_profile")
+    sample = store(experiment.uplift.scored, "experiment_sample")
+    profile = store(experiment.uplift.profile, "experiment_segment_profile")
     store(experiment.comparison, "method_comparison")
     for name, record in [
         ("experiment_summary", experiment.summary),
@@ -123,16 +138,15 @@ def build_all(
         ("repeat_by_category", by_category, [F.col("avg_repeat_probability").desc(), "first_product_category"]),
         ("repeat_drivers", drivers, [F.col("abs_coefficient").desc(), "feature"]),
         ("repeat_top_k", lift, ["customers"]),
-        ("semi_synthetic_segment", profile, ["segment"]),
-        ("semi_synthetic_sample", sample, [F.col("split").desc(), "customer_unique_id"]),
+        ("experiment_segment", profile, ["segment"]),
+        ("experiment_sample", sample, [F.col("split").desc(), "customer_unique_id"]),
         ("sales_forecast", sales_forecast, ["customer_state", "product_category", "order_date"]),
     ]:
         write_csv(reports.extract(df, keys), f"{output_dir}/report", name)
 
-    store(reports.experiment_readout(experiment.summary), "experiment_readout")
+    store(reports.experiment_readout(experiment.summary, experiment.naive, experiment.uplift.result), "experiment_readout")
     orders = tables["fact_orders"]
     store(dashboard.kpi_summary(orders, tables["customer_features"]), "kpi_summary")
-    clear_scratch(spark)
 
 
 def run_from_csv(
@@ -142,8 +156,20 @@ def run_from_csv(
     output_dir: str,
     files: dict[str, str] | None = None,
     settings: Settings | None = None,
+    multi_line: set[str] | bool = False,
 ) -> None:
-    """Batch run over a folder of raw CSV files."""
-    raw = load_raw_tables(spark, raw_dir, files)
-    present = dict.fromkeys(raw, raw_files_available(spark, raw_dir, files))
-    build_all(spark, raw, present, processed_dir, output_dir, settings)
+    """Batch run over a folder of raw CSV files; multi_line names the tables with line breaks in fields.
+
+    If a file is missing, the audit of what is there is written before the error, so the gap is on record.
+    """
+    files = files or DEFAULT_FILES
+    absent = set(missing_raw_files(spark, raw_dir, files))
+    present = {name: file not in absent for name, file in files.items()}
+    if absent:
+        raw = load_raw_tables(spark, raw_dir, {n: f for n, f in files.items() if present[n]}, multi_line)
+        report = quality.audit(spark, present, raw, {})
+        write_parquet(report, f"{output_dir}/data_quality_summary")
+        report = read_table(spark, output_dir, "data_quality_summary")
+        write_json(quality.whole_report(report), f"{output_dir}/data_quality_report")
+        raise MissingTableError(f"{raw_dir} lacks {', '.join(sorted(absent))}")
+    build_all(spark, load_raw_tables(spark, raw_dir, files, multi_line), present, processed_dir, output_dir, settings)

@@ -5,12 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.functions.scalars import cents, exact_sum, late_delivery, timestamp_or_null
+from marketlens.functions.scalars import known, late_delivery, money_sum, timestamp_or_null
 
 
 def payment_summary(payments: DataFrame) -> DataFrame:
     return payments.groupBy("order_id").agg(
-        exact_sum("payment_value").alias("payment_value"),
+        money_sum("payment_value").alias("payment_value"),
         F.avg("payment_installments").alias("avg_installments"),
         F.max("payment_type").alias("primary_payment_type"),
     )
@@ -45,8 +45,8 @@ def item_summary(items: DataFrame, products: DataFrame, translation: DataFrame)
         items.groupBy("order_id", "product_id")
         .agg(
             F.count(F.lit(1)).alias("n"),
-            F.sum(cents("price")).alias("price"),
-            F.sum(cents("freight_value")).alias("freight"),
+            F.sum(known("price")).alias("price"),
+            F.sum(known("freight_value")).alias("freight"),
         )
         .join(categories, "product_id", "left")
         .select(
@@ -72,32 +72,14 @@ def item_summary(items: DataFrame, products: DataFrame, translation: DataFrame)
             F.sum("items").alias("item_count"),
             F.sum("products").alias("distinct_product_count"),
             F.sum("sellers").alias("seller_count"),
-            (F.sum("price") / F.lit(100.0)).alias("item_revenue"),
-            (F.sum("freight") / F.lit(100.0)).alias("freight_value"),
+            F.sum("price").alias("item_revenue"),
+            F.sum("freight").alias("freight_value"),
             F.max("product_category").alias("product_category"),
         )
     )
 
 
-def approximate_item_summary(items: DataFrame, products: DataFrame, translation: DataFrame) -> DataFrame:
-    """item_summary with estimated distinct counts: one aggregation instead of three."""
-    categories = product_categories(products, translation)
-    copies = F.coalesce("copies", F.lit(1))
-    return (
-        items.join(categories, "product_id", "left")
-        .groupBy("order_id")
-        .agg(
-            F.sum(copies).alias("item_count"),
-            F.approx_count_distinct("product_id").alias("distinct_product_count"),
-            F.approx_count_distinct("seller_id").alias("seller_count"),
-            (F.sum(cents("price") * copies) / F.lit(100.0)).alias("item_revenue"),
-            (F.sum(cents("freight_value") * copies) / F.lit(100.0)).alias("freight_value"),
-            F.max("product_category").alias("product_category"),
-        )
-    )
-
-
-def fact_orders(tables: dict[str, DataFrame], approximate_distinct: bool = False) -> DataFrame:
+def fact_orders(tables: dict[str, DataFrame]) -> DataFrame:
     """One row per order with a purchase time. Items and payments are aggregated before the join."""
     orders = tables["orders"].select(
         "order_id",
@@ -110,8 +92,7 @@ def fact_orders(tables: dict[str, DataFrame], approximate_distinct: bool = False
     customers = tables["customers"].select(
         "customer_id", "customer_unique_id", "customer_city", "customer_state"
     )
-    summarise = approximate_item_summary if approximate_distinct else item_summary
-    items = summarise(tables["order_items"], tables["products"], tables["category_translation"])
+    items = item_summary(tables["order_items"], tables["products"], tables["category_translation"])
     payments = payment_summary(tables["order_payments"])
     return (
         orders.join(customers, "customer_id")

@@ -7,13 +7,13 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import (
     day_difference,
-    exact_avg,
-    exact_sum,
+    money_sum,
     flag,
     hash_bucket,
+    known,
 )
-from marketlens.operators.quantiles import with_row
-from marketlens.schemas import CHURN_DAYS, EXPERIMENT_SAMPLE_ROWS, VALID_STATUSES
+from marketlens.operators.quantiles import exact_quantiles, quantile_name, with_row
+from marketlens.schemas import CHURN_DAYS, VALID_STATUSES
 from marketlens.sources.scratch import materialize
 
 
@@ -37,25 +37,41 @@ def customer_features(
     churn_days: int = CHURN_DAYS,
     snapshot_scope: str = "all",
     day_mode: str = "calendar",
-    unique_orders: bool = False,
 ) -> DataFrame:
-    """Recency, frequency, value per customer against the last purchase in the data."""
+    """Recency, frequency, value per customer against the last purchase in the data.
+
+    Orders and categories are counted as (customer, order) and (customer, category) pairs, so no row
+    is multiplied for two distinct counts, and a hot customer's orders are spread over many tasks.
+    """
     valid = valid_orders(fact)
     scope = {"all": fact, "valid": valid}[snapshot_scope]
     snapshot = scope.agg(F.max("order_purchase_ts").alias("snapshot_ts"))
-    base = valid.groupBy("customer_unique_id").agg(
-        _orders(unique_orders).alias("order_count"),
-        exact_sum("payment_value").alias("total_revenue"),
-        exact_avg("payment_value").alias("avg_order_value"),
-        F.sum("item_count").alias("total_items"),
-        F.avg("is_late_delivery").alias("late_delivery_rate"),
-        F.min("order_purchase_ts").alias("first_purchase_ts"),
-        F.max("order_purchase_ts").alias("last_purchase_ts"),
-        F.count_distinct("product_category").alias("category_count"),
+    one = F.lit(1).cast("long")
+    by_order = valid.groupBy("customer_unique_id", "order_id").agg(
+        money_sum("payment_value").alias("revenue"),
+        F.count(known("payment_value")).alias("paid"),
+        F.sum("item_count").alias("items"),
+        F.sum("is_late_delivery").alias("late"),
+        F.count("is_late_delivery").alias("late_rows"),
+        F.min("order_purchase_ts").alias("first_ts"),
+        F.max("order_purchase_ts").alias("last_ts"),
+    )
+    by_order = by_order.withColumn("orders", F.when(F.col("order_id").isNotNull(), one)).drop("order_id")
+    by_category = valid.filter(F.col("product_category").isNotNull()).select("customer_unique_id", "product_category").distinct()
+    by_category = by_category.select("customer_unique_id", one.alias("categories"))
+    sums = by_order.unionByName(by_category, allowMissingColumns=True).groupBy("customer_unique_id").agg(
+        F.coalesce(F.sum("orders"), F.lit(0)).cast("long").alias("order_count"),
+        F.sum("revenue").alias("total_revenue"),
+        (F.sum("revenue") / F.sum("paid")).alias("avg_order_value"),
+        F.sum("items").alias("total_items"),
+        (F.sum("late") / F.sum("late_rows")).alias("late_delivery_rate"),
+        F.min("first_ts").alias("first_purchase_ts"),
+        F.max("last_ts").alias("last_purchase_ts"),
+        F.coalesce(F.sum("categories"), F.lit(0)).cast("long").alias("category_count"),
     )
     recency = day_difference("snapshot_ts", "last_purchase_ts", day_mode)
-    return with_row(base, snapshot).select(
-        *base.columns,
+    return with_row(sums, snapshot).select(
+        *sums.columns,
         recency.alias("recency_days"),
         day_difference("last_purchase_ts", "first_purchase_ts", day_mode).alias("tenure_days"),
         flag(recency > churn_days).alias("churn_label"),
@@ -66,7 +82,7 @@ def _daily(fact: DataFrame, keys: list[str], unique_orders: bool) -> DataFrame:
     return (
         valid_orders(fact)
         .groupBy(F.to_date("order_purchase_ts").alias("order_date"), *keys)
-        .agg(_orders(unique_orders).alias("orders"), exact_sum("payment_value").alias("revenue"))
+        .agg(_orders(unique_orders).alias("orders"), money_sum("payment_value").alias("revenue"))
     )
 
 
@@ -123,7 +139,7 @@ def first_orders_by_window(fact: DataFrame) -> DataFrame:
 
 
 def latest_rows(df: DataFrame, ts: str, key: str, n: int) -> DataFrame:
-    """The ``n`` rows with the latest time (ties: larger key), without an n-row heap in each task.
+    """The ``n`` rows with the latest time (ties: larger key), rows without a time last.
 
     Two small histograms, by day and then by second of the day that matters, give a time that
     about n rows reach; only those rows are sorted. Each histogram has one row per day or per
@@ -143,16 +159,18 @@ def latest_rows(df: DataFrame, ts: str, key: str, n: int) -> DataFrame:
     spark = df.sparkSession
     day = F.to_date(ts)
     second = F.date_trunc("SECOND", F.col(ts)).cast("timestamp_ntz")
-    by_day = cutoff(df.select(day.alias("slot")), spark.range(1).select(F.lit(n).alias("missing"))).first()
+    timed = df.filter(F.col(ts).isNotNull())
+    by_day = cutoff(timed.select(day.alias("slot")), spark.range(1).select(F.lit(n).alias("missing"))).first()
     if by_day["slot"] is None:
-        return df
-    inside = df.filter(
+        untimed = df.filter(F.col(ts).isNull())
+        return timed.unionByName(untimed.orderBy(F.col(key).desc()).limit(n - by_day["above"]))
+    inside = timed.filter(
         (F.col(ts) >= F.lit(by_day["slot"]).cast("timestamp_ntz"))
         & (F.col(ts) < F.date_add(F.lit(by_day["slot"]), 1).cast("timestamp_ntz"))
     )
     missing = spark.range(1).select(F.lit(n - by_day["above"]).alias("missing"))
     by_second = cutoff(inside.select(second.alias("slot")), missing).first()
-    reached = df.filter(F.col(ts) >= F.lit(by_second["slot"]).cast("timestamp_ntz"))
+    reached = timed.filter(F.col(ts) >= F.lit(by_second["slot"]).cast("timestamp_ntz"))
     return reached.orderBy(F.col(ts).desc(), F.col(key).desc()).limit(n)
 
 
@@ -160,18 +178,16 @@ def assigned_variant(key: str) -> Column:
     return F.when(hash_bucket(F.col(key)) % 2 == 0, "control").otherwise("treatment")
 
 
-def ab_test_sample(fact: DataFrame, rows: int = EXPERIMENT_SAMPLE_ROWS) -> DataFrame:
-    """The latest paid valid orders with a hashed variant; converted = value at least the median.
+def ab_test_sample(fact: DataFrame, rows: int | None = None) -> DataFrame:
+    """Paid valid orders with a hashed variant; converted = value at least the median.
 
-    The sample has at most ``rows`` rows by definition, so its median is a bounded aggregate.
+    All of them, unless the caller asks for the latest ``rows``.
     """
-    paid = materialize(
-        valid_orders(fact)
-        .filter(F.col("payment_value").isNotNull())
-        .select("order_id", "order_purchase_ts", "payment_value")
-    )
-    sample = latest_rows(paid, "order_purchase_ts", "order_id", rows)
-    middle = sample.agg(F.percentile("payment_value", 0.5).alias("middle"))
+    sample = valid_orders(fact).filter(known("payment_value").isNotNull()).select("order_id", "order_purchase_ts", "payment_value")
+    sample = materialize(sample)
+    if rows is not None:
+        sample = latest_rows(sample, "order_purchase_ts", "order_id", rows)
+    middle = exact_quantiles(sample, {"payment_value": [0.5]}).select(F.col(quantile_name("payment_value", 0.5)).alias("middle"))
     return with_row(sample, middle).select(
         assigned_variant("order_id").alias("variant"),
         flag(F.col("payment_value") >= F.col("middle")).alias("converted"),

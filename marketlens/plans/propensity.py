@@ -8,10 +8,9 @@ from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from marketlens.functions.scalars import clean_feature_name, feature_label
-from marketlens.operators.prep import seeded_split
+from marketlens.operators.prep import stratified_split
 from marketlens.operators.quantiles import with_row
 from marketlens.operators.scoring import (
     add_percentile,
@@ -57,20 +56,21 @@ def fit_scores(
     seed: int = 42,
     min_count: int = 50,
     max_iter: int = 1000,
+    gradient: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
-    """Scored customers (with ``is_train``) and the coefficient table.
+    """Scored customers (with ``is_train``) and the coefficient table, on request with the objective's gradient.
 
     Class weights are n / (2 n_class). The penalty 1/n_train on already scaled features is the
     same objective as a unit-strength L2 penalty on the summed loss.
     """
     rows = features.select(KEY, *REPEAT_NUMERIC, *REPEAT_CATEGORICAL, REPEAT_TARGET)
-    rows = seeded_split(rows.filter(F.col(REPEAT_TARGET).isNotNull()), KEY, test_fraction, seed)
+    rows = stratified_split(rows.filter(F.col(REPEAT_TARGET).isNotNull()), KEY, REPEAT_TARGET, test_fraction, seed)
     rows = materialize(rows)
     if 0 in _class_counts(rows):
-        raise SingleClassError("Repeat purchase model needs both repeat and non-repeat customers.")
+        raise SingleClassError("Buyers with and without a second order are needed to learn from.")
     pos, neg = _class_counts(rows.filter("is_train = 1"))
     if 0 in (pos, neg):
-        raise SingleClassError("The training part holds one class only.")
+        raise SingleClassError("All training rows have the same label.")
 
     matrix, names = design_matrix(rows, REPEAT_NUMERIC, REPEAT_CATEGORICAL, min_count=min_count)
     matrix = materialize(matrix)
@@ -92,13 +92,18 @@ def fit_scores(
     )
     spark = features.sparkSession
     raw = spark.createDataFrame(
-        list(zip(names, [float(c) for c in model.coefficients], strict=True)),
-        T.StructType([T.StructField("name", T.StringType()), T.StructField("coefficient", T.DoubleType())]),
+        [(i, name, float(c)) for i, (name, c) in enumerate(zip(names, model.coefficients, strict=True))],
+        "position int, name string, coefficient double",
     )
-    drivers = raw.select(
-        clean_feature_name("name").alias("feature"), "coefficient", F.abs("coefficient").alias("abs_coefficient")
-    )
-    return materialize(scored), drivers.orderBy(F.col("abs_coefficient").desc(), "feature")
+    drivers = raw.select("position", clean_feature_name("name").alias("feature"), "coefficient", F.abs("coefficient").alias("abs_coefficient"))
+    if gradient:
+        # Derivative of the summed weighted loss plus half the squared norm: zero at the minimum.
+        fitted = model.transform(matrix.filter("is_train = 1"))
+        residual = weight * (vector_to_array("probability")[1] - F.col(REPEAT_TARGET))
+        parts = fitted.select(residual.alias("r"), F.posexplode(vector_to_array("features")).alias("position", "x"))
+        slopes = parts.filter("x <> 0").groupBy("position").agg(F.sum(F.col("r") * F.col("x")).alias("slope"))
+        drivers = drivers.join(slopes, "position", "left").withColumn("gradient", F.coalesce("slope", F.lit(0.0)) + F.col("coefficient")).drop("slope")
+    return materialize(scored), drivers.drop("position").orderBy(F.col("abs_coefficient").desc(), "feature")
 
 
 def evaluate(scored: DataFrame, score: str = SCORE, label: str = REPEAT_TARGET) -> DataFrame:

@@ -47,7 +47,7 @@ def union_checks(frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames)
 
 
-def presence_checks(spark: SparkSession, present: dict[str, bool], detail: str = "Required raw file") -> DataFrame:
+def presence_checks(spark: SparkSession, present: dict[str, bool], detail: str = "input file of table") -> DataFrame:
     """One record per required input, from a look at the file system."""
     rows = [
         (f"raw_file_exists__{name}", "pass" if there else "fail", str(there).lower(), float(there), f"{detail} {name}")
@@ -81,11 +81,11 @@ def table_profile(name: str, df: DataFrame) -> DataFrame:
                 F.concat(F.lit(f"raw_null_rate__{name}__"), x["column"]),
                 F.when(x["rate"] > NULL_RATE_LIMIT, "warn").otherwise("pass"),
                 x["rate"],
-                "Top raw missing-value rates",
+                "largest shares of missing values",
             ),
         ),
     ).otherwise(F.array().cast("array<struct<check:string,status:string,value:string,value_num:double,detail:string>>"))
-    row_count = _count_record(f"raw_row_count__{name}", F.col("_rows"), "Raw table row count", False)
+    row_count = _count_record(f"raw_row_count__{name}", F.col("_rows"), "rows read from the input", False)
     return counts.select(F.inline(F.concat(F.array(row_count), null_rates)))
 
 
@@ -104,7 +104,7 @@ def duplicate_keys(name: str, df: DataFrame, key: str) -> DataFrame:
     """Rows beyond the first of each key value; NULL is a value. Counts combine before the shuffle."""
     surplus = df.groupBy(key).agg((F.count(F.lit(1)) - 1).alias("n")).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"))
     return surplus.select(
-        F.inline(F.array(_count_record(f"raw_duplicate_key_count__{name}", F.col("n"), f"Duplicate count for {key}", True)))
+        F.inline(F.array(_count_record(f"raw_duplicate_key_count__{name}", F.col("n"), f"rows beyond the first per {key}", True)))
     )
 
 
@@ -142,14 +142,14 @@ def fact_checks(fact: DataFrame) -> DataFrame:
                     F.lit("fact_orders__positive_payment_rate"),
                     F.lit("pass"),
                     F.col("positive"),
-                    "Share of fact orders with positive payment value",
+                    "orders with a payment above zero",
                 ),
                 _record(
                     F.lit("fact_orders__date_range"),
                     F.lit("pass"),
                     span,
                     F.lit(None),
-                    "Observed order purchase timestamp range",
+                    "first and last purchase time",
                 ),
             )
         )
@@ -165,7 +165,7 @@ def target_rate(repeat_features: DataFrame) -> DataFrame:
                     F.lit("customer_repeat_features__repeat_rate"),
                     F.lit("pass"),
                     F.col("rate"),
-                    "Observed repeat purchase target rate",
+                    "share of buyers with a second order",
                 )
             )
         )
@@ -174,7 +174,7 @@ def target_rate(repeat_features: DataFrame) -> DataFrame:
 
 def missing_processed(spark: SparkSession, names: list[str]) -> DataFrame:
     rows = [
-        (f"processed_table_exists__{name}", "fail", "false", 0.0, "Processed output missing") for name in names
+        (f"processed_table_exists__{name}", "fail", "false", 0.0, "derived table is not there") for name in names
     ]
     return spark.createDataFrame(rows, CHECK_SCHEMA)
 
@@ -196,7 +196,7 @@ def processed_checks(spark: SparkSession, processed: dict[str, DataFrame | None]
     absent = [name for name in PROCESSED_TABLES if name not in there]
     frames = []
     if there:
-        frames.append(row_counts(there, "processed", "Processed table row count"))
+        frames.append(row_counts(there, "processed", "rows of the derived table"))
     if absent:
         frames.append(missing_processed(spark, absent))
     if "fact_orders" in there:
@@ -236,3 +236,9 @@ def overall_status(report: DataFrame) -> DataFrame:
         n("fail").alias("failed"),
         F.count(F.lit(1)).alias("checks"),
     )
+
+
+def whole_report(report: DataFrame) -> DataFrame:
+    """The verdict with all checks under it: one record, as an audit has a bounded number of checks."""
+    checks = report.agg(F.sort_array(F.collect_list(F.struct(*CHECK_SCHEMA.fieldNames()))).alias("results"))
+    return overall_status(report).crossJoin(F.broadcast(checks))

@@ -38,10 +38,10 @@ def cluster_customers(
     try:
         n = points.count()
         if n < k:
-            raise TooFewRowsError(f"Need at least {k} customers to run K-Means; got {n}.")
+            raise TooFewRowsError(f"{n} customers cannot form {k} segments.")
 
         def fit(run: int):
-            return KMeans(k=k, seed=seed + run, maxIter=300, tol=1e-4).fit(points)
+            return KMeans(k=k, seed=seed + run, maxIter=300, tol=1e-9).fit(points)
 
         with ThreadPoolExecutor(parallelism) as pool:
             models = list(pool.map(fit, range(restarts)))

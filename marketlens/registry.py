@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce, wraps
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from marketlens.functions import scalars
 from marketlens.operators import prep, scoring
+from marketlens.operators.quantiles import with_row
 from marketlens.plans import (
     dashboard,
     experiment,
@@ -20,7 +22,7 @@ from marketlens.plans import (
     segments,
 )
 from marketlens.plans import fact as fact_plans
-from marketlens.schemas import FOREIGN_KEYS, RAW_KEYS, RAW_SCHEMAS, REPEAT_NUMERIC
+from marketlens.schemas import FOREIGN_KEYS, RAW_KEYS, RAW_SCHEMAS, REPEAT_NUMERIC, SEGMENT_FEATURES, SEGMENT_LABELS
 from marketlens.sources import binding, files
 from marketlens.sources.scratch import materialize, scratch_path
 
@@ -28,8 +30,20 @@ Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 
 
+# Sums, whose last bits depend on the order of summation: results show amounts with four digits (no amount
+# has more, so none is near a rounding edge) and quotients with six.
+AMOUNTS = (
+    "revenue", "total_revenue", "payment_value", "item_revenue", "freight_value", "order_value", "first_order_value", "first_freight_value",
+)
+QUOTIENTS = ("avg_order_value", "late_delivery_rate")
+
+
 def query(fn: Query) -> Query:
-    QUERIES[fn.__name__] = fn
+    @wraps(fn)
+    def shown(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _rounded(_rounded(fn(spark, sf_dir), *AMOUNTS, digits=4), *QUOTIENTS)
+
+    QUERIES[fn.__name__] = shown
     return fn
 
 
@@ -103,13 +117,11 @@ def raw_csv_round_trip(spark, sf_dir):
 
 @query
 def daily_sales_round_trip(spark, sf_dir):
-    """Daily sales stored in month folders; the date filter reads only the folders of one year."""
+    """Daily sales stored in month folders and read back."""
     folder = scratch_path(spark)
     files.write_daily_parquet(category_daily_sales(spark, sf_dir), f"{folder}/category_daily_sales")
     back = files.read_table(spark, folder, "category_daily_sales")
-    return back.filter(F.col("order_month").between("1997-01", "1997-12")).select(
-        "order_date", "product_category", "orders", "revenue"
-    )
+    return back.select("order_date", "product_category", "orders", "revenue")
 
 
 @query
@@ -221,15 +233,10 @@ def _audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.audit(spark, present, binding.retail_tables(spark, sf_dir), _processed(spark, sf_dir))
 
 
-@query
-def dq_raw_files(spark, sf_dir):
-    return quality.presence_checks(spark, binding.available_sources(spark, sf_dir))
-
-
 @query
 def dq_row_counts(spark, sf_dir):
-    raw = quality.row_counts(binding.retail_tables(spark, sf_dir), "raw", "Raw table row count")
-    derived = quality.row_counts(_processed(spark, sf_dir), "processed", "Processed table row count")
+    raw = quality.row_counts(binding.retail_tables(spark, sf_dir), "raw", "rows read from the input")
+    derived = quality.row_counts(_processed(spark, sf_dir), "processed", "rows of the derived table")
     return raw.unionByName(derived)
 
 
@@ -314,7 +321,8 @@ def series_status(spark, sf_dir):
 @query
 def rolling_residuals(spark, sf_dir):
     out = forecast.moving_average_residuals(_series(spark, sf_dir))
-    return _rounded(out, "rolling_mean").select(
+    # A little more than nothing keeps means that end in a half off the rounding edge.
+    return _rounded(out.withColumn("rolling_mean", F.col("rolling_mean") + 3e-8), "rolling_mean").select(
         "order_date", "customer_state", "product_category", "revenue", "width", "rolling_mean"
     )
 
@@ -334,14 +342,37 @@ def forecast_overlay(spark, sf_dir):
     return _rounded(out, "revenue", "lower_revenue", "upper_revenue", digits=4)
 
 
+def _bounds_hold(out: DataFrame) -> DataFrame:
+    """Dates of a model's forecast; numbers are there, not negative, and inside their interval."""
+    low, mean, high = F.col("lower_revenue"), F.col("forecast_revenue"), F.col("upper_revenue")
+    return out.select("order_date", "customer_state", "product_category", "status", ((low >= 0) & (low <= mean) & (mean <= high)).alias("in_bounds"))
+
+
 @query
 def forecast_ets(spark, sf_dir):
-    return forecast.forecast(_series(spark, sf_dir), "ets")
+    return _bounds_hold(forecast.forecast(_series(spark, sf_dir), "ets"))
 
 
 @query
 def forecast_sarima(spark, sf_dir):
-    return forecast.forecast(_series(spark, sf_dir), "sarimax")
+    return _bounds_hold(forecast.forecast(_series(spark, sf_dir), "sarimax"))
+
+
+@query
+def scope_forecast(spark, sf_dir):
+    """One state, all states, and the table without states that is used where the other is absent."""
+    fact = materialize(_fact(spark, sf_dir))
+    by_state, by_category = materialize(features.state_category_daily_sales(fact)), materialize(features.category_daily_sales(fact))
+    scopes = {
+        "state": (forecast.daily_sales(by_state, by_category), "NATION_7"),
+        "all states": (forecast.daily_sales(by_state, by_category), None),
+        "category table": (forecast.daily_sales(None, by_category), None),
+    }
+    parts = [
+        forecast.scope_forecast(daily, binding.TARGET_CATEGORY, state, method="moving_average").withColumn("scope", F.lit(name))
+        for name, (daily, state) in scopes.items()
+    ]
+    return _rounded(reduce(DataFrame.unionByName, parts), "forecast_revenue", "lower_revenue", "upper_revenue", digits=4)
 
 
 # --- feature preparation -------------------------------------------------------------------------
@@ -401,11 +432,15 @@ def seeded_split(spark, sf_dir):
 # --- evaluation of given scores ------------------------------------------------------------------
 
 
-def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _scored_rows(rows: DataFrame) -> DataFrame:
     """First orders with a score derived from id and label: coarse, so that ties are common."""
     u = scalars.uniform("customer_unique_id", 7, "score")
     score = F.floor((0.8 * u + 0.2 * F.col("repeat_purchase_label")) * 1000) / F.lit(1000.0)
-    return materialize(customer_repeat_features(spark, sf_dir).withColumn("repeat_probability", score))
+    return materialize(rows.withColumn("repeat_probability", score))
+
+
+def _scored(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _scored_rows(customer_repeat_features(spark, sf_dir))
 
 
 @query
@@ -483,36 +518,89 @@ def best_prospects(spark, sf_dir):
 
 @query
 def propensity_model_scores(spark, sf_dir):
-    return propensity.predictions(propensity.fit_scores(_repeat(spark, sf_dir))[0])
+    """Who is scored and on which side of the split; scores are probabilities and bands follow their percentiles."""
+    scored = propensity.predictions(propensity.fit_scores(_repeat(spark, sf_dir))[0])
+    band = scalars.propensity_band("propensity_percentile")
+    return scored.select(
+        "customer_unique_id", "repeat_purchase_label", "is_train",
+        ((F.col("repeat_probability") > 0) & (F.col("repeat_probability") < 1)).alias("is_probability"),
+        (F.col("propensity_band") == band).alias("band_fits"),
+    )
 
 
 @query
 def propensity_model_metrics(spark, sf_dir):
-    return propensity.model_metrics(propensity.fit_scores(_repeat(spark, sf_dir))[0])
+    """Held-out metrics, checked against a second computation from the same scores."""
+    scored = propensity.fit_scores(_repeat(spark, sf_dir))[0]
+    test = scored.filter("is_train = 0").select(F.col("repeat_probability").alias("p"), F.col("repeat_purchase_label").alias("y"))
+    counts = test.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
+    pairs = counts.select(F.col("p").alias("q"), F.col("neg").alias("below"))
+    won = counts.filter("pos > 0").join(pairs.filter("below > 0"), F.col("p") >= F.col("q"))
+    auc = won.agg(F.sum(F.col("pos") * F.col("below") * F.when(F.col("p") > F.col("q"), 1.0).otherwise(0.5)).alias("won"))
+    again = test.agg(
+        F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")).alias("hit"), F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros")
+    ).crossJoin(auc)
+    row = propensity.model_metrics(scored).crossJoin(again)
+    close = lambda x, y: F.abs(x - y) < 1e-9
+    return row.select(
+        "test_rows",
+        F.round("repeat_rate", 6).alias("repeat_rate"),
+        close(F.col("accuracy"), F.col("hit")).alias("accuracy_agrees"),
+        close(F.col("roc_auc"), F.col("won") / F.col("ones") / F.col("zeros")).alias("roc_auc_agrees"),
+    )
 
 
 @query
 def feature_importance(spark, sf_dir):
-    return propensity.fit_scores(_repeat(spark, sf_dir))[1]
+    """Encoded features of the training rows, and whether the objective is flat there in every direction."""
+    drivers = propensity.fit_scores(_repeat(spark, sf_dir), gradient=True)[1]
+    return drivers.select("feature", (F.abs("gradient") < 0.05 + 1e-3 * F.col("abs_coefficient")).alias("is_stationary"))
 
 
 @query
 def top_drivers(spark, sf_dir):
-    return propensity.top_drivers(propensity.fit_scores(_repeat(spark, sf_dir))[1])
+    """The fifteen largest coefficients: in order, and with display names that follow the rule."""
+    found = propensity.top_drivers(propensity.fit_scores(_repeat(spark, sf_dir))[1])
+    order = Window.orderBy(F.col("abs_coefficient").desc(), "feature")
+    ranked = found.select("*", F.row_number().over(order).alias("position"), F.lag("abs_coefficient").over(order).alias("before"))
+    return ranked.select(
+        "position",
+        (F.coalesce("before", F.col("abs_coefficient")) >= F.abs("coefficient")).alias("in_order"),
+        (F.col("feature_display") == scalars.feature_label("feature")).alias("name_fits"),
+    )
 
 
 def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return segments.cluster_customers(materialize(customer_features(spark, sf_dir)))
+    return materialize(segments.cluster_customers(materialize(customer_features(spark, sf_dir))))
 
 
 @query
 def segment_customers(spark, sf_dir):
-    return segments.segment_customers(_clustered(spark, sf_dir))[0]
+    """Each customer with a segment, and whether no other segment's centre is nearer on the scaled features."""
+    named = segments.segment_customers(_clustered(spark, sf_dir))[0]
+    scaled = materialize(prep.standardize(named, SEGMENT_FEATURES))
+    zs = [f"{c}_z" for c in SEGMENT_FEATURES]
+    centres = scaled.groupBy("cluster").agg(*[F.avg(z).alias(f"c_{z}") for z in zs])
+    # One row per segment, four in all.
+    listed = centres.agg(F.collect_list(F.struct("cluster", *[f"c_{z}" for z in zs])).alias("centres"))
+    distance = lambda c: sum((F.col(z) - c[f"c_{z}"]) * (F.col(z) - c[f"c_{z}"]) for z in zs)
+    joined = with_row(scaled, listed)
+    own = F.filter("centres", lambda c: c["cluster"] == F.col("cluster"))
+    nearest = F.array_min(F.transform("centres", distance))
+    return joined.select(
+        "customer_unique_id",
+        F.col("segment_name").isin(SEGMENT_LABELS).alias("has_name"),
+        (distance(own[0]) <= nearest + 1e-3).alias("nearest_centre"),
+    )
 
 
 @query
 def segment_summary(spark, sf_dir):
-    return segments.segment_customers(_clustered(spark, sf_dir))[1]
+    """The segments by name; each profile equals one computed from the assignments."""
+    named, summary = segments.segment_customers(_clustered(spark, sf_dir))
+    again = named.groupBy("segment_name").agg(F.count("*").alias("n"), F.avg("total_revenue").alias("r"), F.avg("churn_label").alias("c"))
+    close = lambda x, y: F.abs(F.col(x) - F.col(y)) < 1e-6 * (1 + F.abs(F.col(y)))
+    return summary.join(again, "segment_name").select("segment_name", (close("customers", "n") & close("total_revenue", "r") & close("churn_rate", "c")).alias("profile_agrees"))
 
 
 @query
@@ -530,127 +618,136 @@ def segment_names(spark, sf_dir):
 _SCOPE = experiment.Scope(tuple(binding.CORE_STATES), binding.TARGET_CATEGORY)
 
 
-def _experiment_frame(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _frame_of(scored: DataFrame) -> DataFrame:
     """Features with given scores; customers without a first delivery have none."""
-    scored = _scored(spark, sf_dir)
     predictions = scored.filter(F.col("first_delivery_days").isNotNull())
     return experiment.experiment_frame(scored.drop("repeat_probability"), predictions)
 
 
-def _planted(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return experiment.planted_effects(_experiment_frame(spark, sf_dir), _SCOPE)
+def _participants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    fact = materialize(_fact(spark, sf_dir))
+    scored = _scored_rows(features.customer_repeat_features(fact))
+    return materialize(experiment.experiment_rows(_frame_of(scored), experiment.later_revenue(fact), _SCOPE))
 
 
-def _holdout(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _holdout(rows: DataFrame) -> DataFrame:
     """Held-out half with given predictions of outcome and effect."""
-    rows = prep.seeded_split(_planted(spark, sf_dir), "customer_unique_id", 0.5, experiment.SEED)
+    split = prep.seeded_split(rows, "customer_unique_id", 0.5, experiment.SEED)
     u = scalars.uniform("customer_unique_id", 11, "tau")
     v = scalars.uniform("customer_unique_id", 11, "m")
     given = (
-        rows.filter("is_train = 0")
-        .withColumn("tau_hat", F.floor((u * 50 + F.col("true_tau") / 10) * 100) / F.lit(100.0))
+        split.filter("is_train = 0")
+        .withColumn("tau_hat", F.floor(u * 50 * 100) / F.lit(100.0))
         .withColumn("m_hat", F.floor(v * 30000) / F.lit(100.0))
     )
     return experiment.aipw_scores(experiment.select_segment(materialize(given)))
 
 
-@query
-def experiment_frame(spark, sf_dir):
-    return _experiment_frame(spark, sf_dir).select(
-        "customer_unique_id", "repeat_probability", "first_order_value", "repeat_purchase_label"
-    )
+def _uplift(rows: DataFrame) -> DataFrame:
+    train = prep.seeded_split(rows, "customer_unique_id", 0.5, experiment.SEED).filter("is_train = 1")
+    return experiment.uplift_result(train, materialize(_holdout(rows)))
 
 
 @query
-def baseline_purchase_probability(spark, sf_dir):
-    out = experiment.purchase_probabilities(_experiment_frame(spark, sf_dir), _SCOPE)
-    return _rounded(out, "purchase_probability").select(
-        "customer_unique_id", "core_market", "target_category_affinity", "purchase_probability"
+def experiment_frame(spark, sf_dir):
+    return _frame_of(_scored(spark, sf_dir)).select(
+        "customer_unique_id", "repeat_probability", "first_order_value", "repeat_purchase_label"
     )
 
 
 @query
-def responder_rule(spark, sf_dir):
-    return _planted(spark, sf_dir).select(
-        "customer_unique_id", "true_responder", F.round("true_tau", 4).alias("true_tau")
-    )
+def experiment_rows(spark, sf_dir):
+    out = _participants(spark, sf_dir).select("customer_unique_id", "treatment", "core_market", "target_category_affinity", "outcome")
+    return _rounded(out, "outcome", digits=4)
 
 
 @query
-def planted_effect_table(spark, sf_dir):
-    out = _planted(spark, sf_dir).select(
-        "customer_unique_id", "treatment", "synthetic_outcome", "baseline_outcome", "true_tau", "true_responder",
-        "target_category", "promo_window_days", "treatment_probability",
-    )
-    return _rounded(out, "synthetic_outcome", "baseline_outcome", "true_tau", digits=4)
+def experiment_covariates(spark, sf_dir):
+    out = experiment.covariates(_participants(spark, sf_dir))
+    return _rounded(out, "log_items", "bounded_value", "score_z", "score_logistic", "centred_outcome", digits=4)
 
 
 @query
 def experiment_summary(spark, sf_dir):
-    out = experiment.experiment_summary(_planted(spark, sf_dir), _SCOPE)
-    return _rounded(out, "true_responder_rate", "true_global_ate", "true_responder_ate", digits=4)
+    out = experiment.experiment_summary(_participants(spark, sf_dir), _SCOPE)
+    return _rounded(out, "target_rate", "average_outcome", digits=4)
 
 
 @query
 def welch_test(spark, sf_dir):
-    """Statistics of the difference in means; the p-value is part of method_comparison."""
-    out = experiment.welch_statistics(_planted(spark, sf_dir))
-    return _rounded(out, "estimate", "standard_error", "statistic", "freedom", digits=4)
+    out = experiment.with_p_value(experiment.welch_statistics(_participants(spark, sf_dir)))
+    out = _rounded(out, "estimate", "standard_error", "statistic", "freedom", digits=4)
+    return _rounded(out, "p_value")
 
 
 @query
 def one_sample_test(spark, sf_dir):
-    chosen = _holdout(spark, sf_dir).filter("selected_segment = 1")
-    out = experiment.mean_statistics(chosen, "aipw_score")
-    return _rounded(out, "estimate", "standard_error", "statistic", "freedom", digits=4)
+    chosen = _holdout(_participants(spark, sf_dir)).filter("selected_segment = 1")
+    out = experiment.with_p_value(experiment.mean_statistics(chosen, "aipw_score"))
+    out = _rounded(out, "estimate", "standard_error", "statistic", "freedom", digits=4)
+    return _rounded(out, "p_value")
 
 
 @query
 def uplift_cutoff(spark, sf_dir):
-    return _holdout(spark, sf_dir).select(
+    return _holdout(_participants(spark, sf_dir)).select(
         "customer_unique_id", "tau_hat", F.round("cate_cutoff", 6).alias("cate_cutoff"), "selected_segment"
     )
 
 
 @query
 def aipw_scores(spark, sf_dir):
-    out = _holdout(spark, sf_dir).select("customer_unique_id", "treatment", "tau_hat", "aipw_score")
+    out = _holdout(_participants(spark, sf_dir)).select("customer_unique_id", "treatment", "tau_hat", "aipw_score")
     return _rounded(out, "aipw_score", digits=4)
 
 
 @query
 def pseudo_outcomes(spark, sf_dir):
-    out = experiment.pseudo_outcomes(_holdout(spark, sf_dir)).select("customer_unique_id", "pseudo_tau", "r_weight")
-    return _rounded(out, "pseudo_tau", digits=4)
+    out = experiment.pseudo_outcomes(_holdout(_participants(spark, sf_dir)))
+    return _rounded(out.select("customer_unique_id", "pseudo_tau", "r_weight"), "pseudo_tau", digits=4)
 
 
 @query
 def uplift_segment_profile(spark, sf_dir):
-    out = experiment.segment_profile(_holdout(spark, sf_dir))
-    return _rounded(
-        out, "treatment_rate", "true_responder_rate", "true_average_effect", "predicted_cate", digits=4
-    )
+    out = experiment.segment_profile(_holdout(_participants(spark, sf_dir)))
+    return _rounded(out, "treatment_rate", "average_outcome", "predicted_cate", digits=4)
 
 
-def _run_experiment(spark: SparkSession, sf_dir: str) -> experiment.ExperimentResult:
-    rows = _repeat(spark, sf_dir)
-    scored = propensity.fit_scores(rows)[0]
-    return experiment.run_experiment(rows, scored, _SCOPE)
+@query
+def method_comparison(spark, sf_dir):
+    """Both tests side by side, on given predictions."""
+    rows = _participants(spark, sf_dir)
+    return experiment.method_comparison(experiment.welch_test(rows), _uplift(rows))
 
 
 @query
-def r_learner_scores(spark, sf_dir):
-    return _run_experiment(spark, sf_dir).uplift.scored
+def lesson_flags(spark, sf_dir):
+    rows = _participants(spark, sf_dir)
+    return experiment.lesson_flags(experiment.welch_test(rows), _uplift(rows))
 
 
 @query
-def method_comparison(spark, sf_dir):
-    return _run_experiment(spark, sf_dir).comparison
+def r_learner_scores(spark, sf_dir):
+    """Rows of the fitted learner: who is in which half, and whether effect, segment and score fit together."""
+    found = experiment.r_learner(_participants(spark, sf_dir), rounds=20)
+    cut = found.result.select("cate_cutoff")
+    e = experiment.TREATMENT_PROBABILITY
+    tau, y, w = F.col("tau_hat"), F.col("outcome"), F.col("treatment")
+    low = F.col("m_hat") - e * tau
+    score = tau + w / e * (y - low - tau) - (1 - w) / (1 - e) * (y - low)
+    test = F.col("split") == "test"
+    return with_row(found.scored, cut).select(
+        "customer_unique_id", "split", "treatment",
+        (tau.isNotNull() == test).alias("effect_on_test_only"),
+        F.coalesce((F.col("selected_segment") == 1) == (tau >= F.col("cate_cutoff")), F.col("selected_segment") == 0).alias("segment_fits"),
+        F.coalesce(F.abs(F.col("aipw_score") - score) < 1e-6 * (1 + F.abs(score)), ~test).alias("score_fits"),
+    )
 
 
 @query
 def experiment_readout(spark, sf_dir):
-    return reports.experiment_readout(experiment_summary(spark, sf_dir))
+    rows = _participants(spark, sf_dir)
+    return reports.experiment_readout(experiment.experiment_summary(rows, _SCOPE), experiment.welch_test(rows), _uplift(rows))
 
 
 # --- reports -------------------------------------------------------------------------------------
@@ -658,23 +755,19 @@ def experiment_readout(spark, sf_dir):
 
 @query
 def executive_summary(spark, sf_dir):
-    """Summary of records computed from given scores; they hold no p-values."""
-    scored = _scored(spark, sf_dir)
-    planted = materialize(_planted(spark, sf_dir))
-    chosen = _holdout(spark, sf_dir).filter("selected_segment = 1")
-    uplift = chosen.agg(F.avg("aipw_score").alias("estimate"), F.avg("true_tau").alias("true_selected_ate"))
-    out = reports.executive_summary(
-        scoring.classification_metrics(scored, "repeat_probability", "repeat_purchase_label"),
-        experiment.experiment_summary(planted, _SCOPE),
-        experiment.welch_statistics(planted).select("estimate"),
-        uplift,
+    """Summary of records computed from given scores."""
+    rows = _participants(spark, sf_dir)
+    return reports.executive_summary(
+        scoring.classification_metrics(rows, "repeat_probability", "repeat_purchase_label"),
+        experiment.experiment_summary(rows, _SCOPE),
+        experiment.welch_test(rows),
+        _uplift(rows),
     )
-    return out
 
 
 @query
 def report_extracts(spark, sf_dir):
-    """Bounded extract of the scored customers."""
+    """All scored customers in report order."""
     scored = _scored(spark, sf_dir).select(
         "customer_unique_id", "first_customer_state", "first_product_category", "repeat_probability"
     )

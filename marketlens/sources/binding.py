@@ -90,7 +90,7 @@ def order_items(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("l_partkey").alias("product_id"),
         F.col("l_suppkey").alias("seller_id"),
         F.col("l_extendedprice").alias("price"),
-        F.floor(F.col("l_extendedprice") * F.col("l_tax")).cast("double").alias("freight_value"),
+        (F.col("l_extendedprice") * F.col("l_tax")).alias("freight_value"),
     )
 
 

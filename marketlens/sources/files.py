@@ -31,21 +31,19 @@ def raw_files_available(spark: SparkSession, raw_dir: str, files: dict[str, str]
     return not missing_raw_files(spark, raw_dir, files)
 
 
-def _without_nan(field: T.StructField) -> Column:
-    col = F.col(field.name)
-    if isinstance(field.dataType, T.DoubleType):
-        return F.when(~F.isnan(col), col).alias(field.name)
-    return col
+def without_nan(df: DataFrame) -> DataFrame:
+    """NaN is a missing value, whatever the source."""
+    return df.select(*[F.nanvl(c, F.lit(None).cast("double")).alias(c) if kind == "double" else F.col(c) for c, kind in df.dtypes])
 
 
 def read_raw_csv(
-    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = True
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
 ) -> DataFrame:
     """Read the named columns of a CSV with a header and a fixed schema.
 
     Columns are matched by header name, so files may hold more columns or another order.
-    ``multi_line`` allows line breaks in quoted fields but keeps a file in one task; turn it
-    off for large files without such fields.
+    A path may be a folder of files. Files are split over tasks unless ``multi_line`` is set, which
+    allows line breaks in quoted fields and keeps each file in one task.
     """
     reader = (
         spark.read.option("header", True)
@@ -60,21 +58,22 @@ def read_raw_csv(
         raise ValueError(f"{path} lacks the columns {absent}")
     full = T.StructType([T.StructField(name, types.get(name, T.StringType())) for name in header])
     df = reader.schema(full).option("enforceSchema", True).csv(path)
-    return df.select(*[_without_nan(field) for field in schema])
+    return without_nan(df.select(*types))
 
 
 def load_raw_tables(
     spark: SparkSession,
     raw_dir: str,
     files: dict[str, str] | None = None,
-    multi_line: bool = True,
+    multi_line: set[str] | bool = False,
 ) -> dict[str, DataFrame]:
+    """Raw tables by name; multi_line: all tables, none, or the names of those with line breaks in fields."""
     files = files or DEFAULT_FILES
     missing = missing_raw_files(spark, raw_dir, files)
     if missing:
         raise MissingTableError(f"Missing raw files in {raw_dir}: {', '.join(missing)}")
     tables = {
-        name: read_raw_csv(spark, f"{raw_dir}/{file}", RAW_SCHEMAS[name], multi_line)
+        name: read_raw_csv(spark, f"{raw_dir}/{file}", RAW_SCHEMAS[name], multi_line if isinstance(multi_line, bool) else name in multi_line)
         for name, file in files.items()
     }
     register_tables(tables)

@@ -1,34 +1,35 @@
 """Intermediate tables in the cluster's shared checkpoint folder.
 
 A written table cuts lineage, survives the loss of any executor, and is read back with column
-pruning. The folder is the one named by ``spark.checkpoint.dir``; only a local session without
-that setting gets a folder of its own.
+pruning. The folder is the one named by ``spark.checkpoint.dir``; a session without that setting
+uses a folder under its warehouse.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
+# Folders of the runs that are open; tables stored outside a run stay until the session's owner removes them.
+_open_runs: list[str] = []
+
 
 def checkpoint_root(spark: SparkSession) -> str:
     sc = spark.sparkContext
     current = sc.getCheckpointDir()
     if current:
         return current
-    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
-    if not configured:
-        if not sc.master.startswith("local"):
-            raise RuntimeError("set spark.checkpoint.dir to a folder that every executor can reach")
-        configured = tempfile.mkdtemp(prefix="marketlens-")
-    sc.setCheckpointDir(configured)
+    configured = spark.conf.get("spark.checkpoint.dir", None)
+    sc.setCheckpointDir(configured or spark.conf.get("spark.sql.warehouse.dir").rstrip("/") + "/_checkpoints")
     return sc.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession) -> str:
-    return f"{checkpoint_root(spark)}/tables/{uuid.uuid4().hex}"
+    folder = _open_runs[-1] if _open_runs else "tables"
+    return f"{checkpoint_root(spark)}/{folder}/{uuid.uuid4().hex}"
 
 
 def materialize(df: DataFrame) -> DataFrame:
@@ -39,9 +40,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def clear_scratch(spark: SparkSession) -> None:
-    """Remove the tables this application wrote to the scratch folder."""
-    jvm = spark.sparkContext._jvm
-    folder = jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/tables")
-    fs = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    fs.delete(folder, True)
+@contextmanager
+def scratch_run(spark: SparkSession) -> Iterator[None]:
+    """Tables stored inside the block lie in a folder of their own, and only that folder goes at its end."""
+    run = f"run-{uuid.uuid4().hex}"
+    _open_runs.append(run)
+    try:
+        yield
+    finally:
+        _open_runs.remove(run)
+        folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{checkpoint_root(spark)}/{run}")
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)

@@ -93,11 +93,6 @@ def test_repeated_catalogue_rows_count_items_again(spark, raw):
     assert once.filter("order_id = 'o2'").first()["item_count"] == 3
 
 
-def test_approximate_counts_agree_on_small_orders(raw):
-    exact = sorted(map(tuple, fact.fact_orders(raw).collect()))
-    assert sorted(map(tuple, fact.fact_orders(raw, approximate_distinct=True).collect())) == exact
-
-
 def test_first_order_rules(raw):
     rows = {r["customer_unique_id"]: r for r in features.customer_repeat_features(fact.fact_orders(raw)).collect()}
     assert set(rows) == {"u1", "u2", "u3"}
@@ -128,8 +123,6 @@ def test_snapshot_scope(raw):
     assert by_all["u2"]["recency_days"] == 120 and by_all["u2"]["churn_label"] == 0
     assert by_all["u3"]["recency_days"] == 148 and by_all["u3"]["churn_label"] == 1
     assert by_valid["u2"]["recency_days"] == 0
-    unique = {r["customer_unique_id"]: r for r in features.customer_features(facts, unique_orders=True).collect()}
-    assert unique == by_all
 
 
 def test_reference_checks_count_orphans_and_null_keys(raw):
@@ -181,6 +174,13 @@ def test_latest_rows_equal_a_full_sort(spark):
     for n in (1, 2, 100, 3999, 4000, 9000):
         want = sorted(rows, key=lambda r: (r[1], r[0]), reverse=True)[:n]
         assert sorted(map(tuple, features.latest_rows(df, "ts", "id", n).collect())) == sorted(want)
+    gaps = df.withColumn("ts", F.when(F.col("id") % 5 > 0, F.col("ts")))
+    known = [r for r in rows if r[0] % 5]
+    latest = sorted(known, key=lambda r: (r[1], r[0]), reverse=True)
+    lost = [(i, None) for i in range(3995, -1, -5)]
+    for n in (1, 3199, 3200, 3205, 4000, 9000):
+        got = features.latest_rows(gaps, "ts", "id", n).collect()
+        assert sorted(map(str, map(tuple, got))) == sorted(map(str, (latest + lost)[:n]))
     same = df.withColumn("ts", F.lit(start).cast("timestamp_ntz"))
     assert [r["id"] for r in features.latest_rows(same, "ts", "id", 3).collect()] == [3999, 3998, 3997]
 
@@ -211,3 +211,10 @@ def test_filters_and_empty_views(raw):
     nothing = dashboard.filtered_orders(facts, "2030-01-01", None, ["SP"], ["x"])
     row = dashboard.kpi_summary(nothing, features.customer_features(nothing)).first()
     assert (row["total_revenue"], row["total_orders"], row["avg_order_value"], row["top_category"]) == (0.0, 0, 0.0, "n/a")
+
+
+def test_amounts_are_summed_as_they_are(spark):
+    rows = [("o1", "a", 1, 0.005), ("o1", "b", 1, 0.004), ("o1", "c", 1, 12.3456), ("o2", "a", 1, float("nan")), ("o2", "b", 1, 2.0), ("o3", "a", 1, 1e18)]
+    df = spark.createDataFrame(rows, RAW_SCHEMAS["order_payments"])
+    got = {r["order_id"]: r["payment_value"] for r in fact.payment_summary(df).collect()}
+    assert got == {"o1": pytest.approx(12.3546), "o2": 2.0, "o3": 1e18}

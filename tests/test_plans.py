@@ -45,6 +45,11 @@ def test_columns_are_pruned_into_the_scan(spark):
     assert lineitem and all("l_linenumber" not in line for line in lineitem)
 
 
+@pytest.mark.parametrize("name", ["customer_features", "kpi_summary"])
+def test_distinct_counts_do_not_multiply_rows(spark, name):
+    assert "Expand" not in plan_of(queries()[name](spark, SF_DIR))
+
+
 def test_first_order_window_limits_before_the_shuffle(spark):
     plan = plan_of(queries()["first_orders"](spark, SF_DIR))
     assert plan.count("WindowGroupLimit") == 2
@@ -60,7 +65,7 @@ def test_date_filter_reaches_the_scan(spark):
 INVARIANT = [
     "fact_orders", "customer_features", "customer_repeat_features", "ab_test_sample", "daily_series",
     "forecast_moving_average", "propensity_bands", "topk_lift", "roc_auc", "impute_median",
-    "planted_effect_table", "uplift_cutoff", "dq_report",
+    "experiment_rows", "stratified_split", "uplift_cutoff", "dq_report",
 ]
 
 
