@@ -62,7 +62,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None) ->
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.selectExpr("cast(doc_id as long) as doc_id", "text").repartitionByRange(parts, "doc_id", "text").sortWithinPartitions("doc_id", "text")
+    ordered = docs.selectExpr("cast(doc_id as long) as doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, done = encoder(path), TaskContext.get().partitionId(), 0
