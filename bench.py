@@ -35,8 +35,12 @@ HEADLINE = [
     "propensity_bands",
     "topk_lift",
     "roc_auc",
-    "planted_effect_table",
     "welch_test",
+    "dq_report",
+    "stratified_split",
+    "segment_customers",
+    "propensity_model_scores",
+    "r_learner_scores",
 ]
 RUNS = 3
 
