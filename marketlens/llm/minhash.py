@@ -6,9 +6,9 @@ buckets; instead of all pairs of a bucket,
  1. every member is compared with the bucket's smallest document,
  2. members not yet in that document's component are compared with a member drawn per bucket, and
  3. those that are still apart are compared with every member of another component.
-Pairs must pass the length bound and a b-bit estimate within MARGIN below the threshold (over six
-standard deviations); links are then confirmed on full sets. Links inside a component that is already
-joined can't change it and are not sought. With 25 bands of 5 rows, a pair at the threshold meets in some
+Pairs must pass the length bound, which is exact, and a b-bit estimate within MARGIN below the threshold;
+links are then confirmed on full sets. Links inside a component that is already joined can't change it and
+are not sought. In step 3 a pair is compared in the first band that it shares. With 25 bands of 5 rows, a pair at the threshold meets in some
 band with probability 0.99999957 (0.85) or 0.99995 (0.8).
 
 Defined results: documents without words have an empty set and link with nothing; rows without doc_id
@@ -31,9 +31,9 @@ from marketlens.llm.words import SOLID, Words, split_words
 
 #: Shingle words and similarity unless a caller says otherwise.
 SHINGLE, THRESHOLD = 5, 0.8
-BANDS, ROWS, PERMUTATIONS, BITS = 25, 5, 128, 4
-#: How far below the threshold a b-bit estimate may be.
-MARGIN = 0.25
+BANDS, ROWS, PERMUTATIONS, BITS = 25, 5, 1024, 2
+#: How far below the threshold a b-bit estimate may be: over four standard deviations of an estimate.
+MARGIN = 0.07
 
 _FACTORS = mix(np.arange(1, PERMUTATIONS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 _TERMS = mix(np.arange(1001, 1001 + PERMUTATIONS, dtype=np.uint64))
@@ -201,11 +201,15 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = round(1
     links = store(links.union(confirmed(with_facts(second), sets, percent)), "links")
     label = connected_components(links)
 
-    rows = apart().join(facts, "rep").select("band", "value", "rep", "own", "main", "n", "packed")
-    left = rows.where("own <> main").select("band", "value", *[F.col(c).alias(f"{d}_a") for c, d in (("rep", "rep"), ("own", "own"), ("n", "n"), ("packed", "packed"))])
-    right = rows.select("band", "value", *[F.col(c).alias(f"{c}_b") for c in ("rep", "own", "n", "packed")])
-    close = left.join(right, ["band", "value"]).where((F.col("own_a") != F.col("own_b")) & plausible(threshold))
-    third = close.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b")).distinct()
+    rows = apart().join(reps.select("rep", "n", "packed", "bands"), "rep")
+    told = ("rep", "own", "main", "n", "packed", "bands")
+    left = rows.where("own <> main").select("band", "value", *[F.col(c).alias(f"{c}_a") for c in told])
+    right = rows.select("band", "value", *[F.col(c).alias(f"{c}_b") for c in told])
+    first_shared = F.array_position(F.zip_with("bands_a", "bands_b", lambda x, y: x == y), True) - 1
+    # Two rows that are both outside the main component meet twice: the smaller one asks.
+    asks = (F.col("own_b") == F.col("main_b")) | (F.col("rep_a") < F.col("rep_b"))
+    close = left.join(right, ["band", "value"]).where((F.col("own_a") != F.col("own_b")) & asks & plausible(threshold) & (first_shared == F.col("band")))
+    third = close.select(F.least("rep_a", "rep_b").alias("a"), F.greatest("rep_a", "rep_b").alias("b"))
     links = store(links.union(confirmed(third, sets, percent)), "links")
     label = connected_components(links)
 
