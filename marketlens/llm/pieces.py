@@ -109,17 +109,21 @@ def pieces(texts: list[str], classes: Classes, spaced: bool) -> tuple[pa.StringA
 
 
 class WordIds:
-    """Ids of pieces, remembered in flat arrays; forgotten when they grow past `limit` pieces."""
+    """Ids of pieces, remembered in flat arrays; past `limit` pieces only those of the chunk at hand are kept."""
 
-    def __init__(self, encode, limit: int = 1_000_000) -> None:
+    def __init__(self, encode, limit: int = 800_000) -> None:
         self._encode, self._limit = encode, limit
         self._clear()
 
     def _clear(self) -> None:
         self._place: dict[str, int] = {}
-        self._flat: list[np.ndarray] = []
-        self._sizes: list[int] = []
-        self._joined = None
+        self._flat, self._size, self._start = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def _add(self, words: list[str], found: list[np.ndarray]) -> None:
+        self._place.update(zip(words, range(len(self._place), len(self._place) + len(words)), strict=True))
+        self._flat = np.concatenate([self._flat, *(np.asarray(f, np.int32) for f in found)])
+        self._size = np.concatenate([self._size, np.fromiter(map(len, found), np.int64, len(found))])
+        self._start = np.cumsum(self._size) - self._size
 
     def ids(self, array: pa.StringArray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, number of ids of each piece)."""
@@ -128,20 +132,16 @@ class WordIds:
         coded = array.dictionary_encode()
         words = coded.dictionary.to_pylist()
         if len(self._place) + len(words) > self._limit:
+            kept = [w for w in words if w in self._place]
+            found = [self._flat[self._start[i] : self._start[i] + self._size[i]] for i in map(self._place.__getitem__, kept)]
             self._clear()
+            self._add(kept, found)
         new = [w for w in words if w not in self._place]
         if new:
-            for word, found in zip(new, self._encode(new), strict=True):
-                self._place[word] = len(self._place)
-                self._flat.append(np.asarray(found, np.int64))
-                self._sizes.append(len(found))
-            self._flat = [np.concatenate(self._flat)]
-            size = np.asarray(self._sizes, np.int64)
-            self._joined = (self._flat[0], size, np.cumsum(size) - size)
-        flat, size, start = self._joined
+            self._add(new, self._encode(new))
         place = np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = np.where(blank, 0, size[place])
-        return flat[ragged(start[place], lengths)], lengths
+        lengths = np.where(blank, 0, self._size[place])
+        return self._flat[ragged(self._start[place], lengths)].astype(np.int64), lengths
 
 
 def special_tokens(path: str) -> dict[str, int]:
