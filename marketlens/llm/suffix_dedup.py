@@ -1,18 +1,21 @@
 """Removal of repeated passages: suffixes of a prefix-free parse, compared in corpus order.
 
 Parsing. A rolling hash over GRAM bytes triggers at its local minima, so every string of LENGTH bytes holds
-a trigger at a place that its own bytes decide. Around a trigger stands a phrase: all bytes of the strings
-of LENGTH bytes over it. The distinct phrases of a trigger form the dictionary, the occurrences in corpus
-order the parse. As no phrase can begin inside another one of its trigger, suffixes of the corpus that
-agree on LENGTH bytes are suffixes of dictionary phrases with the same trigger.
+a trigger, and the leftmost least one is at a place that the string's own bytes decide. A trigger's phrase
+is the text of all strings whose trigger it is. The distinct phrases of a trigger value form the
+dictionary, their occurrences in corpus order the parse. Corpus suffixes that agree on LENGTH bytes are
+suffixes of dictionary phrases with the same trigger value.
 
 Order. Phrase occurrences are sorted by (trigger, phrase, corpus place) by Spark and streamed. In a run of
 equal phrases all but the first occurrence repeat every string of it. First occurrences are settled by
-that unless their trigger has other phrases too; then the dictionary's own suffixes are sorted, first in
-blocks of BLOCK neighbouring suffixes (a block's common core takes the trigger's place) and last one by one.
-Only LENGTH bytes of a suffix matter, so suffixes are ordered by 64-bit hashes of those bytes: equal
-suffixes stand together in corpus order, which is all that is asked of the suffix array. Rows follow the
-input; no document, group or dictionary is held by one task.
+that unless their trigger value has other phrases too; then the dictionary's own suffixes are sorted,
+first in blocks of BLOCK neighbouring suffixes (a block's common core takes the trigger's place) and last
+one by one. Only LENGTH bytes of a suffix matter, so suffixes are ordered by 64-bit hashes of those bytes:
+equal suffixes stand together in corpus order, which is all that is asked of the suffix array.
+
+Repeats inside one Arrow batch are settled before the shuffle and travel as merged spans, so a passage
+that many documents share sends about one row per batch. Rows follow the input; no document group or
+dictionary is held by one task.
 
 Defined results: null text is empty; strings of LENGTH bytes never cross documents; rows without doc_id
 count as the smallest id; rows that repeat a doc_id with other text are ordered by a hash of it; rows equal
@@ -31,12 +34,12 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from marketlens.llm.common import BYTE_CODES, chunks, local_minima, mix, prefix_hash, slice_hash, store, utf8
+from marketlens.llm.common import BYTE_CODES, chunks, local_minima, mix, new_folder, prefix_hash, slice_hash, sliding, store, utf8
 
 LENGTH, GRAM, BLOCK = 100, 32, 10
 _NO_ID = -(1 << 63)
-_FLAGS = "d long, place long, kind int"
-_ENTRIES = "core long, phrase long, d long, place long"
+_FLAGS = "d long, place long, size int, kind int"
+_ENTRIES = "core int, phrase long, d long, place long, size int"
 
 
 def pack(variant: np.ndarray, start: np.ndarray, back: np.ndarray, count: np.ndarray) -> np.ndarray:
@@ -49,8 +52,74 @@ def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 
 
 def entries(core: np.ndarray, phrase: np.ndarray, d: np.ndarray, place: np.ndarray) -> pa.RecordBatch:
-    columns = [pa.array(core.view(np.int64)), pa.array(phrase.view(np.int64)), pa.array(d), pa.array(place)]
-    return pa.RecordBatch.from_arrays(columns, names=["core", "phrase", "d", "place"])
+    """Occurrences of a batch. Of equal phrases the first in corpus order is sent (size 0); what the others
+    cover is repeated for certain and sent as spans (size: bytes)."""
+    order = np.lexsort((place, d))
+    core, phrase, d, place = core[order], phrase[order], d[order], place[order]
+    # The key holds both hashes, so equal keys are equal phrases of one trigger.
+    key = mix(core * np.uint64(0x9E3779B97F4A7C15) + phrase)
+    order = np.argsort(key, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = key[order][1:] != key[order][:-1]
+    origin = order[np.maximum.accumulate(np.where(new, np.arange(len(order)), 0))]
+    first = np.zeros(len(order), bool)
+    first[order[new]] = True
+    again = np.zeros(len(order), bool)
+    # The same bytes found through two triggers are one occurrence.
+    again[order] = ~new & ((d[order] != d[origin]) | (place[order] >> 14 != place[origin] >> 14))
+    sd, spot, size = merged(d[again], place[again] >> 14, unpack(place[again])[2] - 1 + LENGTH)
+    spread = mix(spot.astype(np.uint64) ^ sd.astype(np.uint64))
+    columns = [
+        np.concatenate([core[first], spread]).astype(np.uint32).view(np.int32),
+        np.concatenate([phrase[first].view(np.int64), np.zeros(len(sd), np.int64)]),
+        np.concatenate([d[first], sd]),
+        np.concatenate([place[first], spot << 14]),
+        np.concatenate([np.zeros(int(first.sum()), np.int64), size]).astype(np.int32),
+    ]
+    return pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["core", "phrase", "d", "place", "size"])
+
+
+def merged(d: np.ndarray, spot: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Overlapping or touching spans made one; spot holds the text variant above the start."""
+    order = np.lexsort((spot, d))
+    d, spot, stop = d[order], spot[order], (spot + size)[order]
+    out = ([], [], [])
+    if len(d):
+        text = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (spot[1:] >> 32 != spot[:-1] >> 32))))
+        # Reach within a text: later texts start above, as their rank is put in front.
+        rank = np.repeat(np.arange(len(text)), np.diff(np.append(text, len(d)))) << 33
+        start, reach = rank + (spot & 0xFFFFFFFF), np.maximum.accumulate(rank + (stop & 0xFFFFFFFF))
+        head = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
+        last = np.append(head[1:], len(d)) - 1
+        out = (d[head], spot[head], (reach[last] - rank[last]) - (spot[head] & 0xFFFFFFFF))
+    return tuple(np.asarray(x, np.int64) for x in out)
+
+
+def own_strings(low: np.ndarray, window: np.ndarray, trigger: np.ndarray, grams: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(index of trigger, first, last): the strings, by their start, whose leftmost least gram is at the trigger.
+
+    low: least gram hash of the string that starts at window[i]; window is sorted. Neighbouring strings share
+    their trigger until its hash or the string passes it, so only those places are looked at.
+    """
+    n = len(window)
+    if not n:
+        return (np.zeros(0, np.int64),) * 3
+    change = np.ones(n, bool)
+    change[1:] = (low[1:] != low[:-1]) | (window[1:] != window[:-1] + 1)
+    past = np.searchsorted(window, trigger + 1)
+    change[past[past < n]] = True
+    begin = np.flatnonzero(change)
+    end = np.append(begin[1:], n) - 1
+    at = np.searchsorted(trigger, window[begin])
+    wrong = np.flatnonzero(grams[at] != low[begin])
+    while len(wrong):
+        at[wrong] += 1
+        wrong = wrong[grams[at[wrong]] != low[begin[wrong]]]
+    # Looking twice may find the same trigger again: its strings stay together.
+    new = np.ones(len(at), bool)
+    new[1:] = at[1:] != at[:-1]
+    head = np.flatnonzero(new)
+    return at[head], window[begin[head]], window[end[np.append(head[1:], len(at)) - 1]]
 
 
 def parse(base: DataFrame) -> DataFrame:
@@ -60,24 +129,27 @@ def parse(base: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             ids, variants = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            found: list[tuple[np.ndarray, ...]] = []
             for a, b in chunks(offsets):
                 text, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
+                width = LENGTH - GRAM + 1
                 n = len(text) - GRAM + 1
-                if n <= 0:
+                if n < width:
                     continue
                 document = np.repeat(np.arange(b - a), np.diff(at))
                 prefix = prefix_hash(BYTE_CODES[text])
                 where = np.flatnonzero(document[:n] == document[GRAM - 1 :])
-                grams = slice_hash(prefix, where, where + GRAM)
-                found = local_minima(grams, document[where], LENGTH - GRAM + 1)
-                trigger, core = where[found], grams[found]
-                doc = document[trigger]
-                first = np.maximum(at[doc], trigger + GRAM - LENGTH)
-                last = np.minimum(trigger, at[doc + 1] - LENGTH)
-                ok = last >= first
-                trigger, core, doc, first, last = trigger[ok], core[ok], doc[ok], first[ok], last[ok]
+                grams, of = slice_hash(prefix, where, where + GRAM), document[where]
+                minima = local_minima(grams, of, width)
+                if len(where) < width:
+                    continue
+                inside = np.flatnonzero(of[: len(of) - width + 1] == of[width - 1 :])
+                which, first, last = own_strings(sliding(grams, width, np.minimum)[inside], where[inside], where[minima], grams[minima])
+                trigger, core, doc = where[minima][which], grams[minima][which], of[minima][which]
                 place = pack(variants[a + doc], first - at[doc], trigger - first, last - first + 1)
-                yield entries(core >> np.uint64(16), slice_hash(prefix, first, last + LENGTH), ids[a + doc], place)
+                found.append((core >> np.uint64(32), slice_hash(prefix, first, last + LENGTH), ids[a + doc], place))
+            if found:
+                yield entries(*map(np.concatenate, zip(*found, strict=True)))
 
     return base.select("d", "variant", "text").mapInArrow(run, _ENTRIES)
 
@@ -91,48 +163,60 @@ def sorted_runs(found: DataFrame) -> DataFrame:
         origin = (0, 0)  # document and start of the first occurrence of phrase_before
         held: tuple[int, int] | None = None  # the only first occurrence so far of core_before
         for batch in batches:
-            n = batch.num_rows
-            if not n:
-                continue
-            core, phrase, d, place = (c.to_numpy() for c in batch.columns)
-            new_core, new = np.ones(n, bool), np.ones(n, bool)
-            new_core[1:] = core[1:] != core[:-1]
-            new[1:] = new_core[1:] | (phrase[1:] != phrase[:-1])
-            new_core[0] = core_before is None or core[0] != core_before
-            new[0] = new_core[0] or phrase[0] != phrase_before
-            # The same bytes found through two triggers are one occurrence.
-            first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
-            first_d = np.where(first < 0, origin[0], d[first])
-            first_start = np.where(first < 0, origin[1], place[first] >> 14)
-            kind = np.where(new | ((d == first_d) & (place >> 14 == first_start)), 0, 1).astype(np.int32)
-            origin = (first_d[-1], first_start[-1])
-            group = np.cumsum(new_core)  # group 0 goes on from the batch before
-            firsts = np.flatnonzero(new)
-            counts = np.bincount(group[firsts], minlength=int(group[-1]) + 1)
-            carried = []
-            if counts[0] and held:
-                carried, held = [held], None
-            multiple = counts >= 2
-            multiple[0] = True  # an earlier phrase of this core has been seen
-            kind[firsts[multiple[group[firsts]]]] = 2
-            if group[-1] > 0:
-                only = firsts[group[firsts] == group[-1]]
-                held = (int(d[only[0]]), int(place[only[0]])) if len(only) == 1 else None
-            core_before, phrase_before = core[-1], phrase[-1]
-            kept = kind > 0
-            out_d = np.concatenate(([c[0] for c in carried], d[kept])).astype(np.int64)
-            out_place = np.concatenate(([c[1] for c in carried], place[kept])).astype(np.int64)
-            out_kind = np.concatenate(([2] * len(carried), kind[kept])).astype(np.int32)
-            yield pa.RecordBatch.from_arrays([pa.array(out_d), pa.array(out_place), pa.array(out_kind)], names=["d", "place", "kind"])
+            core, phrase, d, place, size = (c.to_numpy() for c in batch.columns)
+            span = size > 0
+            out = [(d[span], place[span], size[span], np.ones(int(span.sum()), np.int32))]
+            core, phrase, d, place = core[~span], phrase[~span], d[~span], place[~span]
+            n = len(core)
+            if n:
+                new_core, new = np.ones(n, bool), np.ones(n, bool)
+                new_core[1:] = core[1:] != core[:-1]
+                new[1:] = new_core[1:] | (phrase[1:] != phrase[:-1])
+                new_core[0] = core_before is None or core[0] != core_before
+                new[0] = new_core[0] or phrase[0] != phrase_before
+                # The same bytes found through two triggers are one occurrence.
+                first = np.maximum.accumulate(np.where(new, np.arange(n), -1))
+                first_d = np.where(first < 0, origin[0], d[first])
+                first_start = np.where(first < 0, origin[1], place[first] >> 14)
+                kind = np.where(new | ((d == first_d) & (place >> 14 == first_start)), 0, 1).astype(np.int32)
+                origin = (first_d[-1], first_start[-1])
+                group = np.cumsum(new_core)  # group 0 goes on from the batch before
+                firsts = np.flatnonzero(new)
+                counts = np.bincount(group[firsts], minlength=int(group[-1]) + 1)
+                if counts[0] and held:
+                    out.append((np.array([held[0]]), np.array([held[1]]), np.zeros(1, np.int32), np.full(1, 2, np.int32)))
+                    held = None
+                multiple = counts >= 2
+                multiple[0] = True  # an earlier phrase of this core has been seen
+                kind[firsts[multiple[group[firsts]]]] = 2
+                if group[-1] > 0:
+                    only = firsts[group[firsts] == group[-1]]
+                    held = (int(d[only[0]]), int(place[only[0]])) if len(only) == 1 else None
+                core_before, phrase_before = core[-1], phrase[-1]
+                kept = kind > 0
+                out.append((d[kept], place[kept], np.where(kind[kept] == 1, unpack(place[kept])[2] - 1 + LENGTH, 0).astype(np.int32), kind[kept]))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*out, strict=True)], names=["d", "place", "size", "kind"])
 
     parts = int(found.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return store(found.repartition(parts, "core").sortWithinPartitions("core", "phrase", "d", "place").mapInArrow(run, _FLAGS), "runs")
 
 
 def joined(base: DataFrame, flags: DataFrame, columns: list[str], how: str) -> DataFrame:
-    """Documents with the places flagged in them, an array per document."""
-    places = flags.groupBy("d", F.shiftright("place", 46).alias("variant")).agg(F.collect_list("place").alias("places"))
-    return base.select("d", "variant", *columns).join(places, ["d", "variant"], how)
+    """Documents with the places flagged in them, an array per doc_id.
+
+    The join has the bucket column as its only key, so documents stay where they are; places of another
+    text of the same doc_id are told apart by their variant.
+    """
+    places = flags.groupBy("d").agg(F.collect_list("place").alias("places"), F.collect_list("size").alias("sizes"))
+    return base.select("d", "variant", *columns).join(places, "d", how)
+
+
+def own_places(places: pa.Array, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(flagged places of each row's own text, one row after the other; their number in each row)."""
+    sizes = places.value_lengths().to_numpy(zero_copy_only=False)
+    flat, row = places.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
+    own = flat >> 46 == variants[row]
+    return flat[own], np.bincount(row[own], minlength=len(sizes))
 
 
 def blocks(base: DataFrame, flags: DataFrame) -> DataFrame:
@@ -142,8 +226,9 @@ def blocks(base: DataFrame, flags: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             ids, variants, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            sizes = places.value_lengths().to_numpy(zero_copy_only=False)
-            flat, ends = places.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes)))
+            flat, sizes = own_places(places, variants)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            found: list[tuple[np.ndarray, ...]] = []
             for a, b in chunks(offsets):
                 text, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 prefix = prefix_hash(BYTE_CODES[text])
@@ -159,7 +244,9 @@ def blocks(base: DataFrame, flags: DataFrame) -> DataFrame:
                 end = np.minimum(far, first[each] + count[each] - 1)
                 core = slice_hash(prefix, far, far - BLOCK + 1 + LENGTH)
                 place = pack(variants[a + doc[each]], begin - at[doc[each]], np.zeros(len(each), np.int64), end - begin + 1)
-                yield entries(core, slice_hash(prefix, begin, end + LENGTH), ids[a + doc[each]], place)
+                found.append((core >> np.uint64(32), slice_hash(prefix, begin, end + LENGTH), ids[a + doc[each]], place))
+            if found:
+                yield entries(*map(np.concatenate, zip(*found, strict=True)))
 
     return joined(base, flags, ["text"], "inner").select("d", "variant", "text", "places").mapInArrow(run, _ENTRIES)
 
@@ -171,8 +258,9 @@ def single_starts(base: DataFrame, flags: DataFrame) -> DataFrame:
         for batch in batches:
             data, offsets = utf8(batch.column(2))
             ids, variants, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            sizes = places.value_lengths().to_numpy(zero_copy_only=False)
-            flat, ends = places.flatten().to_numpy(), np.concatenate(([0], np.cumsum(sizes)))
+            flat, sizes = own_places(places, variants)
+            ends = np.concatenate(([0], np.cumsum(sizes)))
+            found: list[tuple[np.ndarray, ...]] = []
             for a, b in chunks(offsets):
                 text, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 prefix = prefix_hash(BYTE_CODES[text])
@@ -184,20 +272,17 @@ def single_starts(base: DataFrame, flags: DataFrame) -> DataFrame:
                 doc = np.searchsorted(at, begin, "right") - 1
                 zero = np.zeros(len(begin), np.int64)
                 hashes = slice_hash(prefix, begin, begin + LENGTH)
-                yield entries(hashes, hashes, ids[a + doc], pack(variants[a + doc], begin - at[doc], zero, zero + 1))
+                found.append((hashes >> np.uint64(32), hashes, ids[a + doc], pack(variants[a + doc], begin - at[doc], zero, zero + 1)))
+            if found:
+                yield entries(*map(np.concatenate, zip(*found, strict=True)))
 
     return joined(base, flags, ["text"], "inner").select("d", "variant", "text", "places").mapInArrow(run, _ENTRIES)
 
 
-def removed_spans(places: np.ndarray) -> list[tuple[int, int]]:
+def removed_spans(places: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
     """Maximal runs of removed bytes."""
-    start, _, count = unpack(places)
-    order = np.argsort(start)
-    start, stop = start[order], np.maximum.accumulate((start + count - 1 + LENGTH)[order])
-    new = np.ones(len(start), bool)
-    new[1:] = start[1:] > stop[:-1]
-    at = np.flatnonzero(new)
-    return list(zip(start[at].tolist(), stop[np.append(at[1:], len(start)) - 1].tolist(), strict=True))
+    _, start, size = merged(np.zeros(len(places), np.int64), unpack(places)[0], sizes.astype(np.int64))
+    return list(zip(start.tolist(), (start + size).tolist(), strict=True))
 
 
 def whole_characters(data: np.ndarray, spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -228,7 +313,7 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     # A bucketed table: the three joins with flagged places deal out only the places.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     table = f"suffix_dedup_{uuid.uuid4().hex}"
-    base.write.bucketBy(parts, "d").sortBy("d").format("parquet").saveAsTable(table)
+    base.write.bucketBy(parts, "d").sortBy("d").format("parquet").option("compression", "zstd").option("path", new_folder(spark, "bucketed")).saveAsTable(table)
     base = spark.table(table)
 
     runs = sorted_runs(parse(base))
@@ -243,13 +328,17 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts, places = batch.column("text"), batch.column("places")
+            texts, places, sizes = batch.column("text"), batch.column("places"), batch.column("sizes")
             data, offsets = utf8(texts)
-            valid = texts.is_valid().to_pylist()
+            valid, variants = texts.is_valid().to_pylist(), batch.column("variant").to_pylist()
             out, rows = [], []
-            for i, flagged in enumerate(places):
+            for i, (flagged, size) in enumerate(zip(places, sizes, strict=True)):
                 text = data[offsets[i] : offsets[i + 1]]
-                spans = removed_spans(flagged.values.to_numpy()) if flagged.is_valid else []
+                spans = []
+                if flagged.is_valid:
+                    spot = flagged.values.to_numpy()
+                    own = spot >> 46 == variants[i]
+                    spans = removed_spans(spot[own], size.values.to_numpy()[own])
                 if keep_text:
                     spans = whole_characters(text, spans)
                 edges = [0, *(x for s in spans for x in s), len(text)]
@@ -265,4 +354,4 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 sums = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([batch.column(inner["doc_id"]).cast(pa.int64()), *sums, pa.array([r[3] for r in rows], pa.string())], names=schema.names)
 
-    return joined(base, flags, list(inner.values()), "left").drop("d", "variant").mapInArrow(run, schema)
+    return joined(base, flags, list(inner.values()), "left").drop("d").mapInArrow(run, schema)
