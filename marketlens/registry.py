@@ -713,15 +713,36 @@ def uplift_segment_profile(spark, sf_dir):
     return _rounded(out, "treatment_rate", "average_outcome", "predicted_cate", digits=4)
 
 
+def _run_experiment(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, experiment.ExperimentResult]:
+    """The whole chain as in the batch job: fitted propensity scores, then the fitted R-learner."""
+    fact = materialize(_fact(spark, sf_dir))
+    rows = materialize(features.customer_repeat_features(fact))
+    scored = propensity.fit_scores(rows)[0]
+    return scored, experiment.run_experiment(rows, scored, experiment.later_revenue(fact), _SCOPE)
+
+
+@query
+def fitted_method_comparison(spark, sf_dir):
+    """Both tests side by side, the second one on the segment that the fitted R-learner selects."""
+    return _run_experiment(spark, sf_dir)[1].comparison
+
+
+@query
+def fitted_lesson_flags(spark, sf_dir):
+    found = _run_experiment(spark, sf_dir)[1]
+    return experiment.lesson_flags(found.naive, found.uplift.result)
+
+
 @query
 def method_comparison(spark, sf_dir):
-    """Both tests side by side, on given predictions."""
+    """Both tests side by side, on given predictions: hashes of the id, no learner (see fitted_method_comparison)."""
     rows = _participants(spark, sf_dir)
     return experiment.method_comparison(experiment.welch_test(rows), _uplift(rows))
 
 
 @query
 def lesson_flags(spark, sf_dir):
+    """On given predictions, as in method_comparison."""
     rows = _participants(spark, sf_dir)
     return experiment.lesson_flags(experiment.welch_test(rows), _uplift(rows))
 
@@ -744,8 +765,15 @@ def r_learner_scores(spark, sf_dir):
     )
 
 
+@query
+def fitted_experiment_readout(spark, sf_dir):
+    found = _run_experiment(spark, sf_dir)[1]
+    return reports.experiment_readout(found.summary, found.naive, found.uplift.result)
+
+
 @query
 def experiment_readout(spark, sf_dir):
+    """On given predictions, as in method_comparison."""
     rows = _participants(spark, sf_dir)
     return reports.experiment_readout(experiment.experiment_summary(rows, _SCOPE), experiment.welch_test(rows), _uplift(rows))
 
@@ -753,9 +781,16 @@ def experiment_readout(spark, sf_dir):
 # --- reports -------------------------------------------------------------------------------------
 
 
+@query
+def fitted_executive_summary(spark, sf_dir):
+    """Summary of the fitted models: held-out propensity metrics and the R-learner's segment."""
+    scored, found = _run_experiment(spark, sf_dir)
+    return reports.executive_summary(propensity.model_metrics(scored), found.summary, found.naive, found.uplift.result)
+
+
 @query
 def executive_summary(spark, sf_dir):
-    """Summary of records computed from given scores."""
+    """Summary of records computed from given scores and given predictions."""
     rows = _participants(spark, sf_dir)
     return reports.executive_summary(
         scoring.classification_metrics(rows, "repeat_probability", "repeat_purchase_label"),
