@@ -747,10 +747,17 @@ def lesson_flags(spark, sf_dir):
     return experiment.lesson_flags(experiment.welch_test(rows), _uplift(rows))
 
 
+@query
+def r_learner_predictions(spark, sf_dir):
+    """The fitted learner's predictions, scores and segment, with its cutoff."""
+    found = experiment.r_learner(_participants(spark, sf_dir))
+    return with_row(found.scored, found.result.select("cate_cutoff"))
+
+
 @query
 def r_learner_scores(spark, sf_dir):
     """Rows of the fitted learner: who is in which half, and whether effect, segment and score fit together."""
-    found = experiment.r_learner(_participants(spark, sf_dir), rounds=20)
+    found = experiment.r_learner(_participants(spark, sf_dir))
     cut = found.result.select("cate_cutoff")
     e = experiment.TREATMENT_PROBABILITY
     tau, y, w = F.col("tau_hat"), F.col("outcome"), F.col("treatment")

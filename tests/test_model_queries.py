@@ -32,3 +32,12 @@ def test_comparison_is_of_fitted_models(spark, fits, monkeypatch):
     name = "R-learner + holdout AIPW (Spark GBTRegressor)"
     assert table.keys() == given.keys() and table[name]["estimate"] is not None
     assert table[name]["estimate"] != given[name]["estimate"]
+
+
+def test_learner_queries_use_the_production_rounds(spark, fits):
+    rows = QUERIES["r_learner_predictions"](spark, SF_DIR)
+    QUERIES["r_learner_scores"](spark, SF_DIR)
+    assert fits == [("outcome", 140), ("pseudo_tau", 140)] * 2
+    held = [r for r in rows.collect() if r["split"] == "test"]
+    assert held and all(r["selected_segment"] == (r["tau_hat"] >= r["cate_cutoff"]) for r in held)
+    assert all(r["m_hat"] is not None and r["aipw_score"] is not None for r in held)
