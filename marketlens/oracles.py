@@ -894,6 +894,41 @@ _BOUNDS = """
     FROM daily_series GROUP BY customer_state, product_category HAVING COUNT(*) < 35"""
 oracle("forecast_ets", _BOUNDS)
 oracle("forecast_sarima", _BOUNDS)
+oracle(
+    "arima_orthogonality",
+    """SELECT customer_state, product_category, true AS is_orthogonal
+       FROM daily_series GROUP BY 1, 2 HAVING COUNT(*) >= 35""",
+)
+# Every weight of the grid folds over the days; the season's list turns by one place a day.
+oracle(
+    "forecast_ets_scope",
+    f"""SELECT * FROM (
+          WITH RECURSIVE days AS (
+            SELECT ROW_NUMBER() OVER (ORDER BY order_date) - 1 AS t, revenue AS y, COUNT(*) OVER () AS n, MAX(order_date) OVER () AS last_date
+            FROM daily_series WHERE customer_state = 'ALL' AND product_category = '{TARGET_CATEGORY}'),
+          weeks AS (SELECT t // 7 AS w, AVG(y) AS m FROM days WHERE t < n // 7 * 7 GROUP BY 1),
+          slopes AS (SELECT (arg_max(m, w) - arg_min(m, w)) / (7 * MAX(w)) AS slope, arg_min(m, w) AS m0 FROM weeks),
+          pattern AS (SELECT list(p ORDER BY j) AS season FROM (
+            SELECT t % 7 AS j, AVG(y - m - slope * (t % 7 - 3)) AS p FROM days JOIN weeks ON t // 7 = w, slopes GROUP BY 1)),
+          weights AS (SELECT row_number() OVER (ORDER BY a, b, g) AS i, a, b, g FROM
+            (SELECT unnest([0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9]::DOUBLE[]) AS a), (SELECT unnest([0.0, 0.01, 0.05, 0.15]::DOUBLE[]) AS b),
+            (SELECT unnest([0.0, 0.02, 0.05, 0.1, 0.25]::DOUBLE[]) AS g)),
+          fold AS (
+            SELECT i, a, b, g, 0::BIGINT AS t, m0 - slope * 4 AS level, slope AS trend, season, 0.0::DOUBLE AS squares, 0.0::DOUBLE AS total
+            FROM weights, slopes, pattern
+            UNION ALL
+            SELECT i, a, b, g, t + 1, level + trend + a * e, trend + a * b * e, list_append(season[2:], season[1] + g * (1 - a) * e), squares + e * e, total + e
+            FROM (SELECT f.*, d.y - (f.level + f.trend + f.season[1]) AS e FROM fold f JOIN days d ON f.t = d.t)),
+          best AS (SELECT f.*, n, last_date FROM fold f JOIN (SELECT DISTINCT n, last_date FROM days) ON t = n ORDER BY squares, i LIMIT 1),
+          ahead AS (
+            SELECT last_date, h, level + h * trend + season[(h - 1) % 7 + 1] AS mean,
+                   1.2815515655446004::DOUBLE * sqrt((squares - total * total / n) / (n - 1)) * sqrt(h) AS width
+            FROM best, generate_series(1, 30) AS s(h))
+          SELECT CAST(last_date + to_days(CAST(h AS INT)) AS DATE) AS order_date, 'ALL' AS customer_state, '{TARGET_CATEGORY}' AS product_category,
+                 ROUND(GREATEST(mean, 0), 4) AS forecast_revenue, ROUND(GREATEST(mean - width, 0), 4) AS lower_revenue,
+                 ROUND(GREATEST(mean + width, 0), 4) AS upper_revenue, 'ok' AS status
+          FROM ahead)""",
+)
 _SCOPED = f"FROM ma_forecast WHERE product_category = '{TARGET_CATEGORY}' AND customer_state"
 oracle(
     "scope_forecast",

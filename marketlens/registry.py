@@ -358,6 +358,28 @@ def forecast_sarima(spark, sf_dir):
     return _bounds_hold(forecast.forecast(_series(spark, sf_dir), "sarimax"))
 
 
+@query
+def forecast_ets_values(spark, sf_dir):
+    return forecast.forecast(_series(spark, sf_dir), "ets")
+
+
+@query
+def forecast_sarima_values(spark, sf_dir):
+    return forecast.forecast(_series(spark, sf_dir), "sarimax")
+
+
+@query
+def forecast_ets_scope(spark, sf_dir):
+    """Smoothing forecast of the largest category over all states, in the digits that its SQL fold shows."""
+    series = forecast.daily_series(forecast.select_scope(_daily(spark, sf_dir), binding.TARGET_CATEGORY))
+    return _rounded(forecast.forecast(series, "ets"), "forecast_revenue", "lower_revenue", "upper_revenue", digits=4)
+
+
+@query
+def arima_orthogonality(spark, sf_dir):
+    return forecast.arima_orthogonality(_series(spark, sf_dir))
+
+
 @query
 def scope_forecast(spark, sf_dir):
     """One state, all states, and the table without states that is used where the other is absent."""
@@ -516,6 +538,27 @@ def best_prospects(spark, sf_dir):
 # --- models --------------------------------------------------------------------------------------
 
 
+@query
+def propensity_model_predictions(spark, sf_dir):
+    """Fitted score, percentile and band of every customer."""
+    return propensity.predictions(propensity.fit_scores(_repeat(spark, sf_dir))[0])
+
+
+@query
+def propensity_metric_values(spark, sf_dir):
+    return propensity.model_metrics(propensity.fit_scores(_repeat(spark, sf_dir))[0])
+
+
+@query
+def feature_coefficients(spark, sf_dir):
+    return propensity.fit_scores(_repeat(spark, sf_dir))[1]
+
+
+@query
+def top_driver_names(spark, sf_dir):
+    return propensity.top_drivers(propensity.fit_scores(_repeat(spark, sf_dir))[1])
+
+
 @query
 def propensity_model_scores(spark, sf_dir):
     """Who is scored and on which side of the split; scores are probabilities and bands follow their percentiles."""
@@ -574,6 +617,16 @@ def _clustered(spark: SparkSession, sf_dir: str) -> DataFrame:
     return materialize(segments.cluster_customers(materialize(customer_features(spark, sf_dir))))
 
 
+@query
+def segment_assignments(spark, sf_dir):
+    return segments.segment_customers(_clustered(spark, sf_dir))[0]
+
+
+@query
+def segment_profiles(spark, sf_dir):
+    return segments.segment_customers(_clustered(spark, sf_dir))[1]
+
+
 @query
 def segment_customers(spark, sf_dir):
     """Each customer with a segment, and whether no other segment's centre is nearer on the scaled features."""

@@ -41,3 +41,14 @@ def test_learner_queries_use_the_production_rounds(spark, fits):
     held = [r for r in rows.collect() if r["split"] == "test"]
     assert held and all(r["selected_segment"] == (r["tau_hat"] >= r["cate_cutoff"]) for r in held)
     assert all(r["m_hat"] is not None and r["aipw_score"] is not None for r in held)
+
+
+def test_model_outputs_are_returned(spark):
+    columns = {
+        "forecast_ets_values": "forecast_revenue", "forecast_sarima_values": "forecast_revenue", "propensity_model_predictions": "repeat_probability",
+        "propensity_metric_values": "roc_auc", "feature_coefficients": "coefficient", "top_driver_names": "feature_display",
+        "segment_assignments": "segment_name", "segment_profiles": "total_revenue",
+    }
+    for name, column in columns.items():
+        row = QUERIES[name](spark, SF_DIR).where(f"{column} is not null").first()
+        assert row is not None, name
