@@ -15,7 +15,8 @@ equal suffixes stand together in corpus order, which is all that is asked of the
 
 Repeats inside one Arrow batch are settled before the shuffle and travel as merged spans, so a passage
 that many documents share sends about one row per batch. Rows follow the input; no document group or
-dictionary is held by one task.
+dictionary is held by one task. Texts are told apart by a 64-bit number of their own, so many texts of one id
+(or without id) are as many documents; only rows equal in id and text share a number.
 
 Defined results: null text is empty; strings of LENGTH bytes never cross documents; rows without doc_id
 count as the smallest id; rows that repeat a doc_id with other text are ordered by a hash of it; rows equal
@@ -30,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -42,9 +43,9 @@ _FLAGS = "d long, place long, size int, kind int"
 _ENTRIES = "core int, phrase long, d long, place long, size int"
 
 
-def pack(variant: np.ndarray, start: np.ndarray, back: np.ndarray, count: np.ndarray) -> np.ndarray:
-    """One sortable number: text variant of the id, first string start, trigger's distance from it, strings."""
-    return variant.astype(np.int64) << 46 | start.astype(np.int64) << 14 | back.astype(np.int64) << 7 | (count.astype(np.int64) - 1)
+def pack(start: np.ndarray, back: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """One sortable number: first string start, trigger's distance from it, strings."""
+    return start.astype(np.int64) << 14 | back.astype(np.int64) << 7 | (count.astype(np.int64) - 1)
 
 
 def unpack(place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -80,18 +81,18 @@ def entries(core: np.ndarray, phrase: np.ndarray, d: np.ndarray, place: np.ndarr
 
 
 def merged(d: np.ndarray, spot: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Overlapping or touching spans made one; spot holds the text variant above the start."""
+    """Overlapping or touching spans made one."""
     order = np.lexsort((spot, d))
     d, spot, stop = d[order], spot[order], (spot + size)[order]
     out = ([], [], [])
     if len(d):
-        text = np.flatnonzero(np.concatenate(([True], (d[1:] != d[:-1]) | (spot[1:] >> 32 != spot[:-1] >> 32))))
+        text = np.flatnonzero(np.concatenate(([True], d[1:] != d[:-1])))
         # Reach within a text: later texts start above, as their rank is put in front.
         rank = np.repeat(np.arange(len(text)), np.diff(np.append(text, len(d)))) << 33
-        start, reach = rank + (spot & 0xFFFFFFFF), np.maximum.accumulate(rank + (stop & 0xFFFFFFFF))
+        start, reach = rank + spot, np.maximum.accumulate(rank + stop)
         head = np.flatnonzero(np.concatenate(([True], start[1:] > reach[:-1])))
         last = np.append(head[1:], len(d)) - 1
-        out = (d[head], spot[head], (reach[last] - rank[last]) - (spot[head] & 0xFFFFFFFF))
+        out = (d[head], spot[head], (reach[last] - rank[last]) - spot[head])
     return tuple(np.asarray(x, np.int64) for x in out)
 
 
@@ -127,8 +128,8 @@ def parse(base: DataFrame) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            ids, variants = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            data, offsets = utf8(batch.column(1))
+            ids = batch.column(0).to_numpy()
             found: list[tuple[np.ndarray, ...]] = []
             for a, b in chunks(offsets):
                 text, at = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
@@ -146,12 +147,12 @@ def parse(base: DataFrame) -> DataFrame:
                 inside = np.flatnonzero(of[: len(of) - width + 1] == of[width - 1 :])
                 which, first, last = own_strings(sliding(grams, width, np.minimum)[inside], where[inside], where[minima], grams[minima])
                 trigger, core, doc = where[minima][which], grams[minima][which], of[minima][which]
-                place = pack(variants[a + doc], first - at[doc], trigger - first, last - first + 1)
+                place = pack(first - at[doc], trigger - first, last - first + 1)
                 found.append((core >> np.uint64(32), slice_hash(prefix, first, last + LENGTH), ids[a + doc], place))
             if found:
                 yield entries(*map(np.concatenate, zip(*found, strict=True)))
 
-    return base.select("d", "variant", "text").mapInArrow(run, _ENTRIES)
+    return base.select("d", "text").mapInArrow(run, _ENTRIES)
 
 
 def sorted_runs(found: DataFrame) -> DataFrame:
@@ -201,32 +202,28 @@ def sorted_runs(found: DataFrame) -> DataFrame:
     return store(found.repartition(parts, "core").sortWithinPartitions("core", "phrase", "d", "place").mapInArrow(run, _FLAGS), "runs")
 
 
-def joined(base: DataFrame, flags: DataFrame, columns: list[str], how: str) -> DataFrame:
-    """Documents with the places flagged in them, an array per doc_id.
+def joined(base: DataFrame, keys: DataFrame, flags: DataFrame, columns: list[str], how: str) -> DataFrame:
+    """Documents with the places flagged in them, an array per text.
 
-    The join has the bucket column as its only key, so documents stay where they are; places of another
-    text of the same doc_id are told apart by their variant.
+    Places are dealt to the texts' bucket columns, so documents stay where they are.
     """
     places = flags.groupBy("d").agg(F.collect_list("place").alias("places"), F.collect_list("size").alias("sizes"))
-    return base.select("d", "variant", *columns).join(places, "d", how)
+    return base.select("id", "xx", "d", *columns).join(places.join(keys, "d").drop("d"), ["id", "xx"], how).drop("id", "xx")
 
 
-def own_places(places: pa.Array, variants: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(flagged places of each row's own text, one row after the other; their number in each row)."""
-    sizes = places.value_lengths().to_numpy(zero_copy_only=False)
-    flat, row = places.flatten().to_numpy(), np.repeat(np.arange(len(sizes)), sizes)
-    own = flat >> 46 == variants[row]
-    return flat[own], np.bincount(row[own], minlength=len(sizes))
+def flat_places(places: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(flagged places, one row after the other; their number in each row)."""
+    return places.flatten().to_numpy(), places.value_lengths().to_numpy(zero_copy_only=False)
 
 
-def blocks(base: DataFrame, flags: DataFrame) -> DataFrame:
+def blocks(base: DataFrame, keys: DataFrame, flags: DataFrame) -> DataFrame:
     """The strings of flagged phrases as entries of their own, BLOCK neighbours at a time."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            ids, variants, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            flat, sizes = own_places(places, variants)
+            data, offsets = utf8(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            flat, sizes = flat_places(batch.column(2))
             ends = np.concatenate(([0], np.cumsum(sizes)))
             found: list[tuple[np.ndarray, ...]] = []
             for a, b in chunks(offsets):
@@ -243,22 +240,22 @@ def blocks(base: DataFrame, flags: DataFrame) -> DataFrame:
                 begin = np.maximum(far - BLOCK + 1, first[each])
                 end = np.minimum(far, first[each] + count[each] - 1)
                 core = slice_hash(prefix, far, far - BLOCK + 1 + LENGTH)
-                place = pack(variants[a + doc[each]], begin - at[doc[each]], np.zeros(len(each), np.int64), end - begin + 1)
+                place = pack(begin - at[doc[each]], np.zeros(len(each), np.int64), end - begin + 1)
                 found.append((core >> np.uint64(32), slice_hash(prefix, begin, end + LENGTH), ids[a + doc[each]], place))
             if found:
                 yield entries(*map(np.concatenate, zip(*found, strict=True)))
 
-    return joined(base, flags, ["text"], "inner").select("d", "variant", "text", "places").mapInArrow(run, _ENTRIES)
+    return joined(base, keys, flags, ["text"], "inner").select("d", "text", "places").mapInArrow(run, _ENTRIES)
 
 
-def single_starts(base: DataFrame, flags: DataFrame) -> DataFrame:
+def single_starts(base: DataFrame, keys: DataFrame, flags: DataFrame) -> DataFrame:
     """Each string of flagged blocks as an entry: its own bytes are core and phrase at once."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            data, offsets = utf8(batch.column(2))
-            ids, variants, places = batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(3)
-            flat, sizes = own_places(places, variants)
+            data, offsets = utf8(batch.column(1))
+            ids = batch.column(0).to_numpy()
+            flat, sizes = flat_places(batch.column(2))
             ends = np.concatenate(([0], np.cumsum(sizes)))
             found: list[tuple[np.ndarray, ...]] = []
             for a, b in chunks(offsets):
@@ -272,11 +269,11 @@ def single_starts(base: DataFrame, flags: DataFrame) -> DataFrame:
                 doc = np.searchsorted(at, begin, "right") - 1
                 zero = np.zeros(len(begin), np.int64)
                 hashes = slice_hash(prefix, begin, begin + LENGTH)
-                found.append((hashes >> np.uint64(32), hashes, ids[a + doc], pack(variants[a + doc], begin - at[doc], zero, zero + 1)))
+                found.append((hashes >> np.uint64(32), hashes, ids[a + doc], pack(begin - at[doc], zero, zero + 1)))
             if found:
                 yield entries(*map(np.concatenate, zip(*found, strict=True)))
 
-    return joined(base, flags, ["text"], "inner").select("d", "variant", "text", "places").mapInArrow(run, _ENTRIES)
+    return joined(base, keys, flags, ["text"], "inner").select("d", "text", "places").mapInArrow(run, _ENTRIES)
 
 
 def removed_spans(places: np.ndarray, sizes: np.ndarray) -> list[tuple[int, int]]:
@@ -305,20 +302,23 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
     """
     spark = docs.sparkSession
     names = docs.columns if keep_text else ["doc_id", "text"]
-    ids = Window.partitionBy("d").orderBy("xx")
     # The caller's columns go under names of their own, so none can clash.
     inner = {n: "text" if n == "text" else f"column_{i}" for i, n in enumerate(names)}
-    base = docs.select(*[F.col(n).alias(c) for n, c in inner.items()], F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("d"), F.xxhash64("text").alias("xx"))
-    base = base.withColumn("variant", (F.dense_rank().over(ids) - 1).cast("long")).drop("xx")
+    text_keys = [F.coalesce(F.col("doc_id").cast("long"), F.lit(_NO_ID)).alias("id"), F.xxhash64("text").alias("xx")]
+    # Each text of an id has a number of its own, in corpus order: a range sort of ids and hashes, no text is moved.
+    # Numbers are unique and ordered, not dense: partition above, row below.
+    keys = docs.select(*text_keys).distinct().orderBy("id", "xx").withColumn("d", F.monotonically_increasing_id())
+    keys = store(keys, "text-numbers")
     # A bucketed table: the three joins with flagged places deal out only the places.
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    base = docs.select(*[F.col(n).alias(c) for n, c in inner.items()], *text_keys).repartition(parts, "id", "xx").join(keys, ["id", "xx"])
     table = f"suffix_dedup_{uuid.uuid4().hex}"
-    base.write.bucketBy(parts, "d").sortBy("d").format("parquet").option("compression", "zstd").option("path", new_folder(spark, "bucketed")).saveAsTable(table)
+    base.write.bucketBy(parts, "id", "xx").sortBy("id", "xx").format("parquet").option("compression", "zstd").option("path", new_folder(spark, "bucketed")).saveAsTable(table)
     base = spark.table(table)
 
     runs = sorted_runs(parse(base))
-    block_runs = sorted_runs(blocks(base, runs.where("kind = 2")))
-    string_runs = sorted_runs(single_starts(base, block_runs.where("kind = 2")))
+    block_runs = sorted_runs(blocks(base, keys, runs.where("kind = 2")))
+    string_runs = sorted_runs(single_starts(base, keys, block_runs.where("kind = 2")))
     flags = runs.union(block_runs).union(string_runs).where("kind = 1")
 
     if keep_text:
@@ -330,15 +330,13 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
         for batch in batches:
             texts, places, sizes = batch.column("text"), batch.column("places"), batch.column("sizes")
             data, offsets = utf8(texts)
-            valid, variants = texts.is_valid().to_pylist(), batch.column("variant").to_pylist()
+            valid = texts.is_valid().to_pylist()
             out, rows = [], []
             for i, (flagged, size) in enumerate(zip(places, sizes, strict=True)):
                 text = data[offsets[i] : offsets[i + 1]]
                 spans = []
                 if flagged.is_valid:
-                    spot = flagged.values.to_numpy()
-                    own = spot >> 46 == variants[i]
-                    spans = removed_spans(spot[own], size.values.to_numpy()[own])
+                    spans = removed_spans(flagged.values.to_numpy(), size.values.to_numpy())
                 if keep_text:
                     spans = whole_characters(text, spans)
                 edges = [0, *(x for s in spans for x in s), len(text)]
@@ -354,4 +352,4 @@ def remove_repeats(docs: DataFrame, keep_text: bool = False) -> DataFrame:
                 sums = [pa.array([r[k] for r in rows], pa.int64()) for k in range(3)]
                 yield pa.RecordBatch.from_arrays([batch.column(inner["doc_id"]).cast(pa.int64()), *sums, pa.array([r[3] for r in rows], pa.string())], names=schema.names)
 
-    return joined(base, flags, list(inner.values()), "left").drop("d").mapInArrow(run, schema)
+    return joined(base, keys, flags, list(inner.values()), "left").drop("d").mapInArrow(run, schema)

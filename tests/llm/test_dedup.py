@@ -109,6 +109,13 @@ def test_cut_texts_keep_columns_and_whole_characters(spark):
     assert suffix_dedup.remove_repeats(spark.createDataFrame([], SCHEMA)).count() == 0
 
 
+def test_many_texts_without_id_are_documents_of_their_own(spark):
+    n, passage = 140_000, "".join(f"{i:03d}" for i in range(34))
+    docs = spark.range(n).selectExpr("cast(null as long) as doc_id", f"concat(id, ' {passage}') as text")
+    found = suffix_dedup.remove_repeats(docs).selectExpr("count(*) as n", "count_if(n_removed < 102) as whole", "sum(n_bytes) as size").first()
+    assert (found.n, found.whole, found.size) == (n, 1, sum(len(str(i)) for i in range(n)) + 103 * n)
+
+
 def brute_text(text):
     """The text of a first document: bytes repeated inside it go, whole characters only."""
     data, seen = text.encode(), set()
