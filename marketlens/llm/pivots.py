@@ -1,8 +1,9 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-A vector is described by its NEAREST reference points in order of closeness; vectors at a small angle see
-nearly the same ones. The inverted lists are kept per pair of reference points, so members of one list
-share two at least. Lists are verified in blocks of at most about BLOCK vectors against BLOCK: a task
+A vector is described by its NEAREST reference points as a set: their order of closeness is not kept, which
+departs from a permutation index. Vectors at a small angle see nearly the same ones. The inverted lists are
+kept per unordered pair of reference points, which replaces counting shared ones: members of one list share
+two at least. Lists are verified in blocks of at most about BLOCK vectors against BLOCK: a task
 multiplies two blocks, counts links and passes on counts and a spanning forest, never the pairs. A pair
 that meets in several lists counts in the first one only.
 
