@@ -28,6 +28,9 @@ from marketlens.llm.pieces import BatchEncoder, byte_level_encoder
 #: Bytes of a row group and of a page; the Parquet settings of the token files.
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 32 << 20, 64 << 10, 1 << 20
 
+#: Leading characters by which ranges split the rows of one doc_id; more would only swell the samples of the ranges.
+RANGE_CHARACTERS = 64
+
 
 @dataclass(frozen=True)
 class TokenFiles:
@@ -62,7 +65,7 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None) ->
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = docs.selectExpr("cast(doc_id as long) as doc_id", "text").repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id", "text")
+    ordered = docs.selectExpr("cast(doc_id as long) as doc_id", "text").repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, RANGE_CHARACTERS)).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, shard, done = encoder(path), TaskContext.get().partitionId(), 0

@@ -101,3 +101,8 @@ def test_empty_tables(spark):
     none = spark.createDataFrame([], SCHEMA)
     assert token_files.write(none, BYTE, 2).read(spark).count() == 0
     assert bpe.encode_decode(none, WORD).count() == 0
+
+
+def test_rows_without_id_go_to_many_shards(spark):
+    docs = spark.range(400).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text")
+    assert token_files.write(docs, BYTE, 2).metadata(spark).select("shard").distinct().count() > 2
