@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from marketlens.functions import scalars
 from marketlens.operators import prep, scoring
 from marketlens.operators.quantiles import with_row
+from marketlens.operators.ranking import running_totals
 from marketlens.plans import (
     dashboard,
     experiment,
@@ -577,9 +578,8 @@ def propensity_model_metrics(spark, sf_dir):
     scored = propensity.fit_scores(_repeat(spark, sf_dir))[0]
     test = scored.filter("is_train = 0").select(F.col("repeat_probability").alias("p"), F.col("repeat_purchase_label").alias("y"))
     counts = test.groupBy("p").agg(F.sum("y").alias("pos"), F.sum(1 - F.col("y")).alias("neg"))
-    pairs = counts.select(F.col("p").alias("q"), F.col("neg").alias("below"))
-    won = counts.filter("pos > 0").join(pairs.filter("below > 0"), F.col("p") >= F.col("q"))
-    auc = won.agg(F.sum(F.col("pos") * F.col("below") * F.when(F.col("p") > F.col("q"), 1.0).otherwise(0.5)).alias("won"))
+    # A positive wins against the negatives below it and ties with those at its score.
+    auc = running_totals(counts, ["p"], ["neg"]).agg(F.sum(F.col("pos") * (F.col("cum_neg") - 0.5 * F.col("neg"))).alias("won"))
     again = test.agg(
         F.avg(((F.col("p") >= 0.5) == (F.col("y") == 1)).cast("int")).alias("hit"), F.sum("y").alias("ones"), F.sum(1 - F.col("y")).alias("zeros")
     ).crossJoin(auc)

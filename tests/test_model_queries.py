@@ -52,3 +52,8 @@ def test_model_outputs_are_returned(spark):
     for name, column in columns.items():
         row = QUERIES[name](spark, SF_DIR).where(f"{column} is not null").first()
         assert row is not None, name
+
+
+def test_metric_check_compares_no_pairs(spark):
+    plan = QUERIES["propensity_model_metrics"](spark, SF_DIR)._jdf.queryExecution().optimizedPlan().toString()
+    assert ">= q#" not in plan
