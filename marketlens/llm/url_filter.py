@@ -25,8 +25,6 @@ from marketlens.llm.common import store
 #: The trees are fitted on at most so many labelled URLs, those of the least hashes; every URL is judged.
 FIT_ROWS = 8_000
 TREES, DEPTH = 12, 4
-#: Suffixes with statistics of their own: the most frequent among labelled URLs; others take the overall share.
-SUFFIXES = 2_000
 
 
 @dataclass(frozen=True)
@@ -104,15 +102,14 @@ def judge(pages: DataFrame, rules: list[Rule], url: str = "url") -> DataFrame:
     ruled = with_rules(pages, rules, url)
     labelled = ruled.where("ruled is not null").select(url, "host", "path", (F.col("ruled") == "block").cast("double").alias("label"))
     per_suffix = labelled.groupBy(F.regexp_extract("host", r"([^.]*)\.?$", 1).alias("suffix")).agg(F.count("*").alias("n"), F.sum("label").alias("blocked"))
-    known = store(per_suffix.orderBy(F.desc("n"), "suffix").limit(SUFFIXES), "suffixes")
+    known = store(per_suffix, "suffixes")
     sample = store(labelled.orderBy(F.xxhash64(url, F.lit(17)), url).limit(FIT_ROWS), "labelled-urls")
     total = known.agg(F.sum("n").alias("n"), F.sum("blocked").alias("blocked")).first()
     out = pages.columns
     if not total.n or total.blocked in (0, total.n):
         return ruled.select(*out, "host", "path", "rule", F.coalesce("ruled", F.lit("allow")).alias("verdict"), F.lit(None).cast("double").alias("score"))
     overall = total.blocked / total.n
-    # At most SUFFIXES rows: a bounded broadcast.
-    shares = F.broadcast(known.select("suffix", ((F.col("blocked") + 20 * overall) / (F.col("n") + 20)).alias("f_suffix_share"), F.log1p("n").alias("f_suffix_seen")))
+    shares = known.select("suffix", ((F.col("blocked") + 20 * overall) / (F.col("n") + 20)).alias("f_suffix_share"), F.log1p("n").alias("f_suffix_seen"))
 
     def prepared(rows: DataFrame) -> DataFrame:
         return features(rows, url).join(shares, "suffix", "left").fillna({"f_suffix_share": overall, "f_suffix_seen": 0.0})

@@ -219,3 +219,10 @@ def test_pipeline_drops_what_the_operators_find(spark):
     assert out.doc_id.is_unique and 0 < len(out) < 200
     good = pd.merge(labels[labels.quality == 1], judged, on="doc_id")
     assert (good.predicted == 1).mean() > 0.95
+
+
+def test_a_rare_suffix_counts_among_the_labels(spark):
+    rules = [url_filter.Rule("allow", "", "/"), url_filter.Rule("block", "rare.zz", "/")]
+    urls = [(f"http://a.s{i}./{j}",) for i in range(2001) for j in range(2)] + [("http://rare.zz/",), ("http://open.zz/",)]
+    judged = url_filter.judge(spark.createDataFrame(urls, "url string"), rules)
+    assert judged.where("score is null").count() == 0 and judged.count() == len(urls)
