@@ -76,7 +76,7 @@ def mix(x: np.ndarray) -> np.ndarray:
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-_POWERS = {"n": 0}
+_POWERS = {"n": -1}
 #: One odd 64-bit value per byte, so that a polynomial over them does not see the byte order of the alphabet.
 BYTE_CODES = mix(np.arange(1, 257, dtype=np.uint64)) | np.uint64(1)
 

@@ -116,7 +116,9 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
 
     candidates = found.select("doc_id", "digest", F.explode("marks").alias("m")).select("doc_id", "digest", "m.*").join(marks, ["length", "mark"], "left_semi")
     words = F.split("context", " ")
-    every = F.transform(F.sequence(F.lit(0), F.size(words) - F.col("length")), lambda j: F.struct((F.col("first") + j).alias("start"), F.array_join(F.slice(words, j + 1, F.col("length")), " ").alias("window")))
+    # A document of fewer words than a window holds none, though it may share a gram with it: no place, no row.
+    places = F.when(F.size(words) >= F.col("length"), F.sequence(F.lit(0), F.size(words) - F.col("length")))
+    every = F.transform(places, lambda j: F.struct((F.col("first") + j).alias("start"), F.array_join(F.slice(words, j + 1, F.col("length")), " ").alias("window")))
     extended = candidates.select("doc_id", "digest", "length", F.explode(every).alias("w")).select("doc_id", "digest", "length", "w.start", "w.window")
     matched = extended.join(windows.select("length", "window", "set"), ["length", "window"])
     span = F.struct(F.col("start"), (F.col("start") + F.col("length")).alias("stop"))

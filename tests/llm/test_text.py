@@ -7,6 +7,7 @@ import hashlib
 import io
 import random
 
+import duckdb
 import numpy as np
 import pandas as pd
 import pytest
@@ -99,6 +100,17 @@ def test_short_items_of_every_length(spark):
     assert got == {n: (n, n if n < 13 else 14) for n in range(15)}
 
 
+@pytest.mark.parametrize("size", [9, 12, 13, 14, 20])
+def test_documents_shorter_than_a_window(spark, size):
+    words = [f"k{i}" for i in range(20)]
+    docs = spark.createDataFrame([(n, " ".join(words[:n])) for n in range(1, 14)], "doc_id long, text string")
+    items = spark.createDataFrame([(1, " ".join(words[:size]))], "item_id long, text string")
+    db = duckdb.connect()
+    db.register("documents", docs.toPandas())
+    db.register("benchmark", items.toPandas())
+    assert differences(decontaminate.contamination(docs, items).drop("digest"), db, decontaminate.ORACLE) == []
+
+
 def test_archives_round_trip(spark, tmp_path):
     html = ["<p>é</p>", None, "", "<p>é</p>", "x" * 200_000, "<p>é</p>", "y", "y"]
     ids = [5, 6, 7, 3, 9, 4, None, 2**60 + 1]
