@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from marketlens.llm import bpe, chat_tree, decontaminate, gnat, minhash, pivots, quality, resample, suffix_dedup, token_files, url_filter, warc
+from marketlens.llm import bpe, chat_tree, decontaminate, gnat, minhash, pivots, quality, resample, secret_scan, suffix_dedup, token_files, url_filter, warc
 from marketlens.llm.common import read_table
 
 URL_RULES = [
@@ -64,6 +64,10 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.digests(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.digests(secret_scan.find(read_table(spark, sf_dir, "documents")))
+
+
 def op12_resample(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resample.resample(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
@@ -74,6 +78,6 @@ def op13_gnat(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_pivots, op2_quality, op3_warc, op4_decontaminate, op5_url_filter, op6_token_files, op7_minhash, op8_suffix, op9_chat_tree, op10_bpe, op12_resample, op13_gnat)
+    f.__name__: f for f in (op1_pivots, op2_quality, op3_warc, op4_decontaminate, op5_url_filter, op6_token_files, op7_minhash, op8_suffix, op9_chat_tree, op10_bpe, op11_secrets, op12_resample, op13_gnat)
 }
 ORACLES: dict[str, str] = {"op4_decontaminate": decontaminate.ORACLE, "op12_resample": resample.ORACLE, "op13_gnat": gnat.ORACLE}
