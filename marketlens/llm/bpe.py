@@ -5,7 +5,7 @@ apart. Distinct words of a batch are proposed and tested together in numpy; only
 pair are merged one by one. The end-of-word mark is a symbol of its own that belongs to the last byte.
 
 Defined results: null text is an empty text with no ids; an empty text decodes to an empty text; rows
-with equal ids are encoded row by row; other columns pass through untouched.
+with equal ids are encoded row by row; other columns pass through untouched, and columns named as a result are refused.
 """
 
 from __future__ import annotations
@@ -14,6 +14,7 @@ import hashlib
 import json
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -164,6 +165,12 @@ class Merger:
         return [p if fine else self.merge(self.start(w)) for p, fine, w in zip(proposed, ok, raw, strict=True)]
 
 
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all words in order, number of ids of each)."""
+        found = self.encode_words(words)
+        return np.fromiter(chain.from_iterable(found), np.int32), np.fromiter(map(len, found), np.int64, len(found))
+
+
 class Codec:
     """Encoder and decoder of one tokenizer file of the word kind."""
 
@@ -171,7 +178,7 @@ class Codec:
         tokenizer = Tokenizer.from_file(path)
         special = special_tokens(path)
         self.merger = Merger(path)
-        self.encode = BatchEncoder(self.merger.encode_words, special, False, LowerNfc(tokenizer))
+        self.encode = BatchEncoder(self.merger.encode_flat, special, False, LowerNfc(tokenizer))
         with open(path, encoding="utf-8") as f:
             vocab = json.load(f)["model"]["vocab"] | special
         names = [""] * (max(vocab.values()) + 1)
@@ -192,7 +199,9 @@ def codec(path: str) -> Codec:
 
 def encode_decode(docs: DataFrame, path: str, text: str = "text") -> DataFrame:
     """Every row with ids (array<int>) and decoded (string) instead of its text; a narrow step without a shuffle."""
-    kept = [f for f in docs.schema.fields if f.name not in (text, "ids", "decoded")]
+    if {"ids", "decoded"} & set(docs.columns) - {text}:
+        raise ValueError("docs has columns with names of this operator's results")
+    kept = [f for f in docs.schema.fields if f.name != text]
     schema = T.StructType([*kept, T.StructField("ids", T.ArrayType(T.IntegerType())), T.StructField("decoded", T.StringType())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -109,7 +109,10 @@ def pieces(texts: list[str], classes: Classes, spaced: bool) -> tuple[pa.StringA
 
 
 class WordIds:
-    """Ids of pieces, remembered in flat arrays; past `limit` pieces only those of the chunk at hand are kept."""
+    """Ids of pieces, remembered in one buffer; past `limit` pieces only those of the chunk at hand are kept.
+
+    encode: pieces -> (ids of all of them in order, number of ids of each).
+    """
 
     def __init__(self, encode, limit: int = 800_000) -> None:
         self._encode, self._limit = encode, limit
@@ -117,13 +120,27 @@ class WordIds:
 
     def _clear(self) -> None:
         self._place: dict[str, int] = {}
-        self._flat, self._size, self._start = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
-
-    def _add(self, words: list[str], found: list[np.ndarray]) -> None:
-        self._place.update(zip(words, range(len(self._place), len(self._place) + len(words)), strict=True))
-        self._flat = np.concatenate([self._flat, *(np.asarray(f, np.int32) for f in found)])
-        self._size = np.concatenate([self._size, np.fromiter(map(len, found), np.int64, len(found))])
-        self._start = np.cumsum(self._size) - self._size
+        self._flat, self._size, self._start = np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int32), np.zeros(1 << 12, np.int64)
+        self._used = 0
+
+    @staticmethod
+    def _room(buffer: np.ndarray, used: int, more: int) -> np.ndarray:
+        """The buffer, at least doubled where `more` elements do not fit behind `used` ones."""
+        if used + more <= len(buffer):
+            return buffer
+        grown = np.zeros(max(2 * len(buffer), used + more), buffer.dtype)
+        grown[:used] = buffer[:used]
+        return grown
+
+    def _add(self, words: list[str], flat: np.ndarray, sizes: np.ndarray) -> None:
+        known, used = len(self._place), self._used
+        self._flat = self._room(self._flat, used, len(flat))
+        self._size, self._start = (self._room(b, known, len(words)) for b in (self._size, self._start))
+        self._flat[used : used + len(flat)] = flat
+        self._size[known : known + len(words)] = sizes
+        self._start[known : known + len(words)] = used + np.cumsum(sizes) - sizes
+        self._place.update(zip(words, range(known, known + len(words)), strict=True))
+        self._used += len(flat)
 
     def ids(self, array: pa.StringArray, blank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all pieces in order, number of ids of each piece)."""
@@ -133,14 +150,19 @@ class WordIds:
         words = coded.dictionary.to_pylist()
         if len(self._place) + len(words) > self._limit:
             kept = [w for w in words if w in self._place]
-            found = [self._flat[self._start[i] : self._start[i] + self._size[i]] for i in map(self._place.__getitem__, kept)]
+            at = np.fromiter(map(self._place.__getitem__, kept), np.int64, len(kept))
+            start, sizes, flat = self._start[at], self._size[at], self._flat
             self._clear()
-            self._add(kept, found)
-        new = [w for w in words if w not in self._place]
+            self._add(kept, flat[ragged(start, sizes.astype(np.int64))], sizes)
+        at = list(map(self._place.get, words))
+        new = [i for i, place in enumerate(at) if place is None]
         if new:
-            self._add(new, self._encode(new))
-        place = np.fromiter(map(self._place.__getitem__, words), np.int64, len(words))[coded.indices.to_numpy(zero_copy_only=False)]
-        lengths = np.where(blank, 0, self._size[place])
+            first = len(self._place)
+            self._add(fresh := [words[i] for i in new], *self._encode(fresh))
+            for place, i in enumerate(new, first):
+                at[i] = place
+        place = np.array(at, np.int64)[coded.indices.to_numpy(zero_copy_only=False)]
+        lengths = np.where(blank, 0, self._size[place]).astype(np.int64)
         return self._flat[ragged(self._start[place], lengths)].astype(np.int64), lengths
 
 
@@ -205,10 +227,9 @@ def byte_level_encoder(path: str) -> BatchEncoder:
     tokenizer.no_truncation()
     tokenizer.no_padding()
 
-    def encode(words: list[str]) -> list[np.ndarray]:
+    def encode(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         found = tokenizer.encode(words, is_pretokenized=True, add_special_tokens=False)
-        sizes = np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(words))
-        return np.split(np.asarray(found.ids, np.int64), np.cumsum(sizes)[:-1])
+        return np.asarray(found.ids, np.int32), np.bincount(np.asarray(found.word_ids, np.int64), minlength=len(words))
 
     return BatchEncoder(encode, special_tokens(path), True)
 

@@ -3,14 +3,15 @@
 A file holds one row per document: doc_id, shard, local_start, n_tokens and the list of ids. Spark's own
 Parquet writer is told to keep the dictionary (ids fit one), small pages for the page index and bounded
 row groups, so a reader of one document or of the metadata columns skips the rest. One manifest row per
-shard turns shard-local starts into global ones; its size is the number of shuffle partitions.
+shard turns shard-local starts into global ones. The number of shards follows from the bytes of the texts.
 
 Defined results: null text is empty and holds only the end id; rows with the same doc_id are ordered by
-text; null doc_ids come first; other columns are not written.
+text; null doc_ids come first; a text of any length is one row; other columns are not written.
 """
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,6 +29,9 @@ from marketlens.llm.pieces import BatchEncoder, byte_level_encoder
 #: Bytes of a row group and of a page; the Parquet settings of the token files.
 ROW_GROUP_BYTES, PAGE_BYTES, DICTIONARY_BYTES = 32 << 20, 64 << 10, 1 << 20
 
+#: Text bytes of a shard: at least so many, and more for large tables, so that there are at most about sqrt(bytes) / SHARD_ROOT shards.
+LEAST_SHARD_BYTES, SHARD_ROOT = 16 << 20, 32
+
 #: Leading characters by which ranges split the rows of one doc_id; more would only swell the samples of the ranges.
 RANGE_CHARACTERS = 64
 
@@ -64,7 +68,8 @@ def write(docs: DataFrame, path: str, end_id: int, folder: str | None = None) ->
     """Encode `text`, end each document with end_id, write in ascending doc_id order."""
     spark = docs.sparkSession
     folder = folder or new_folder(spark, "tokens")
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    parts = max(1, math.ceil(size / max(LEAST_SHARD_BYTES, SHARD_ROOT * math.isqrt(size))))
     ordered = docs.selectExpr("cast(doc_id as long) as doc_id", "text").repartitionByRange(parts, F.col("doc_id"), F.substring("text", 1, RANGE_CHARACTERS)).sortWithinPartitions("doc_id", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -14,7 +14,8 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
-from marketlens.llm import bpe, token_files
+from marketlens.llm import bpe, queries, token_files
+from marketlens.llm.common import read_table
 from marketlens.llm.pieces import byte_level_encoder, split_special
 from tests.llm.helpers import SCHEMA, documents, frame
 
@@ -103,6 +104,35 @@ def test_empty_tables(spark):
     assert bpe.encode_decode(none, WORD).count() == 0
 
 
-def test_rows_without_id_go_to_many_shards(spark):
+def test_rows_without_id_go_to_many_shards(spark, monkeypatch):
+    monkeypatch.setattr(token_files, "LEAST_SHARD_BYTES", 200)
+    monkeypatch.setattr(token_files, "SHARD_ROOT", 1)
     docs = spark.range(400).selectExpr("cast(null as long) as doc_id", "concat('text ', id) as text")
     assert token_files.write(docs, BYTE, 2).metadata(spark).select("shard").distinct().count() > 2
+
+
+def test_pieces_beyond_the_limit_are_forgotten_without_a_trace():
+    rng = random.Random(8)
+    encode = byte_level_encoder(BYTE)
+    encode.words._limit = 300
+    library = Tokenizer.from_file(BYTE)
+    for _ in range(40):
+        texts = ["".join(rng.choice(LETTERS) for _ in range(60)) for _ in range(20)]
+        assert split(*encode(texts)) == [e.ids for e in library.encode_batch(texts, add_special_tokens=False)]
+
+
+def test_token_file_query(spark):
+    sf = "/root/testdata/sf0.001"
+    rows = sorted(read_table(spark, sf, "documents").collect(), key=lambda r: r.doc_id)
+    got = {r.doc_id: (r.start, r.n_tokens, r.ids_crc32) for r in queries.op6_token_files(spark, sf).collect()}
+    library, start = Tokenizer.from_file(BYTE), 0
+    for r in rows:
+        ids = [*library.encode(r.text or "", add_special_tokens=False).ids, 2]
+        assert got.pop(r.doc_id) == (start, len(ids), zlib.crc32(struct.pack(f"<{len(ids)}I", *ids)))
+        start += len(ids)
+    assert not got
+
+
+def test_results_names_in_docs_are_refused(spark):
+    with pytest.raises(ValueError, match="results"):
+        bpe.encode_decode(spark.createDataFrame([(1, "a", "b")], "doc_id long, text string, ids string"), WORD)
