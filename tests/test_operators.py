@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 import random
 
 import numpy as np
@@ -48,6 +49,33 @@ def test_exact_quantiles(spark):
     assert close == pytest.approx(np.quantile(a, 0.85), abs=0.05)
 
 
+@pytest.mark.parametrize("keep", [1, 40, 10**6])
+def test_quantiles_narrow_to_the_same_values(spark, monkeypatch, keep):
+    monkeypatch.setattr(quantiles, "KEEP", keep)
+    rng = random.Random(4)
+    a = [rng.choice([0.0, 1e-300, -1e300, float("inf"), 7.0]) if i % 2 else rng.gauss(0, 1) ** 9 for i in range(6000)]
+    b = [5 if i % 3 else rng.randrange(10**12) for i in range(6000)]
+    df = spark.createDataFrame(list(zip(a, b)), "a double, b long").repartition(7)
+    ps = [0.0, 0.01, 0.3333, 0.5, 0.95, 0.999]
+    row = quantiles.exact_quantiles(df, {"a": ps, "b": ps}).first()
+    for name, values in (("a", sorted(a)), ("b", sorted(b))):
+        for p in ps:
+            at = p * 5999
+            low, high = values[int(at)], values[min(5999, int(at) + 1)]
+            if at - int(at) < 1e-9 or low == high:
+                assert row[quantiles.quantile_name(name, p)] == pytest.approx(low, rel=1e-12)
+            elif abs(high) != float("inf"):
+                assert row[quantiles.quantile_name(name, p)] == pytest.approx(low + (high - low) * (at - int(at)), rel=1e-12)
+
+
+def test_quantiles_with_nan_and_of_one_value(spark):
+    nan = float("nan")
+    df = spark.createDataFrame([(1.0, 2.0, None), (nan, 2.0, None), (3.0, 2.0, None), (None, 2.0, None), (2.0, 2.0, None)], "a double, b double, c double")
+    row = quantiles.exact_quantiles(df, {"a": [0.0, 0.5, 1.0], "b": [0.3], "c": [0.5]}).first()
+    assert tuple(row)[:2] == (1.0, 2.5) and math.isnan(row[2]) and tuple(row)[3:] == (2.0, None)
+    assert tuple(quantiles.exact_quantiles(df.limit(0), {"a": [0.5]}).first()) == (None,)
+
+
 def test_percentile_and_bands(spark):
     for n in (19, 20, 100):
         df = spark.createDataFrame([(i, float(i // 4)) for i in range(n)], "id long, s double")
