@@ -929,6 +929,35 @@ oracle(
                  ROUND(GREATEST(mean + width, 0), 4) AS upper_revenue, 'ok' AS status
           FROM ahead)""",
 )
+# The same fold for all series at once, over lists: level, trend, squares, total and then the season.
+oracle(
+    "forecast_ets_values",
+    """SELECT * FROM (
+          WITH listed AS (
+            SELECT customer_state, product_category, list(revenue ORDER BY order_date) AS y, MAX(order_date) AS last_date, COUNT(*) AS n
+            FROM daily_series GROUP BY 1, 2 HAVING COUNT(*) >= 35),
+          weeks AS (SELECT *, list_transform(range(n // 7), lambda w: list_sum(y[7 * w + 1 : 7 * w + 7]) / 7) AS m FROM listed),
+          slopes AS (SELECT *, (m[-1] - m[1]) / (7 * (len(m) - 1)) AS slope FROM weeks),
+          patterns AS (SELECT *, list_transform(range(7), lambda j: list_avg(list_transform(range(len(m)), lambda w: y[7 * w + j + 1] - m[w + 1] - slope * (j - 3)))) AS season FROM slopes),
+          weights AS (SELECT row_number() OVER (ORDER BY a, b, g) AS i, a, b, g FROM
+            (SELECT unnest([0.02, 0.05, 0.1, 0.2, 0.35, 0.5, 0.7, 0.9]::DOUBLE[]) AS a), (SELECT unnest([0.0, 0.01, 0.05, 0.15]::DOUBLE[]) AS b),
+            (SELECT unnest([0.0, 0.02, 0.05, 0.1, 0.25]::DOUBLE[]) AS g)),
+          folded AS (
+            SELECT customer_state, product_category, last_date, n, i, list_reduce(y, lambda s, v: list_concat(
+              [s[1] + s[2] + a * (v - s[1] - s[2] - s[5]), s[2] + a * b * (v - s[1] - s[2] - s[5]), s[3] + (v - s[1] - s[2] - s[5]) * (v - s[1] - s[2] - s[5]), s[4] + (v - s[1] - s[2] - s[5])],
+              s[6:11], [s[5] + g * (1 - a) * (v - s[1] - s[2] - s[5])]), list_concat([m[1] - slope * 4, slope, 0.0::DOUBLE, 0.0::DOUBLE], season)) AS s
+            FROM patterns, weights),
+          best AS (SELECT customer_state, product_category, last_date, n, arg_min(s, (s[3], i)) AS s FROM folded GROUP BY ALL),
+          ahead AS (
+            SELECT *, s[1] + h * s[2] + s[5 + (h - 1) % 7] AS mean, 1.2815515655446004::DOUBLE * sqrt((s[3] - s[4] * s[4] / n) / (n - 1)) * sqrt(h) AS width
+            FROM best, generate_series(1, 30) AS t(h))
+          SELECT CAST(last_date + to_days(CAST(h AS INT)) AS DATE) AS order_date, customer_state, product_category,
+                 ROUND(GREATEST(mean, 0), 2) AS forecast_revenue, ROUND(GREATEST(mean - width, 0), 2) AS lower_revenue,
+                 ROUND(GREATEST(mean + width, 0), 2) AS upper_revenue, 'ok' AS status
+          FROM ahead
+          UNION ALL SELECT NULL, customer_state, product_category, NULL, NULL, NULL, 'too short'
+          FROM daily_series GROUP BY customer_state, product_category HAVING COUNT(*) < 35)""",
+)
 _SCOPED = f"FROM ma_forecast WHERE product_category = '{TARGET_CATEGORY}' AND customer_state"
 oracle(
     "scope_forecast",

@@ -361,7 +361,8 @@ def forecast_sarima(spark, sf_dir):
 
 @query
 def forecast_ets_values(spark, sf_dir):
-    return forecast.forecast(_series(spark, sf_dir), "ets")
+    """Smoothing forecasts of every series, to cents."""
+    return _rounded(forecast.forecast(_series(spark, sf_dir), "ets"), "forecast_revenue", "lower_revenue", "upper_revenue", digits=2)
 
 
 @query
