@@ -2,53 +2,138 @@
 
 from __future__ import annotations
 
-from concurrent.futures import ThreadPoolExecutor
+from collections.abc import Iterator
+from fractions import Fraction
 
-from pyspark import StorageLevel
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import VectorAssembler
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from marketlens.operators.prep import standardize
 from marketlens.schemas import SEGMENT_FEATURES, SEGMENT_LABELS
+from marketlens.sources.scratch import materialize
+
+#: Places of the grid per standard deviation.
+GRID = 1 << 22
 
 
 class TooFewRowsError(ValueError):
     """Fewer customers than clusters."""
 
 
-def cluster_customers(
-    features: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42, parallelism: int = 4
-) -> DataFrame:
+def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """[point, run, centre]: squared distances, coordinate by coordinate, so a row's do not depend on its batch."""
+    out = np.zeros((len(points), *centres.shape[:2]))
+    for d in range(points.shape[1]):
+        out += (points[:, d, None, None] - centres[None, :, :, d]) ** 2
+    return out
+
+
+def _columns(batch: pa.RecordBatch, at: list[str]) -> np.ndarray:
+    return np.stack([batch.column(a).to_numpy() for a in at], axis=1)
+
+
+def _draws(ids: np.ndarray, runs: np.ndarray, step: int) -> np.ndarray:
+    """[point, run]: exponential draws from 64-bit hashes of ids."""
+    x = ids.astype(np.uint64)[:, None] ^ ((runs.astype(np.uint64) * np.uint64(1009) + np.uint64(step + 1)) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+        x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
+    return -np.log(((x >> np.uint64(11)) + 0.5) / 2.0**53)
+
+
+def _starts(points: DataFrame, at: list[str], k: int, restarts: int, seed: int) -> np.ndarray:
+    """[run, centre, coordinate]: a point drawn by the hash of its id, then points drawn by squared distance to
+    the centres so far. One scan draws the next centre of every run; a task sends one row per run."""
+    runs, names = np.arange(seed, seed + restarts), ["run", "race", "id", *at]
+    drawn = np.zeros((restarts, 0, len(at)))
+    for step in range(k):
+
+        def run(batches: Iterator[pa.RecordBatch], step: int = step, drawn: np.ndarray = drawn) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids, x = batch.column("_id").to_numpy(), _columns(batch, at)
+                race = _draws(ids, runs, step)
+                if step:
+                    far = _squared(x, drawn).min(axis=2)
+                    race = np.where(far > 0, race / np.maximum(far, 1e-300), 1e300)
+                first = np.lexsort((*x.T[::-1], ids))  # the order on a tie
+                best = first[race[first].argmin(axis=0)]
+                columns = [np.arange(len(runs)), race[best, np.arange(len(runs))], ids[best], *x[best].T]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
+
+        found = points.mapInArrow(run, "run long, race double, id long, " + ", ".join(f"{a} long" for a in at))
+        least = found.groupBy("run").agg(F.min(F.struct("race", "id", *at)).alias("best")).select("run", *[f"best.{a}" for a in at]).collect()
+        drawn = np.concatenate([drawn, np.array([tuple(r)[1:] for r in sorted(least)], float)[:, None, :]], axis=1)
+    return drawn
+
+
+def _cluster_sums(points: DataFrame, at: list[str], centres: np.ndarray) -> dict[tuple[int, int], tuple[int, ...]]:
+    """(run, cluster) -> size and sums of coordinates, all runs in one scan; a task sends a row per run and cluster."""
+    k = centres.shape[1]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((centres.shape[0] * k, 1 + len(at)), np.int64)
+        for batch in batches:
+            for start in range(0, batch.num_rows, 4096):
+                x = _columns(batch.slice(start, 4096), at)
+                slot = _squared(x, centres).argmin(axis=2) + np.arange(centres.shape[0]) * k
+                total[:, 0] += np.bincount(slot.reshape(-1), minlength=len(total))
+                for d in range(len(at)):
+                    # Whole numbers far below 2**53: exact in doubles.
+                    total[:, d + 1] += np.bincount(slot.reshape(-1), np.repeat(x[:, d], centres.shape[0]), len(total)).astype(np.int64)
+        some = np.flatnonzero(total[:, 0])
+        columns = [some // k, some % k, *total[some].T]
+        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "c", "n", *at])
+
+    each = points.select(*at).mapInArrow(run, "run long, c long, n long, " + ", ".join(f"{a} long" for a in at))
+    rows = each.groupBy("run", "c").agg(F.sum("n"), *[F.sum(a) for a in at]).collect()
+    return {(r[0], r[1]): tuple(r)[2:] for r in rows}
+
+
+def _nearest(at: list[str], centres: np.ndarray) -> Column:
+    """Which centre is nearest; the lower number on a tie."""
+    away = [sum(((F.col(a) - float(x)) * (F.col(a) - float(x)) for a, x in zip(at, centre, strict=True)), F.lit(0.0)) for centre in centres]
+    return F.least(*[F.struct(d.alias("d"), F.lit(c).alias("c")) for c, d in enumerate(away)]).getField("c")
+
+
+def cluster_customers(features: DataFrame, k: int = 4, restarts: int = 20, seed: int = 42, steps: int = 300) -> DataFrame:
     """Customers with a ``cluster`` from the best of several k-means runs.
 
-    The vectors are cached, because every iteration of every run reads them; a lost block is
-    recomputed from its input. Runs are submitted side by side, since each one alone leaves
-    executors idle between its iterations.
+    All runs go side by side: one scan assigns every point in all runs that still move and adds up
+    their clusters, so a step costs one job and brings k rows per run to the driver. Points are whole
+    multiples of a fine grid on the scaled features and starts come from hashes of ids, so sums, centres
+    and the best run are exact and do not depend on partitions.
     """
-    complete = features.dropna(subset=SEGMENT_FEATURES)
-    scaled = standardize(complete, SEGMENT_FEATURES)
-    vectors = (
-        VectorAssembler(inputCols=[f"{c}_z" for c in SEGMENT_FEATURES], outputCol="features")
-        .transform(scaled)
-        .select(*features.columns, "features")
-    )
-    points = vectors.select("features").persist(StorageLevel.MEMORY_AND_DISK)
-    try:
-        n = points.count()
-        if n < k:
-            raise TooFewRowsError(f"{n} customers cannot form {k} segments.")
-
-        def fit(run: int):
-            return KMeans(k=k, seed=seed + run, maxIter=300, tol=1e-9).fit(points)
-
-        with ThreadPoolExecutor(parallelism) as pool:
-            models = list(pool.map(fit, range(restarts)))
-    finally:
-        points.unpersist()
-    best = min(models, key=lambda m: m.summary.trainingCost)
-    return best.transform(vectors).select(*features.columns, F.col("prediction").alias("cluster"))
+    at = [f"_at{i}" for i in range(len(SEGMENT_FEATURES))]
+    scaled = standardize(features.dropna(subset=SEGMENT_FEATURES), SEGMENT_FEATURES)
+    placed = scaled.select(*features.columns, *[F.round(F.coalesce(F.col(f"{c}_z"), F.lit(0.0)) * GRID).cast("long").alias(a) for c, a in zip(SEGMENT_FEATURES, at, strict=True)])
+    placed = materialize(placed)
+    points = placed.select(F.xxhash64("customer_unique_id").alias("_id"), *at)
+    n = points.count()
+    if n < k:
+        raise TooFewRowsError(f"{n} customers cannot form {k} segments.")
+    centres = _starts(points, at, k, restarts, seed)
+    sums: list[dict[int, tuple[int, ...]]] = [{} for _ in range(restarts)]
+    moving = list(range(restarts))
+    for _ in range(steps):
+        if not moving:
+            break
+        found = _cluster_sums(points, at, centres[moving])
+        still = []
+        for i, r in enumerate(moving):
+            now = {c: found[i, c] for c in range(k) if (i, c) in found}
+            if now != sums[r]:
+                still.append(r)
+            sums[r] = now
+            for c, (size, *total) in now.items():  # a centre without points stays where it is
+                centres[r, c] = [t / size for t in total]
+        moving = still
+    # The least sum of squares is the largest sum of squared cluster sums over sizes.
+    spread = [sum(Fraction(total * total, size) for size, *totals in run.values() for total in totals) for run in sums]
+    best = centres[max(range(restarts), key=lambda r: (spread[r], -r))]
+    return placed.select(*features.columns, _nearest(at, best).alias("cluster"))
 
 
 def _average_rank(c: str, descending: bool = False) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import uniform
 from marketlens.plans import experiment, forecast, propensity, segments
+from marketlens.schemas import SEGMENT_FEATURES
 
 START = dt.date(2018, 1, 1)
 
@@ -169,6 +170,29 @@ def test_segments(spark):
         segments.cluster_customers(df.limit(3), restarts=1)
 
 
+def test_clusters_do_not_depend_on_partitions_and_reach_a_plain_optimum(spark):
+    rng = np.random.default_rng(12)
+    rows = [(i, *(float(x) for x in rng.normal(size=5) + rng.integers(0, 3))) for i in range(700)] + [(9000 + i, *[1.0] * 5) for i in range(50)]
+    names = ["recency_days", "order_count", "total_revenue", "avg_order_value", "category_count"]
+    df = spark.createDataFrame(rows, "customer_unique_id long, " + ", ".join(f"{n} double" for n in names))
+    found = [{r["customer_unique_id"]: r["cluster"] for r in segments.cluster_customers(df.repartition(n), restarts=8).collect()} for n in (1, 16)]
+    assert found[0] == found[1] and len(found[0]) == 750
+    used = df.toPandas()[SEGMENT_FEATURES].to_numpy()
+    z = (used - used.mean(axis=0)) / used.std(axis=0)
+    cluster = np.array([found[0][r[0]] for r in rows])
+    centres = np.array([z[cluster == c].mean(axis=0) for c in range(4)])
+    away = ((z[:, None, :] - centres[None]) ** 2).sum(axis=2)
+    assert (away.argmin(axis=1) == cluster).mean() > 0.999  # a fixed point of the plain algorithm
+    costs = []
+    for seed in range(20):
+        c = z[np.random.default_rng(seed).choice(len(z), 4, replace=False)]
+        for _ in range(200):
+            near = ((z[:, None, :] - c[None]) ** 2).sum(axis=2).argmin(axis=1)
+            c = np.array([z[near == k].mean(axis=0) if (near == k).any() else c[k] for k in range(4)])
+        costs.append(((z - c[near]) ** 2).sum())
+    assert ((z - centres[cluster]) ** 2).sum() <= min(costs) * 1.01
+
+
 @pytest.fixture(scope="module")
 def trial(spark, features):
     """The features with a known effect: customers of one state who first bought toys spend 800 more when treated."""
