@@ -208,6 +208,18 @@ oracle(
               order_purchase_timestamp, order_delivered_customer_date, order_estimated_delivery_date
        FROM t_orders""",
 )
+oracle(
+    "ab_test_latest",
+    """SELECT * FROM (WITH latest AS (
+         SELECT order_id, payment_value FROM valid_orders WHERE payment_value IS NOT NULL ORDER BY order_purchase_ts DESC, order_id DESC LIMIT 1000)
+       SELECT CASE WHEN CAST(('0x' || substr(md5(CAST(order_id AS VARCHAR)), 1, 8)) AS BIGINT) % 2 = 0 THEN 'control' ELSE 'treatment' END AS variant,
+              CASE WHEN payment_value >= (SELECT median(payment_value) FROM latest) THEN 1 ELSE 0 END AS converted, ROUND(payment_value, 4) AS order_value
+       FROM latest)""",
+)
+oracle(
+    "stored_fact_columns",
+    "SELECT customer_state, COUNT(*) AS orders, ROUND(SUM(payment_value), 4) AS revenue FROM fact_orders GROUP BY 1",
+)
 oracle("daily_sales_round_trip", "SELECT * FROM category_daily_sales")
 oracle(
     "metrics_json_round_trip",
@@ -434,6 +446,7 @@ for _name in ("dq_duplicate_keys", "dq_null_rates", "dq_referential_integrity",
 oracle("dq_row_counts", _union(_DQ["raw_counts"] + _DQ["processed_counts"]))
 _REPORT = _union([part for parts in _DQ.values() for part in parts])
 oracle("dq_report", _REPORT)
+oracle("dq_report_files", f"SELECT *, unnest(['json', 'csv']) AS format FROM ({_REPORT})")
 oracle(
     "dq_status_rollup",
     f"""SELECT CASE WHEN COUNT(*) FILTER (status = 'fail') > 0 THEN 'fail' ELSE 'pass' END AS overall_status,
@@ -724,7 +737,7 @@ oracle(
                        / GREATEST(stddev_pop(LEAST(GREATEST(repeat_probability, 0), 1)) OVER (), 1e-6) AS z,
                     AVG(outcome) OVER (PARTITION BY treatment) AS arm FROM participants)""",
 )
-_LEARNER = "Spark GBTRegressor"
+_LEARNER = "given predictions"
 CTES["overview"] = """
     SELECT COUNT(*) AS customers, CAST(SUM(treatment) AS BIGINT) AS treated, CAST(SUM(1 - treatment) AS BIGINT) AS controls,
            AVG(core * target) AS target_rate, AVG(outcome) AS average_outcome FROM participants"""
@@ -817,7 +830,7 @@ oracle(
     "method_comparison",
     _test_line("Difference in means", "Global ATE", "welch")
     + " UNION ALL "
-    + _test_line(f"R-learner + holdout AIPW ({_LEARNER})", "ATE inside top 5% predicted CATE segment", "segment_test"),
+    + _test_line(f"Holdout AIPW ({_LEARNER})", "ATE inside top 5% predicted CATE segment", "segment_test"),
 )
 oracle(
     "lesson_flags",

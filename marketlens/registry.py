@@ -101,6 +101,12 @@ def ab_test_sample(spark, sf_dir):
     return features.ab_test_sample(_fact(spark, sf_dir))
 
 
+@query
+def ab_test_latest(spark, sf_dir):
+    """The sample of the thousand latest paid orders: the limit is the feature."""
+    return _rounded(features.ab_test_sample(_fact(spark, sf_dir), 1000), "order_value", digits=4)
+
+
 # --- sources and sinks ---------------------------------------------------------------------------
 
 
@@ -133,6 +139,16 @@ def metrics_json_round_trip(spark, sf_dir):
     return _rounded(files.read_json(spark, path, record.schema), "repeat_customer_rate")
 
 
+@query
+def stored_fact_columns(spark, sf_dir):
+    """Two columns of the stored order facts, by registered name and in SQL."""
+    folder = scratch_path(spark)
+    files.write_parquet(_fact(spark, sf_dir), f"{folder}/fact_orders")
+    files.register_tables({"stored_facts": files.read_table(spark, folder, "fact_orders", ["customer_state", "payment_value"])})
+    found = spark.sql("SELECT customer_state, COUNT(*) AS orders, SUM(payment_value) AS revenue FROM stored_facts GROUP BY customer_state")
+    return _rounded(found, "revenue", digits=4)
+
+
 # --- growth views --------------------------------------------------------------------------------
 
 
@@ -273,6 +289,16 @@ def dq_report(spark, sf_dir):
     return _audit(spark, sf_dir)
 
 
+@query
+def dq_report_files(spark, sf_dir):
+    """The report written as JSON and as CSV, both read back."""
+    report, folder = materialize(_audit(spark, sf_dir)), scratch_path(spark)
+    files.write_json(report, f"{folder}/report.json")
+    path = files.write_csv(report, folder, "report")
+    found = {"json": files.read_json(spark, f"{folder}/report.json", report.schema), "csv": files.read_raw_csv(spark, path, report.schema, multi_line=False)}
+    return reduce(DataFrame.unionByName, [df.withColumn("format", F.lit(name)) for name, df in found.items()])
+
+
 @query
 def dq_status_rollup(spark, sf_dir):
     return quality.overall_status(_audit(spark, sf_dir))
@@ -699,7 +725,7 @@ def _holdout(rows: DataFrame) -> DataFrame:
 
 def _uplift(rows: DataFrame) -> DataFrame:
     train = prep.seeded_split(rows, "customer_unique_id", 0.5, experiment.SEED).filter("is_train = 1")
-    return experiment.uplift_result(train, materialize(_holdout(rows)))
+    return experiment.uplift_result(train, materialize(_holdout(rows)), learner=experiment.GIVEN)
 
 
 @query
@@ -723,7 +749,7 @@ def experiment_covariates(spark, sf_dir):
 
 @query
 def experiment_summary(spark, sf_dir):
-    out = experiment.experiment_summary(_participants(spark, sf_dir), _SCOPE)
+    out = experiment.experiment_summary(_participants(spark, sf_dir), _SCOPE, experiment.GIVEN)
     return _rounded(out, "target_rate", "average_outcome", digits=4)
 
 
@@ -836,7 +862,7 @@ def fitted_experiment_readout(spark, sf_dir):
 def experiment_readout(spark, sf_dir):
     """On given predictions, as in method_comparison."""
     rows = _participants(spark, sf_dir)
-    return reports.experiment_readout(experiment.experiment_summary(rows, _SCOPE), experiment.welch_test(rows), _uplift(rows))
+    return reports.experiment_readout(experiment.experiment_summary(rows, _SCOPE, experiment.GIVEN), experiment.welch_test(rows), _uplift(rows))
 
 
 # --- reports -------------------------------------------------------------------------------------
@@ -855,7 +881,7 @@ def executive_summary(spark, sf_dir):
     rows = _participants(spark, sf_dir)
     return reports.executive_summary(
         scoring.classification_metrics(rows, "repeat_probability", "repeat_purchase_label"),
-        experiment.experiment_summary(rows, _SCOPE),
+        experiment.experiment_summary(rows, _SCOPE, experiment.GIVEN),
         experiment.welch_test(rows),
         _uplift(rows),
     )
