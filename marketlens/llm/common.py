@@ -151,7 +151,7 @@ def salted(rows: DataFrame, keys: list[str], values: list[Column], salt: Column,
 
     Aggregates are combined before the shuffle and come back under the sub-keys that the group's rows use.
     """
-    rows = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)).cast("int"))
+    rows = rows.withColumn("_salt", F.pmod(F.xxhash64(salt), F.lit(SALTS)).cast("int"))
     groups = rows.groupBy(*keys).agg(*values, F.count("*").alias("_n"), F.collect_set("_salt").alias("_salts")).where(F.col("_n") >= least)
     return rows.join(groups.withColumn("_salt", F.explode("_salts")).drop("_salts", "_n"), [*keys, "_salt"]).drop("_salt")
 

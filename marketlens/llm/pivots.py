@@ -1,15 +1,16 @@
 """Embedding near-duplicates through a pivot-permutation index.
 
-A vector is described by its NEAREST reference points as a set: their order of closeness is not kept, which
-departs from a permutation index. Vectors at a small angle see nearly the same ones. The inverted lists are
-kept per unordered pair of reference points, which replaces counting shared ones: members of one list share
-two at least. Lists are verified in blocks of at most about BLOCK vectors against BLOCK: a task
-multiplies two blocks, counts links and passes on counts and a spanning forest, never the pairs. A pair
-that meets in several lists counts in the first one only.
-
-Reference points come from a bounded sample and stand apart from each other, so a group of near copies
-can't fill them; every vector is indexed. Equal vectors are one class with a count. Labels and vector
-lengths are part of every key. Recall is that of sharing two reference points; links are exact.
+A vector is described by its NEAREST reference points in order of closeness. It stands in the inverted lists of
+its first LEADS points; two vectors of one list whose descriptions share at least SHARED points are candidates,
+and candidates are verified by cosine in double precision. Lists are worked through in blocks of about
+BLOCK vectors against BLOCK: a task multiplies two blocks of descriptions (shared points) and of vectors
+(cosines), counts links and passes on counts and a spanning forest, never the pairs. A pair that meets in
+several lists counts in the first one only.
+
+Reference points come from a sample and stand apart from each other, so a group of near copies can't fill
+them. Their number grows with the square root of the table, so lists do too and work grows with the
+power 1.5 at most; the sample has SAMPLE rows a point. Every vector is indexed. Equal vectors are one class with
+a count. Labels and vector lengths are part of every key. Recall is that of the candidates; links are exact.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components, and rows without
 label, link with nothing (n_links 0, their own component, kept). Rows without vec_id take no part and are
@@ -18,19 +19,21 @@ kept. Repeated rows are vectors of their own that link with each other; other co
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
-from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from marketlens.llm.common import connected_components, salted, store
+from marketlens.llm.common import SALTS, connected_components, salted, store
 
 COSINE = 0.98
-#: Reference points; the sample they are picked from; the closeness two of them may have; how many describe a vector.
-PIVOTS, SAMPLE, APART, NEAREST = 128, 4096, 0.7, 6
+#: Reference points: at least these, and this many per square root of the vectors; sampled rows a point; the closeness two may have.
+LEAST_PIVOTS, PIVOTS, SAMPLE, APART = 128, 2, 16, 0.7
+#: Points that describe a vector; those of them whose lists hold it; shared points of a candidate pair.
+NEAREST, LEADS, SHARED = 8, 3, 3
 BLOCK = 512
 
 
@@ -45,13 +48,13 @@ def matrix(lists: pa.Array, width: int) -> np.ndarray:
     return out / np.linalg.norm(out, axis=1, keepdims=True)
 
 
-def choose_pivots(vectors: np.ndarray) -> np.ndarray:
-    """Up to PIVOTS rows, each less than APART close to those before; then the least close ones."""
+def choose_pivots(vectors: np.ndarray, most: int) -> np.ndarray:
+    """Up to `most` rows, each less than APART close to those before; then the least close ones."""
     chosen = np.zeros(0, np.int64)
     closeness = np.full(len(vectors), -1.0)
     for limit in (APART, 0.9, COSINE):
         for i in range(len(vectors)):
-            if len(chosen) == PIVOTS:
+            if len(chosen) == most:
                 return vectors[chosen]
             if closeness[i] < limit:
                 chosen = np.append(chosen, i)
@@ -61,22 +64,23 @@ def choose_pivots(vectors: np.ndarray) -> np.ndarray:
 
 
 def index_lists(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
-    """(rep, label, size, n, embedding, near, list): a row for each pair of the vector's nearest reference points."""
+    """(rep, label, size, n, embedding, near, list): a row for each leading point of the vector; `near` is its description."""
     held = reps.sparkSession.sparkContext.broadcast(pivots)
     k = min(NEAREST, len(pivots))
-    pairs = np.array(list(combinations(range(k), 2)) if k > 1 else [(0, 0)])
+    leads = min(LEADS, k)
+    chunk = max((1 << 21) // len(pivots), 16)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                close = matrix(part.column(4), held.value.shape[1]) @ held.value.T
-                near = np.sort(np.argpartition(-close, k - 1, axis=1)[:, :k], axis=1)
-                keys = (near[:, pairs[:, 0]] * PIVOTS + near[:, pairs[:, 1]]).astype(np.int32)
-                rows = np.repeat(np.arange(part.num_rows), keys.shape[1])
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, k), pa.int32()), pa.array(near.reshape(-1).astype(np.int32)))
+            for at in range(0, batch.num_rows, chunk):
+                part = batch.slice(at, chunk)
+                far = -(matrix(part.column(4), held.value.shape[1]) @ held.value.T)
+                near = np.argpartition(far, k - 1, axis=1)[:, :k]
+                near = np.take_along_axis(near, np.argsort(np.take_along_axis(far, near, axis=1), axis=1, kind="stable"), axis=1).astype(np.int32)
+                rows = np.repeat(np.arange(part.num_rows), leads)
+                lists = pa.ListArray.from_arrays(pa.array(np.arange(0, near.size + 1, k), pa.int32()), pa.array(near.reshape(-1)))
                 columns = [c.take(pa.array(rows)) for c in (*part.columns, lists)]
-                yield pa.RecordBatch.from_arrays([*columns, pa.array(keys.reshape(-1))], names=["rep", "label", "size", "n", "embedding", "near", "list"])
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(near[:, :leads].reshape(-1))], names=["rep", "label", "size", "n", "embedding", "near", "list"])
 
     kinds = dict(reps.dtypes)
     schema = f"rep long, label {kinds['label']}, size int, n long, embedding {kinds['embedding']}, near array<int>, list int"
@@ -84,20 +88,26 @@ def index_lists(reps: DataFrame, pivots: np.ndarray) -> DataFrame:
 
 
 def first_list(near_a: np.ndarray, near_b: np.ndarray) -> np.ndarray:
-    """The list of the first two reference points that both rows name; a single one pairs with itself."""
-    shared = (near_a[:, :, None] == near_b[:, None, :]).any(axis=2)
-    one = shared.argmax(axis=1)
-    rest = shared.copy()
-    rest[np.arange(len(rest)), one] = False
-    two = np.where(rest.any(axis=1), rest.argmax(axis=1), one)
-    rows = np.arange(len(near_a))
-    return near_a[rows, one] * PIVOTS + near_a[rows, two]
+    """The least leading point that both rows have: the list in which their pair counts."""
+    a, b = near_a[:, :LEADS], near_b[:, :LEADS]
+    both = (a[:, :, None] == b[:, None, :]).any(axis=2)
+    return np.where(both, a, np.iinfo(np.int32).max).min(axis=1)
+
+
+def shared_points(near_a: np.ndarray, near_b: np.ndarray) -> np.ndarray:
+    """How many reference points each row of `near_a` shares with each of `near_b`."""
+    points, at = np.unique(np.concatenate((near_a, near_b)), return_inverse=True)
+    at = at.reshape(-1, near_a.shape[1])
+    named = np.zeros((len(at), len(points)), np.float32)
+    np.put_along_axis(named, at, 1, axis=1)
+    return named[: len(near_a)] @ named[len(near_a) :].T
 
 
 def block_links(reps: np.ndarray, n: np.ndarray, side: np.ndarray, unit: np.ndarray, near: np.ndarray, key: int, cosine: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(rep, linked vectors, root of its links) for the members of one block pair that link with any other."""
     left, right = np.flatnonzero(side == side.min()), np.flatnonzero(side == side.max())
-    i, j = np.nonzero(unit[left] @ unit[right].T >= cosine)
+    candidates = shared_points(near[left], near[right]) >= min(SHARED, near.shape[1])
+    i, j = np.nonzero(candidates & (unit[left] @ unit[right].T >= cosine))
     i, j = left[i], right[j]
     if side.min() == side.max():
         i, j = i[i < j], j[i < j]
@@ -172,12 +182,13 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     valid = valid.withColumn("size", F.size("embedding"))
     reps = valid.groupBy("label", "size", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n"))
     reps = store(reps, "vectors")
-    width = reps.agg(F.max("size")).first()[0] or 1
-    # A bounded sample: SAMPLE vectors come to the driver.
-    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE).select("embedding").toArrow()
+    width, held = reps.agg(F.coalesce(F.max("size"), F.lit(1)), F.count("*")).first()
+    most = max(LEAST_PIVOTS, math.ceil(PIVOTS * math.sqrt(held)))
+    # SAMPLE * most vectors come to the driver, a number that grows with the square root of the table.
+    sample = reps.orderBy(F.xxhash64("rep"), "rep").limit(SAMPLE * most).select("embedding").toArrow()
     keys = ["label", "size", "embedding"]
     if sample.num_rows:
-        pivots = choose_pivots(matrix(sample.column("embedding").combine_chunks(), width))
+        pivots = choose_pivots(matrix(sample.column("embedding").combine_chunks(), width), most)
         found = store(linked(index_lists(reps, pivots), width, cosine), "links")
         label = connected_components(found.select("a", "b"))
         counts = found.groupBy("a").agg(F.sum("links").alias("links"))
@@ -185,9 +196,9 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
         classes = classes.select(*keys, (F.coalesce("links", F.lit(0)) + F.col("n") - 1).alias("links"), F.coalesce("component", "rep").alias("component"))
     else:
         classes = reps.select(*keys, F.lit(0).cast("long").alias("links"), F.col("rep").alias("component"))
-    salts = valid.groupBy(*keys).agg(F.collect_set(F.pmod("vec_id", F.lit(32))).alias("salts"))
+    salts = valid.groupBy(*keys).agg(F.collect_set(F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).alias("salts"))
     classes = classes.join(salts, keys).withColumn("salt", F.explode("salts")).drop("salts")
-    back = valid.withColumn("salt", F.pmod("vec_id", F.lit(32))).join(classes, [*keys, "salt"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
+    back = valid.withColumn("salt", F.pmod(F.xxhash64("vec_id"), F.lit(SALTS))).join(classes, [*keys, "salt"]).select("vec_id", F.col("links").alias("n_links"), F.col("component").alias("component_id"))
     alone = rows.where(~(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & some, F.lit(False))))
     result = back.union(alone.select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))

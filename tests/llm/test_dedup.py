@@ -6,9 +6,11 @@ import hashlib
 import random
 
 import numpy as np
+import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from marketlens.llm import common, minhash, pivots, suffix_dedup
+from marketlens.llm import common, minhash, pivots, queries, suffix_dedup
 from tests.llm.helpers import SCHEMA, components, documents, frame, shingles
 
 
@@ -151,3 +153,44 @@ def test_pivot_index_equals_brute_force(spark):
     assert [got[k] for k in (3000, 3001, 3002, 3003, 3004, 3005)] == [(0, k, True) for k in (3000, 3001, 3002, 3003, 3004, 3005)]
     assert got[None] == (0, None, True) and got[3006] == (1, 3006, True) and got[3007] == (1, 3006, False)
     assert pivots.near_duplicates(frame_.limit(0)).count() == 0
+
+
+def test_pivot_query_equals_brute_force(spark, tmp_path):
+    """The registered query over the test table and four near copies of every third vector."""
+    rng = np.random.default_rng(8)
+    table = spark.read.parquet("/root/testdata/sf0.01/embeddings.parquet").toPandas()
+    some = [v is not None and len(v) > 0 for v in table.embedding]
+    copies = [table[some].iloc[::3].assign(vec_id=lambda t, k=k: t.vec_id + 10_000 * k) for k in range(1, 5)]
+    for c in copies:
+        c["embedding"] = [(np.array(v, np.float32) + rng.normal(scale=0.08, size=len(v)) * np.abs(v).mean()).astype(np.float32) for v in c.embedding]
+    table = pd.concat([table, *copies], ignore_index=True)
+    spark.createDataFrame([(int(a), None if v is None else [float(x) for x in v], None if l != l else int(l)) for a, v, l in table[["vec_id", "embedding", "label"]].itertuples(index=False)], "vec_id long, embedding array<float>, label int").write.parquet(f"{tmp_path}/embeddings.parquet")
+    valid = [v is not None and len(v) > 0 and np.isfinite(np.array(v, float)).all() and np.any(v) and l == l for v, l in zip(table.embedding, table.label, strict=True)]
+    rows = table[valid].reset_index(drop=True)
+    unit = np.array(rows.embedding.tolist(), float)
+    unit /= np.linalg.norm(unit, axis=1, keepdims=True)
+    near = (unit @ unit.T >= 0.98) & (rows.label.values[:, None] == rows.label.values)
+    np.fill_diagonal(near, False)
+    order = np.argsort(rows.vec_id.values)
+    root = components(len(rows), zip(*np.nonzero(near[np.ix_(order, order)]), strict=True))
+    want = {int(v): (0, int(v), True) for v in table.vec_id}
+    ids = rows.vec_id.values[order]
+    want |= {int(ids[i]): (int(near[order[i]].sum()), int(ids[root[i]]), root[i] == i) for i in range(len(ids))}
+    got = {r.vec_id: (r.n_links, r.component_id, r.kept) for r in queries.op1_pivots(spark, str(tmp_path)).collect()}
+    assert near.sum() > 1000 and set(got) == set(want)
+    assert sum(g[0] for g in got.values()) >= 0.98 * near.sum() and all(got[k][0] <= want[k][0] for k in want)
+    assert sum(got[k] == want[k] for k in want) >= 0.98 * len(want)
+
+
+def test_descriptions_keep_order_and_count_shared_points():
+    near = np.array([[5, 2, 9, 1], [9, 5, 7, 1], [3, 8, 4, 6]], np.int32)
+    assert pivots.shared_points(near, near).tolist() == [[4, 3, 0], [3, 4, 0], [0, 0, 4]]
+    # Leading points are the closest three: rows 0 and 1 meet in the lists 5 and 9, and count in 5.
+    assert pivots.first_list(near[:1], near[1:2]).tolist() == [5]
+
+
+def test_sub_keys_of_ids_that_are_multiples_of_the_number_of_sub_keys(spark):
+    rows = spark.range(0, 64_000, 32).selectExpr("id", "1 as k")
+    assert rows.selectExpr(f"pmod(xxhash64(id), {common.SALTS}) as s").distinct().count() == common.SALTS
+    back = common.salted(rows, ["k"], [F.count("*").alias("c")], F.col("id"), 2)
+    assert back.columns == ["k", "id", "c"] and back.where("c = 2000").count() == 2000
