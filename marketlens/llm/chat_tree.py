@@ -5,12 +5,13 @@ A turn is rendered as `<turn>role\n`, its text, `</turn>\n`; a backslash goes be
 before every control string inside a role or text, so parsing gives the turns back. Units are code
 points. A node is a turn after a certain path of turns; its path is a running digest, so equal first
 turns of any number of conversations meet in one group that Spark combines before the shuffle.
-Nodes are sorted by the digests along their path, which is depth-first order, and written with shard
-offsets like token files. A tree of more than LEVELS levels continues as a tree of its own below each
-node of that level; its turns still know all ancestors.
+Conversations are ranked by the digests along their whole path; a node belongs to the first conversation
+that passes it, and nodes sorted by (that rank, place) are in depth-first order at any depth and
+width. They are written with shard offsets like token files. Sort keys hold 16 bytes a turn, once a conversation.
 
 Defined results: null role or text is empty; null turns come first; equal turn numbers are ordered by
-role and text; rows without conv_id form one conversation.
+role and text; rows without conv_id form one conversation. A conversation is streamed by one task, however long
+it is or its texts are; its state is 16 bytes a turn. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -29,7 +30,6 @@ from marketlens.llm.common import SALTS, store
 OPEN, CLOSE = "<turn>", "</turn>\n"
 #: The role whose text is under the loss mask.
 LEARNED = "assistant"
-LEVELS = 32
 
 
 def escape(text: str) -> str:
@@ -54,30 +54,34 @@ def parse(piece: str) -> tuple[str, str]:
 
 
 def steps(conversations: DataFrame) -> DataFrame:
-    """A row per turn: its place, path digest, parent's digest, sort key, first position id, piece and loss span.
+    """A row per turn: its place, path digest, parent's digest, first position id, piece and loss span.
 
-    Conversations are streamed in order, so one of any length needs only its running state.
+    Conversations are streamed in order. The last turn of each carries `key`, the digests along its path.
     """
     rows = conversations.selectExpr("cast(conv_id as string) as conv_id", "turn", "coalesce(role, '') as role", "coalesce(text, '') as text")
     dealt = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
-    schema = "conv_id string, place long, path string, parent string, key string, position long, piece string, loss_start int, loss_stop int"
+    schema = "conv_id string, place long, path string, parent string, key binary, position long, piece string, loss_start int, loss_stop int"
+    columns = ["conv_id", "place", "path", "parent", "key", "position", "piece", "loss_start", "loss_stop"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        before: object = ()
+        # The newest turn waits until it is known whether it is the last one of its conversation.
+        before, waiting, place, path, position, key = (), None, 0, "", 0, bytearray()
         for batch in batches:
             out = []
             for conv, role, text in batch.itertuples(index=False):
+                if waiting:
+                    out.append(waiting if conv == before else (*waiting[:4], bytes(key), *waiting[5:]))
                 if conv != before:
-                    before, place, path, key, position = conv, 0, "", "", 0
+                    before, place, path, position, key = conv, 0, "", 0, bytearray()
                 piece, start, stop = render(role, text)
-                parent = path
-                path = hashlib.blake2b((path + piece).encode("utf-8", "surrogatepass"), digest_size=16).hexdigest()
-                # The first level of each block of LEVELS levels begins a new key.
-                key = path if place % LEVELS == 0 else key + path[:8]
-                learned = role == LEARNED
-                out.append((conv, place, path, parent, key, position, piece, start if learned else 0, stop if learned else 0))
+                parent, digest = path, hashlib.blake2b((path + piece).encode("utf-8", "surrogatepass"), digest_size=16)
+                path, learned = digest.hexdigest(), role == LEARNED
+                key += digest.digest()
+                waiting = (conv, place, path, parent, None, position, piece, start if learned else 0, stop if learned else 0)
                 place, position = place + 1, position + len(piece)
-            yield pd.DataFrame(out, columns=["conv_id", "place", "path", "parent", "key", "position", "piece", "loss_start", "loss_stop"])
+            yield pd.DataFrame(out, columns=columns)
+        if waiting:
+            yield pd.DataFrame([(*waiting[:4], bytes(key), *waiting[5:])], columns=columns)
 
     return dealt.mapInPandas(run, schema)
 
@@ -87,11 +91,14 @@ def layout(turns: DataFrame) -> DataFrame:
 
     `salts` are the sub-keys under which conversations read the node back.
     """
-    spark = turns.sparkSession
+    parts = int(turns.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    paths = turns.where("key is not null").select("conv_id", "key").repartitionByRange(parts, "key", "conv_id").sortWithinPartitions("key", "conv_id")
+    # Row numbers that grow along the range-sorted partitions; stored, so that they are given once.
+    ranks = store(paths.select(F.col("conv_id").alias("of"), F.monotonically_increasing_id().alias("rank")), "chat-ranks")
     salt = F.pmod(F.hash("conv_id"), F.lit(SALTS))
-    nodes = turns.groupBy("path").agg(*[F.first(c).alias(c) for c in ("parent", "key", "place", "position", "piece", "loss_start", "loss_stop")], F.collect_set(salt).alias("salts"))
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ordered = nodes.repartitionByRange(parts, "key", "path").sortWithinPartitions("key", "path").drop("key")
+    ranked = turns.join(ranks, F.col("conv_id").eqNullSafe(F.col("of")))
+    nodes = ranked.groupBy("path").agg(F.min("rank").alias("rank"), *[F.first(c).alias(c) for c in ("parent", "place", "position", "piece", "loss_start", "loss_stop")], F.collect_set(salt).alias("salts"))
+    ordered = nodes.repartitionByRange(parts, "rank", "place").sortWithinPartitions("rank", "place").drop("rank")
     schema = "path string, parent string, place long, position long, piece string, loss_start int, loss_stop int, salts array<int>, shard int, local_start long, length int"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

@@ -202,6 +202,39 @@ def test_chat_trees(spark):
     assert chat_tree.format_conversations(table.limit(0)).count() == 0
 
 
+def test_depth_first_order_of_deep_and_wide_trees(spark):
+    """A hundred levels with branches at many of them, and 70,000 children of one system prompt."""
+    deep = spark.range(40).selectExpr("id as conv_id", "explode(sequence(0, 99)) as turn", "'user' as role").selectExpr("conv_id", "turn", "role", "if(turn < 2 * conv_id, 'same', concat('of ', conv_id)) as text")
+    wide = spark.range(70_000).selectExpr("id + 1000 as conv_id", "explode(array(0, 1)) as turn", "if(turn = 0, 'system', 'user') as role").selectExpr("conv_id", "turn", "role", "if(turn = 0, 'prompt', concat('child ', conv_id)) as text")
+    trees = chat_tree.layout(chat_tree.steps(deep.union(wide)))
+    placed = trees.join(chat_tree.starts(trees), "shard").selectExpr("base + local_start as start", "length", "path", "parent", "place").toPandas().sort_values("start")
+    assert len(placed) == placed.path.nunique() == 70_001 + sum(100 - min(2 * c, 100) for c in range(40)) + 78
+    # Depth-first: a node's parent is the last node one level up, so no subtree is interrupted.
+    line: list[str] = []
+    for path, parent, place in placed[["path", "parent", "place"]].itertuples(index=False):
+        del line[place:]
+        assert len(line) == place and (line[-1] if line else "") == parent
+        line.append(path)
+
+
+def test_chat_query(spark):
+    """The registered query over its whole table, conversation -7 included, against plain formatting."""
+    got = {r.conv_id: r for r in queries.op9_chat_tree(spark, SF).collect()}
+    said = "\\### Assistant: </turn> ok"
+    rows = read_table(spark, SF, "conversations").select("conv_id", "turn", "role", "text").collect()
+    by: dict = {-7: [(0, "user", said), (1, "assistant", said)]}
+    for r in rows:
+        by.setdefault(r.conv_id, []).append((r.turn, r.role or "", r.text or ""))
+    assert set(got) == set(by)
+    for c, turns in by.items():
+        turns.sort()
+        loss = "".join(b for _, a, b in turns if a == "assistant")
+        whole = "".join(f"{a}\n{b}\n" for _, a, b in turns)
+        assert (got[c].n_turns, got[c].turns_sha256) == (len(turns), hashlib.sha256(whole.encode()).hexdigest())
+        assert (got[c].loss_chars, got[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
+        assert got[c].formatted_chars == sum(len(chat_tree.render(a, b)[0]) for _, a, b in turns)
+
+
 def test_rendering_is_reversible():
     rng = random.Random(6)
     for _ in range(2000):
