@@ -1,14 +1,16 @@
 """WARC archives: a deterministic sharded writer with committed manifests, and a streaming reader.
 
-Write: byte counts over a fixed number of id ranges cut the ids into shards of about equal size; a task
-sorts the records of its shards, writes gzip members and rolls to the next file by compressed size.
-Headers, digests and record ids follow from the rows alone, so equal tables give equal files. A file is
-written under a temporary name of the task attempt; the manifest names those of successful attempts
-only, and the commit copies each to its final name and can be repeated.
+Write: pages are range-sorted by (page_id, payload hash) and their bytes added up, which cuts shards of about
+equal size wherever the ids lie; task i sorts the records of shard i, writes gzip members and rolls to the next
+file by compressed size. Headers, digests and record ids follow from the rows alone, so equal tables give
+equal files. A file is written under a temporary name of the task attempt; the manifest names those of
+successful attempts only, and the commit moves each to its final name and can be repeated.
 
 Defined results: null html is an empty payload; null URLs leave the target header out; rows without
 page_id come first and are responses unless a row with an id has the same payload; repeated rows with
-the smallest page_id of a payload are all responses.
+the smallest page_id of a payload are all responses. Rows that agree in page_id and payload share a shard. A
+payload of any length is one record; a task holds one record at a time besides its batch of rows. Other columns
+are not read.
 """
 
 from __future__ import annotations
@@ -17,19 +19,23 @@ import base64
 import hashlib
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 from typing import BinaryIO
 from urllib.parse import quote
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
-from pyspark.sql import DataFrame, SparkSession
+from pyspark import TaskContext
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from marketlens.llm.common import new_folder, salted, store
 
-#: Compressed bytes after which a file is closed; html bytes a shard is cut at; id ranges counted for that.
-FILE_BYTES, SHARD_BYTES, ID_RANGES = 16 << 20, 64 << 20, 4096
+#: Compressed bytes after which a file is closed; html bytes of a shard; bytes counted for the headers of a record.
+FILE_BYTES, SHARD_BYTES, HEAD_BYTES = 16 << 20, 64 << 20, 400
 #: Equal payloads of fewer bytes are stored again rather than referred to.
 LEAST_REVISIT_BYTES = 0
 #: The capture date of records whose table has none.
@@ -105,45 +111,67 @@ def parse(data: bytes) -> dict:
 
 
 def copies(pages: DataFrame) -> DataFrame:
-    """(page_id, digest, first): the smallest page_id with the same payload, for payloads met twice.
+    """(page_id, mark, digest, first): the smallest page_id with the same payload, for payloads met twice.
 
     Copies are counted per payload before the shuffle; payloads are looked up under as many sub-keys as
     their rows use, so that the copies of one payload go to many tasks. No html is moved here.
     """
     payload = F.coalesce("html", F.lit(""))
-    rows = pages.where(F.octet_length(payload) >= LEAST_REVISIT_BYTES).select(F.col("page_id").cast("long").alias("page_id"), F.sha1(payload.cast("binary")).alias("digest"))
-    found = salted(rows, ["digest"], [F.min("page_id").alias("first")], F.coalesce("page_id", F.lit(0)), 2)
-    return found.where("first is not null").select("page_id", "digest", "first").distinct()
-
-
-def shard_column(pages: DataFrame) -> tuple[F.Column, int]:
-    """The shard of a page, from byte counts over ID_RANGES equal id ranges: the same for the same table."""
-    ends = pages.agg(F.min("page_id").cast("long").alias("low"), F.max("page_id").cast("long").alias("high")).first()
-    if ends.low is None:
-        return F.lit(0), 1
-    step = (ends.high - ends.low) // ID_RANGES + 1
-    part = F.coalesce(F.floor((F.col("page_id") - ends.low) / F.lit(step)), F.lit(0)).cast("int")
-    # At most ID_RANGES rows come to the driver.
-    sizes = dict(pages.groupBy(part.alias("part")).agg(F.sum(F.coalesce(F.octet_length("html"), F.lit(0)) + 400)).collect())
-    shard, held, of = 0, 0, []
-    for i in range(max(sizes) + 1):
-        if held and held + sizes.get(i, 0) > SHARD_BYTES:
-            shard, held = shard + 1, 0
-        held += sizes.get(i, 0)
-        of.append(shard)
-    return F.element_at(F.lit(of), part + 1), shard + 1
-
-
-def write(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES) -> DataFrame:
+    rows = pages.where(F.octet_length(payload) >= LEAST_REVISIT_BYTES).select(F.col("page_id").cast("long").alias("page_id"), F.xxhash64(payload).alias("mark"), F.sha1(payload.cast("binary")).alias("digest"))
+    found = salted(rows, ["digest"], [F.min("page_id").alias("first")], F.coalesce("page_id", "mark"), 2)
+    return found.where("first is not null").select("page_id", "mark", "digest", "first").distinct()
+
+
+def shard_starts(pages: DataFrame, shard_bytes: int) -> list[tuple[bool, int, int]]:
+    """The first (has an id, page_id, payload hash) of every shard of about `shard_bytes`, in order.
+
+    No html moves: sorted keys with running byte counts are stored, and a number per partition and then a
+    key per shard come to the driver.
+    """
+    parts = int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    payload = F.coalesce("html", F.lit(""))
+    order = ["known", "page_id", "mark"]
+    keys = pages.select(F.col("page_id").isNotNull().alias("known"), F.coalesce(F.col("page_id").cast("long"), F.lit(0)).alias("page_id"), F.xxhash64(payload).alias("mark"), (F.octet_length(payload) + F.lit(HEAD_BYTES)).cast("long").alias("size"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, done = TaskContext.get().partitionId(), 0
+        for batch in batches:
+            ends = done + np.cumsum(batch.column(3).to_numpy())
+            before = ends - batch.column(3).to_numpy()
+            done = int(ends[-1]) if len(ends) else done
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(np.full(len(ends), part, np.int32)), pa.array(before), pa.array(ends)], names=[*order, "part", "before", "end"])
+
+    sorted_ = keys.repartitionByRange(parts, *order).sortWithinPartitions(*order)
+    counted = store(sorted_.mapInArrow(run, "known boolean, page_id long, mark long, part int, before long, end long"), "warc-bytes")
+    held = {r.part: r.size for r in counted.groupBy("part").agg(F.max("end").alias("size")).collect()}
+    bases, total = [0] * (max(held, default=0) + 1), 0
+    for i in range(len(bases)):
+        bases[i], total = total, total + held.get(i, 0)
+    place = F.element_at(F.lit(bases), F.col("part") + 1) + F.col("before")
+    firsts = counted.groupBy(F.floor(place / F.lit(shard_bytes)).alias("shard")).agg(F.min(F.struct(*order)).alias("first")).collect()
+    return sorted({(r.first.known, r.first.page_id, r.first.mark) for r in firsts})
+
+
+def shard_of(starts: list[tuple[bool, int, int]]) -> Column:
+    """The shard of a row of (page_id, mark): the last one that starts at or before it."""
+
+    @F.pandas_udf("int")
+    def find(known: pd.Series, page_id: pd.Series, mark: pd.Series) -> pd.Series:
+        return pd.Series([max(bisect_right(starts, key) - 1, 0) for key in zip(known.tolist(), page_id.tolist(), mark.tolist(), strict=True)], dtype="int32")
+
+    return find(F.col("page_id").isNotNull(), F.coalesce("page_id", F.lit(0)), "mark")
+
+
+def write(pages: DataFrame, folder: str | None = None, file_bytes: int = FILE_BYTES, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """Write the archives of (page_id, url, html) and return their manifest: file, shard, records, bytes, sha256."""
     spark = pages.sparkSession
     folder = folder or new_folder(spark, "warc")
-    shard, shards = shard_column(pages)
-    parts = max(shards, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    starts = shard_starts(pages, shard_bytes)
+    parts = max(len(starts), 1)
     # Facts about copies travel beside the records: sorted together, a page's facts come right before it.
-    records_ = pages.selectExpr("cast(page_id as long) as page_id", "url", "html", "cast(null as string) as digest", "cast(null as long) as first", "1 as kind")
-    facts = copies(pages).selectExpr("page_id", "cast(null as string) as url", "cast(null as string) as html", "digest", "first", "0 as kind")
-    dealt = records_.union(facts).withColumn("shard", shard).repartition(parts, "shard").sortWithinPartitions("shard", "page_id", "kind", "url", "html")
+    records_ = pages.selectExpr("cast(page_id as long) as page_id", "xxhash64(coalesce(html, '')) as mark", "url", "html", "cast(null as string) as digest", "cast(null as long) as first", "1 as kind")
+    facts = copies(pages).selectExpr("page_id", "mark", "cast(null as string) as url", "cast(null as string) as html", "digest", "first", "0 as kind")
+    dealt = records_.union(facts).withColumn("shard", shard_of(starts)).repartitionById(parts, F.col("shard")).sortWithinPartitions("shard", "page_id", "kind", "url", "html")
     schema = "shard int, part int, temporary string, records long, bytes long, sha256 string"
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:

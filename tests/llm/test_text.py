@@ -133,6 +133,35 @@ def test_archives_round_trip(spark, tmp_path):
     assert warc.read(warc.write(pages.limit(0), str(tmp_path / "c"))).count() == 0
 
 
+def test_shards_follow_bytes_not_ids(spark, tmp_path):
+    """4,000 pages, one of them with an id of 2**60, and 1,000 rows without id: shards stay equal, outlier or not."""
+    rows = spark.range(4000).selectExpr("id as page_id", "concat('u', id) as url", "repeat(md5(cast(id as string)), 20) as html")
+    outlier = spark.createDataFrame([(2**60, "u", "far")], "page_id long, url string, html string")
+    some = spark.range(1000).selectExpr("cast(null as long) as page_id", "'u' as url", "repeat(sha1(cast(id as string)), 16) as html")
+    sizes = []
+    for i, table in enumerate((rows, rows.union(outlier), rows.union(some))):
+        manifest = warc.write(table, str(tmp_path / str(i)), shard_bytes=200 * 1040)
+        sizes.append({r.shard: r.records for r in manifest.collect()})
+        assert sum(sizes[-1].values()) == table.count()
+        assert max(sizes[-1].values()) <= 202
+    assert sizes[0].items() <= {**sizes[1], 19: sizes[0][19]}.items() and len(sizes[2]) == 25
+    again = warc.write(rows.union(some).repartition(5), str(tmp_path / "again"), shard_bytes=200 * 1040)
+    files = lambda m: {(r.file, r.sha256) for r in m.collect()}
+    assert files(manifest) == files(again)
+
+
+def test_archive_query(spark):
+    """The registered query over its whole table against plain digests."""
+    rows = read_table(spark, SF, "pages").collect()
+    digest = {r.page_id: base64.b32encode(hashlib.sha1((r.html or "").encode()).digest()).decode() for r in rows}
+    first: dict = {}
+    for k in sorted(digest):
+        first.setdefault(digest[k], k)
+    want = {(k, len((next(r.html for r in rows if r.page_id == k) or "").encode()), d, "response" if first[d] == k else "revisit", None if first[d] == k else first[d]) for k, d in digest.items()}
+    got = queries.op3_warc(spark, SF).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to").collect()
+    assert len(got) == len(rows) and {tuple(r) for r in got} == want
+
+
 def test_damaged_archives_are_noticed():
     data = warc.member(warc.record(1, "u", "text", None, True))
     assert warc.parse(next(warc.records(io.BytesIO(data))))["payload"] == b"text"
