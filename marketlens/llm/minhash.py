@@ -221,3 +221,25 @@ def near_duplicates(docs: DataFrame, size: int = SHINGLE, percent: int = round(1
     rows = sketches.select("doc_id", "n_shingles", "digest", salt.alias("salt")).join(classes, ["digest", "salt"], "left")
     component = F.coalesce("component_id", "doc_id")
     return rows.select("doc_id", "n_shingles", component.alias("component_id"), F.coalesce(component == F.col("doc_id"), F.lit(True)).alias("kept"))
+
+
+#: What `op7_minhash` returns: shingles of three words, every pair that shares one, links by 85 %, least reachable doc_id.
+ORACLE = r"""
+WITH RECURSIVE words AS (
+    SELECT doc_id, regexp_extract_all(translate(ifnull(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w
+    FROM documents),
+sets AS (
+    SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+                        ELSE list_distinct([array_to_string(w[i : i + 2], ' ') for i in range(1, len(w) - 1)]) END AS grams
+    FROM words),
+grams AS (SELECT doc_id, len(grams) AS n, unnest(grams) AS gram FROM sets),
+links AS (
+    SELECT a.doc_id AS a, b.doc_id AS b FROM grams a JOIN grams b ON a.gram = b.gram AND a.doc_id <> b.doc_id
+    GROUP BY ALL HAVING 100 * count(*) >= 85 * (any_value(a.n) + any_value(b.n) - count(*))),
+reach AS (
+    SELECT doc_id AS id, doc_id AS other FROM documents
+    UNION
+    SELECT id, b FROM reach JOIN links ON other = a),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id)
+SELECT doc_id, CAST(len(grams) AS BIGINT) AS n_shingles, component_id, doc_id = component_id AS kept
+FROM sets JOIN least ON id = doc_id"""

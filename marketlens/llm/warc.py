@@ -264,3 +264,16 @@ def read(manifest: DataFrame, payloads: bool = True) -> DataFrame:
 
 def round_trip(spark: SparkSession, pages: DataFrame) -> DataFrame:
     return read(write(pages), payloads=False).drop("url")
+
+
+#: What `op3_warc` returns for pages with an id each; base32 letters come from groups of five of the digest's bits.
+ORACLE = """
+WITH hashed AS (SELECT page_id, strlen(ifnull(html, '')) AS size, sha1(ifnull(html, '')) AS hex FROM pages),
+named AS (SELECT *, min(page_id) OVER (PARTITION BY hex) AS first FROM hashed)
+SELECT page_id, CAST(size AS BIGINT) AS payload_bytes,
+       list_aggregate([substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567',
+                              1 + CAST((CAST('0x' || substr(hex, 1 + 5 * (i // 4), 5) AS BIGINT) >> (15 - 5 * (i % 4))) & 31 AS BIGINT), 1)
+                       for i in range(32)], 'string_agg', '') AS payload_digest,
+       CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> first THEN first END AS refers_to
+FROM named"""
