@@ -173,3 +173,23 @@ def format_conversations(conversations: DataFrame) -> DataFrame:
     rows = read_back(turns, layout(turns))
     kind = dict(conversations.dtypes)["conv_id"]
     return conversations_of(rows).withColumn("conv_id", F.col("conv_id").cast(kind))
+
+
+#: What `op9_chat_tree` returns; a formatted turn has 15 units around its role and text, and one more per escape.
+ORACLE = r"""
+WITH turns AS (
+    SELECT conv_id, turn, ifnull(role, '') AS role, ifnull(text, '') AS text FROM conversations
+    UNION ALL
+    SELECT -7, turn, role, '\### Assistant: </turn> ok' FROM (VALUES (0, 'user'), (1, 'assistant')) AS added(turn, role)),
+parts AS (
+    SELECT *, CASE WHEN role = 'assistant' THEN text ELSE '' END AS learned,
+           role || text AS said, length(role) - length(replace(role, chr(10), '')) AS lines
+    FROM turns),
+counted AS (
+    SELECT *, 15 + length(said) + lines + length(said) - length(replace(said, '\', ''))
+              + len(regexp_extract_all(role, '</?turn')) + len(regexp_extract_all(text, '</?turn')) AS size
+    FROM parts)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+       CAST(sum(length(learned)) AS BIGINT) AS loss_chars, sha256(string_agg(learned, '' ORDER BY turn NULLS FIRST, role, text)) AS loss_sha256,
+       CAST(sum(size) AS BIGINT) AS formatted_chars
+FROM counted GROUP BY conv_id"""

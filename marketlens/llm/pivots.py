@@ -202,3 +202,23 @@ def near_duplicates(vectors: DataFrame, cosine: float = COSINE) -> DataFrame:
     alone = rows.where(~(F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.coalesce(finite & some, F.lit(False))))
     result = back.union(alone.select("vec_id", F.lit(0).cast("long"), "vec_id"))
     return result.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+
+
+#: What `op1_pivots` returns where every link is retrieved: all pairs within a label, least reachable vec_id.
+ORACLE = """
+WITH RECURSIVE valid AS (
+    SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+    WHERE label IS NOT NULL AND len([x for x in embedding if x <> 0]) > 0
+      AND len([x for x in embedding if x IS NULL OR isnan(x) OR isinf(x)]) = 0),
+links AS (
+    SELECT a.vec_id AS a, b.vec_id AS b FROM valid a JOIN valid b
+        ON a.label = b.label AND len(a.v) = len(b.v) AND a.vec_id <> b.vec_id
+    WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (
+    SELECT vec_id AS id, vec_id AS other FROM embeddings
+    UNION
+    SELECT id, b FROM reach JOIN links ON other = a),
+least AS (SELECT id, min(other) AS component_id FROM reach GROUP BY id),
+degree AS (SELECT a, count(*) AS n FROM links GROUP BY a)
+SELECT vec_id, ifnull(n, 0) AS n_links, component_id, vec_id = component_id AS kept
+FROM embeddings JOIN least ON id = vec_id LEFT JOIN degree ON a = vec_id"""

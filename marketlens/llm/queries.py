@@ -80,4 +80,12 @@ def op13_gnat(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_pivots, op2_quality, op3_warc, op4_decontaminate, op5_url_filter, op6_token_files, op7_minhash, op8_suffix, op9_chat_tree, op10_bpe, op11_secrets, op12_resample, op13_gnat)
 }
-ORACLES: dict[str, str] = {"op3_warc": warc.ORACLE, "op7_minhash": minhash.ORACLE, "op4_decontaminate": decontaminate.ORACLE, "op12_resample": resample.ORACLE, "op13_gnat": gnat.ORACLE}
+ORACLES: dict[str, str] = {
+    "op1_pivots": pivots.ORACLE,
+    "op3_warc": warc.ORACLE,
+    "op4_decontaminate": decontaminate.ORACLE,
+    "op7_minhash": minhash.ORACLE,
+    "op9_chat_tree": chat_tree.ORACLE,
+    "op12_resample": resample.ORACLE,
+    "op13_gnat": gnat.ORACLE,
+}
