@@ -4,12 +4,13 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.functions.scalars import clean_feature_name, feature_label
+from marketlens.operators.logistic import fit_logistic, objective
 from marketlens.operators.prep import stratified_split
 from marketlens.operators.quantiles import with_row
 from marketlens.operators.scoring import (
@@ -55,13 +56,13 @@ def fit_scores(
     test_fraction: float = 0.25,
     seed: int = 42,
     min_count: int = 50,
-    max_iter: int = 1000,
+    max_steps: int = 100,
     gradient: bool = False,
 ) -> tuple[DataFrame, DataFrame]:
     """Scored customers (with ``is_train``) and the coefficient table, on request with the objective's gradient.
 
-    Class weights are n / (2 n_class). The penalty 1/n_train on already scaled features is the
-    same objective as a unit-strength L2 penalty on the summed loss.
+    Class weights are n / (2 n_class); the summed weighted loss plus half the squared norm of the coefficients
+    is brought to its only minimum by Newton steps, one scan of the training rows each.
     """
     rows = features.select(KEY, *REPEAT_NUMERIC, *REPEAT_CATEGORICAL, REPEAT_TARGET)
     rows = stratified_split(rows.filter(F.col(REPEAT_TARGET).isNotNull()), KEY, REPEAT_TARGET, test_fraction, seed)
@@ -73,36 +74,24 @@ def fit_scores(
         raise SingleClassError("All training rows have the same label.")
 
     matrix, names = design_matrix(rows, REPEAT_NUMERIC, REPEAT_CATEGORICAL, min_count=min_count)
-    matrix = materialize(matrix)
+    x = "_x"
+    matrix = materialize(matrix.select(*rows.columns, vector_to_array("features").alias(x)))
     total = pos + neg
     weight = F.when(F.col(REPEAT_TARGET) == 1, total / (2.0 * pos)).otherwise(total / (2.0 * neg))
-    model = LogisticRegression(
-        featuresCol="features",
-        labelCol=REPEAT_TARGET,
-        weightCol="weight",
-        regParam=1.0 / total,
-        elasticNetParam=0.0,
-        standardization=False,
-        maxIter=max_iter,
-        tol=1e-8,
-    ).fit(matrix.filter("is_train = 1").select("features", REPEAT_TARGET, weight.alias("weight")))
-
-    scored = model.transform(matrix).select(
-        *rows.columns, vector_to_array("probability")[1].alias(SCORE)
-    )
-    spark = features.sparkSession
-    raw = spark.createDataFrame(
-        [(i, name, float(c)) for i, (name, c) in enumerate(zip(names, model.coefficients, strict=True))],
-        "position int, name string, coefficient double",
-    )
-    drivers = raw.select("position", clean_feature_name("name").alias("feature"), "coefficient", F.abs("coefficient").alias("abs_coefficient"))
+    train = matrix.filter("is_train = 1").select(F.col(x).alias("x"), F.col(REPEAT_TARGET).alias("y"), weight.alias("w"))
+    model = fit_logistic(train, len(names), penalty=1.0, max_steps=max_steps)
+
+    scored = matrix.select(*rows.columns, model.probability(F.col(x)).alias(SCORE))
+    columns = "position int, name string, coefficient double"
+    lines = [(i, name, float(c)) for i, (name, c) in enumerate(zip(names, model.coefficients, strict=True))]
     if gradient:
-        # Derivative of the summed weighted loss plus half the squared norm: zero at the minimum.
-        fitted = model.transform(matrix.filter("is_train = 1"))
-        residual = weight * (vector_to_array("probability")[1] - F.col(REPEAT_TARGET))
-        parts = fitted.select(residual.alias("r"), F.posexplode(vector_to_array("features")).alias("position", "x"))
-        slopes = parts.filter("x <> 0").groupBy("position").agg(F.sum(F.col("r") * F.col("x")).alias("slope"))
-        drivers = drivers.join(slopes, "position", "left").withColumn("gradient", F.coalesce("slope", F.lit(0.0)) + F.col("coefficient")).drop("slope")
+        # Of the whole objective at the model, the intercept's beside each coefficient's.
+        slope = objective(train, np.append(model.intercept, model.coefficients))[1]
+        columns += ", gradient double, intercept_gradient double"
+        lines = [(*line, float(g), float(slope[0])) for line, g in zip(lines, slope[1:], strict=True)]
+    raw = features.sparkSession.createDataFrame(lines, columns)
+    drivers = raw.withColumns({"feature": clean_feature_name("name"), "abs_coefficient": F.abs("coefficient")})
+    drivers = drivers.select("position", "feature", "coefficient", "abs_coefficient", *raw.columns[3:])
     return materialize(scored), drivers.drop("position").orderBy(F.col("abs_coefficient").desc(), "feature")
 
 
@@ -151,7 +140,3 @@ def run_propensity(features: DataFrame, **options) -> PropensityResult:
         feature_importance=drivers,
         topk_summary=topk_lift(scored, SCORE, KEY, REPEAT_TARGET),
     )
-
-
-# The churn view of this product is the repeat-purchase model.
-run_churn = run_propensity

@@ -624,7 +624,8 @@ def propensity_model_metrics(spark, sf_dir):
 def feature_importance(spark, sf_dir):
     """Encoded features of the training rows, and whether the objective is flat there in every direction."""
     drivers = propensity.fit_scores(_repeat(spark, sf_dir), gradient=True)[1]
-    return drivers.select("feature", (F.abs("gradient") < 0.05 + 1e-3 * F.col("abs_coefficient")).alias("is_stationary"))
+    steepest = F.greatest(F.abs("gradient"), F.abs("intercept_gradient"))
+    return drivers.select("feature", (steepest < 1e-6).alias("is_stationary"))
 
 
 @query

@@ -120,7 +120,6 @@ def test_propensity(spark, features):
     assert result.state_summary.count() == 4 and result.category_summary.first()["first_product_category"] == "toys"
     lift = {r["population_slice"]: r for r in result.topk_summary.collect()}
     assert lift["Top 20%"]["customers"] == 800 and lift["Top 20%"]["lift_vs_baseline"] > 1.3
-    assert propensity.run_churn is propensity.run_propensity
 
 
 def test_propensity_needs_two_classes(spark, features):
@@ -153,7 +152,7 @@ def test_logistic_matches_newton(spark, features):
              .replace("categorical__first_customer_state_", "state=").replace("categorical__first_payment_type_", "payment=")
              for n_ in names]
     for name, value in zip(clean, beta[:-1], strict=True):
-        assert got[name] == pytest.approx(value, abs=2e-3)
+        assert got[name] == pytest.approx(value, abs=1e-9)
 
 
 def test_segments(spark):
