@@ -15,9 +15,9 @@ def fits(monkeypatch):
     """Rounds asked of each boosted model; the models themselves get two, to be fast."""
     asked, made = [], experiment._boosted
 
-    def boosted(label, rounds, *more):
+    def boosted(train, size, label, rounds, *more):
         asked.append((label, rounds))
-        return made(label, 2, *more)
+        return made(train, size, label, 2, *more)
 
     monkeypatch.setattr(experiment, "_boosted", boosted)
     return asked
@@ -29,7 +29,7 @@ def test_comparison_is_of_fitted_models(spark, fits, monkeypatch):
     table = {r["method"]: r for r in QUERIES["fitted_method_comparison"](spark, SF_DIR).collect()}
     assert fits == [("outcome", 140), ("pseudo_tau", 140)] and scores == [1]
     given = {r["method"]: r for r in QUERIES["method_comparison"](spark, SF_DIR).collect()}
-    fitted, hashed = "R-learner + holdout AIPW (Spark GBTRegressor)", "Holdout AIPW (given predictions)"
+    fitted, hashed = "R-learner + holdout AIPW (histogram gradient boosting)", "Holdout AIPW (given predictions)"
     assert fitted not in given and hashed not in table and table[fitted]["estimate"] is not None
     assert table[fitted]["estimate"] != given[hashed]["estimate"]
 
