@@ -221,6 +221,11 @@ oracle(
     "SELECT customer_state, COUNT(*) AS orders, ROUND(SUM(payment_value), 4) AS revenue FROM fact_orders GROUP BY 1",
 )
 oracle("daily_sales_round_trip", "SELECT * FROM category_daily_sales")
+oracle(
+    "monthly_refresh",
+    """SELECT s.*, strftime(order_date, '%Y-%m') = (SELECT strftime(MAX(order_purchase_timestamp), '%Y-%m') FROM t_orders) AS was_written
+       FROM category_daily_sales AS s""",
+)
 oracle(
     "metrics_json_round_trip",
     "SELECT ROUND(AVG(CASE WHEN order_count > 1 THEN 1 ELSE 0 END), 6) AS repeat_customer_rate FROM customer_features",
@@ -250,6 +255,11 @@ oracle(
                top_category, {label('top_category')} AS top_category_display
         FROM kpi""",
 )
+oracle(
+    "approximate_customers",
+    """SELECT customer_state, COUNT(*) AS order_rows, COUNT(DISTINCT customer_unique_id) AS customers, true AS error_in_bound
+       FROM fact_orders GROUP BY 1""",
+)
 oracle(
     "insight_lines",
     f"""SELECT 'Category leader' AS title, {label('top_category')} || ' brings in the most revenue here.' AS body FROM kpi
@@ -1024,7 +1034,7 @@ oracle(
 # Columns that hold sums of amounts or quotients of sums: both sides show four or six digits of them.
 _SHOWN = {
     "revenue": [
-        "category_daily_sales", "state_category_daily_sales", "daily_sales_round_trip", "daily_revenue", "top_categories",
+        "category_daily_sales", "state_category_daily_sales", "daily_sales_round_trip", "monthly_refresh", "daily_revenue", "top_categories",
         "top_states", "state_category_mix", "state_category_rollup", "forecast_scope", "forecast_scope_choices",
         "daily_series", "rolling_residuals", "forecast_overlay",
     ],

@@ -26,6 +26,7 @@ from marketlens.sources.files import (
     write_json,
     write_parquet,
 )
+from marketlens.sources.refresh import Refreshed, month_digests, month_of, of_months, refresh_monthly
 from marketlens.sources.scratch import materialize, scratch_run
 
 
@@ -56,6 +57,25 @@ def build_tables(spark: SparkSession, raw: dict[str, DataFrame], out_dir: str) -
     return tables
 
 
+def refresh_daily(spark: SparkSession, raw: dict[str, DataFrame], out_dir: str) -> dict[str, Refreshed]:
+    """Facts and daily sales after new or corrected raw rows: only months whose facts moved are written.
+
+    Facts are computed once. A month's daily sales come from that month's facts alone, so the sales tables read
+    the folders of the moved months and no others.
+    """
+    fact = materialize(fact_orders(raw))
+    digests = month_digests(fact, "order_purchase_ts")
+    done = {
+        "fact_orders": refresh_monthly(
+            spark, out_dir, "fact_orders", digests, lambda months: fact.filter(month_of("order_purchase_ts").isin(months)), "order_purchase_ts"
+        )
+    }
+    stored = read_table(spark, out_dir, "fact_orders")
+    for name, daily in (("category_daily_sales", features.category_daily_sales), ("state_category_daily_sales", features.state_category_daily_sales)):
+        done[name] = refresh_monthly(spark, out_dir, name, digests, lambda months, daily=daily: daily(of_months(stored, months)), "order_date")
+    return done
+
+
 def build_all(
     spark: SparkSession,
     raw: dict[str, DataFrame],

@@ -13,6 +13,7 @@ from marketlens.operators import prep, scoring
 from marketlens.operators.quantiles import with_row
 from marketlens.operators.ranking import running_totals
 from marketlens.plans import (
+    batch,
     dashboard,
     experiment,
     features,
@@ -159,6 +160,29 @@ def kpi_summary(spark, sf_dir):
     return _rounded(out, "avg_order_value", "late_delivery_rate", "repeat_customer_rate")
 
 
+@query
+def approximate_customers(spark, sf_dir):
+    """Distinct customers per state from merged sketches beside the exact count; within six standard errors of it."""
+    fact = materialize(_fact(spark, sf_dir))
+    merged = dashboard.approximate_customers(materialize(dashboard.customer_sketches(fact)), ["customer_state"])
+    exact = fact.groupBy("customer_state").agg(F.count_distinct("customer_unique_id").alias("customers"))
+    error = F.abs(F.col("approximate_customers") / F.col("customers") - 1)
+    joined = merged.join(exact.withColumnRenamed("customer_state", "_state"), F.col("customer_state").eqNullSafe(F.col("_state")))
+    return joined.select("customer_state", "order_rows", "customers", (error < 6 * 1.04 / 2**7).alias("error_in_bound"))
+
+
+@query
+def monthly_refresh(spark, sf_dir):
+    """Daily sales of a store that first lacked the newest month and was then refreshed with all orders."""
+    folder, raw = scratch_path(spark), binding.retail_tables(spark, sf_dir)
+    newest = F.date_format(F.max("order_purchase_timestamp"), "yyyy-MM").alias("newest")
+    earlier = with_row(raw["orders"], raw["orders"].agg(newest)).filter(F.date_format("order_purchase_timestamp", "yyyy-MM") < F.col("newest"))
+    batch.refresh_daily(spark, raw | {"orders": earlier.select(*raw["orders"].columns)}, folder)
+    done = batch.refresh_daily(spark, raw, folder)["category_daily_sales"]
+    sales = files.read_table(spark, folder, "category_daily_sales").drop(files.MONTH_COLUMN)
+    return sales.withColumn("was_written", F.date_format("order_date", "yyyy-MM").isin(done.written))
+
+
 @query
 def insight_lines(spark, sf_dir):
     fact = materialize(_fact(spark, sf_dir))
