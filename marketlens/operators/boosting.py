@@ -1,7 +1,9 @@
 """Boosted regression trees on binned features, grown from histograms that Spark adds up.
 
-A level of a tree is one scan: tasks count rows, gradients and weights per (node, feature, bin), Spark adds these up
-by slot and the driver picks each node's split, so nothing that grows with the rows leaves the executors. Gradients and
+Binned rows lie in blocks that executors keep, in memory or on disk. A level of a tree is one job over them: tasks count
+rows, gradients and weights per (node, feature, bin), Spark adds these up and the driver picks each node's split, so
+nothing that grows with the rows leaves the executors. Only left children are counted; what they leave of their parent is
+the right child. Gradients and
 weights are whole numbers on a fine grid, rows and columns of a tree are drawn by hashes, and cut points come from exact counts:
 the same rows give the same trees, however they are partitioned.
 """
@@ -13,22 +15,25 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark import RDD, StorageLevel
+from pyspark.sql import DataFrame, Row, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StructField, StructType
 
 from marketlens.sources.scratch import materialize
 
 #: Rows of a block inside a task; sums over one are exact in doubles.
-BLOCK = 8192
+BLOCK = 4096
 #: Bins per feature.
 BINS = 32
 #: Low bits of a double that cut points leave out: values closer than a thousandth of themselves share a bin.
 COARSE = 42
 #: Bytes of binned rows in a partition.
 PART_BYTES = 64 << 20
-#: Trees whose values are added anew in every scan before the running predictions are stored.
-STORE_EVERY = 35
+#: Trees whose values are added anew in every job before the running predictions are kept.
+STORE_EVERY = 8
+#: Histograms that the driver adds up itself; of more tasks, executors add them up first.
+SUMMED = 32
 _ALL_LEFT = 127
 
 
@@ -58,19 +63,24 @@ def _numbers(batch: pa.RecordBatch, name: str, size: int) -> np.ndarray:
 
 
 def _codes(x: np.ndarray, cuts: list[np.ndarray]) -> np.ndarray:
-    """Bin of every value: how many cut points it reaches."""
-    out = np.zeros(x.shape, np.int8)
+    """[feature, row]: bin of every value, how many cut points it reaches."""
+    out = np.zeros(x.shape[::-1], np.int8)
     for f, at in enumerate(cuts):
-        out[:, f] = np.searchsorted(at, x[:, f], "right")
+        out[f] = np.searchsorted(at, x[:, f], "right")
     return out
 
 
 def _walk(codes: np.ndarray, feature: np.ndarray, cut: np.ndarray, levels: int) -> np.ndarray:
     """Number of each row's node after so many levels."""
-    node, rows = np.zeros(len(codes), np.int64), np.arange(len(codes))
+    node, turns = np.zeros(codes.shape[1], np.int64), []
     for level in range(levels):
-        at = (1 << level) - 1 + node
-        node = 2 * node + (codes[rows, feature[at]] > cut[at])
+        first = (1 << level) - 1
+        right = [codes[feature[at]] > int(cut[at]) for at in range(first, 2 * first + 1)]
+        for turn in turns:  # the earlier turns, from the root, halve the nodes in question
+            half = len(right) // 2
+            right = [np.where(turn, right[half + i], right[i]) for i in range(half)]
+        turns.append(right[0])
+        node = 2 * node + right[0]
     return node
 
 
@@ -123,32 +133,33 @@ def cut_points(rows: DataFrame, x: str, size: int, bins: int = BINS) -> list[np.
     return cuts
 
 
-def _histogram(table: DataFrame, trees: list, tree: tuple[np.ndarray, np.ndarray], level: int, columns: np.ndarray, draw: tuple[int, int, float], rate: float, scales: tuple[float, float], size: int) -> np.ndarray:
-    """[node, feature, bin, (rows, gradient, weight)] of one level, in whole numbers."""
-    nodes, grid = 1 << level, (1 << level) * len(columns) * BINS
+def _histogram(blocks: RDD, trees: list, tree: tuple[np.ndarray, np.ndarray], level: int, columns: np.ndarray, draw: tuple[int, int, float], rate: float, scales: tuple[float, float]) -> np.ndarray:
+    """[node, feature, bin, (rows, gradient, weight)] of the root or of a level's left children, in whole numbers."""
+    nodes, each = max(1, 1 << level >> 1), len(columns) * BINS
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((3, grid), np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, BLOCK):
-                part = batch.slice(start, BLOCK)
-                seen = np.flatnonzero(_drawn(part.column("id").to_numpy(), *draw))
-                codes = _numbers(part, "codes", size)[seen]
-                y, w, value = (part.column(c).to_numpy()[seen] for c in ("y", "w", "value"))
-                gradient = np.rint((y - _added(value, codes, trees, rate)) * w * scales[0])
-                slot = (_walk(codes, *tree, level)[:, None] * len(columns) + np.arange(len(columns))) * BINS + codes[:, columns]
-                for i, amount in enumerate((np.ones(len(seen)), gradient, np.rint(w * scales[1]))):
-                    total[i] += np.bincount(slot.reshape(-1), np.repeat(amount, len(columns)), grid).astype(np.int64)
-        some = np.flatnonzero(total[0])
-        yield pa.RecordBatch.from_arrays([pa.array(some), *[pa.array(t[some]) for t in total]], names=["slot", "n", "g", "w"])
-
-    each = table.mapInArrow(run, "slot long, n long, g long, w long")
-    sums = each.groupBy("slot").agg(*[F.sum(c).alias(c) for c in ("n", "g", "w")]).toArrow()
-    out = np.zeros((grid, 3), np.int64)
-    slots = sums.column("slot").to_numpy()
-    for i, c in enumerate(("n", "g", "w")):
-        out[slots, i] = sums.column(c).to_numpy()
-    return out.reshape(nodes, len(columns), BINS, 3)
+    def run(part: Iterator[tuple]) -> Iterator[np.ndarray]:
+        total = np.zeros((3, nodes * each), np.int64)
+        for codes, ids, y, w, value in part:
+            node = _walk(codes, *tree, level)
+            seen = np.flatnonzero(_drawn(ids, *draw) & (node & 1 == 0))
+            if not len(seen):
+                continue
+            gradient = np.rint((y - _added(value, codes, trees, rate)) * w * scales[0])[seen]
+            weight = np.rint(w[seen] * scales[1])
+            slot = codes[columns][:, seen].astype(np.int64)
+            slot += (np.arange(len(columns)) * BINS)[:, None] + (node[seen] >> 1) * each
+            slot = slot.reshape(-1)
+            count = np.bincount(slot, minlength=nodes * each)
+            total[0] += count
+            total[1] += np.bincount(slot, np.tile(gradient, len(columns)), nodes * each).astype(np.int64)
+            if (weight == weight[0]).all():
+                total[2] += count * int(weight[0])
+            else:
+                total[2] += np.bincount(slot, np.tile(weight, len(columns)), nodes * each).astype(np.int64)
+        yield total
+
+    sums = blocks.mapPartitions(run).treeReduce(np.add, 1 if blocks.getNumPartitions() <= SUMMED else 2)
+    return np.moveaxis(sums.reshape(3, nodes, len(columns), BINS), 0, -1)
 
 
 def _ratio(gradient: np.ndarray, weight: np.ndarray, penalty: float) -> np.ndarray:
@@ -205,34 +216,42 @@ def fit_boosted(
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            codes = _codes(_numbers(batch, "x", size), cuts)
-            lists = pa.ListArray.from_arrays(np.arange(len(codes) + 1, dtype=np.int32) * size, pa.array(codes.reshape(-1)))
-            yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in ("id", "y", "w")], lists, pa.array(np.full(len(codes), base))], names=["id", "y", "w", "codes", "value"])
+            even = -(-batch.num_rows // max(1, -(-batch.num_rows // BLOCK)))  # blocks of a batch are of one size
+            for start in range(0, batch.num_rows, max(1, even)):
+                part = batch.slice(start, even)
+                numbers = [part.column(c).to_numpy().tobytes() for c in ("id", "y", "w")]
+                yield pa.RecordBatch.from_arrays([pa.array([b], pa.binary()) for b in (_codes(_numbers(part, "x", size), cuts).tobytes(), *numbers)], names=["codes", "id", "y", "w"])
 
-    def advanced(trees: list):
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                value = _added(batch.column("value").to_numpy(), _numbers(batch, "codes", size), trees, rate)
-                yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(value)], names=batch.schema.names)
+    def block(row: Row) -> tuple:
+        ids, y, w = (np.frombuffer(row[c], kind) for c, kind in (("id", np.int64), ("y", np.float64), ("w", np.float64)))
+        return np.frombuffer(row["codes"], np.int8).reshape(size, len(ids)), ids, y, w, np.full(len(ids), base)
 
-        return run
+    def advanced(trees: list):
+        return lambda b: (*b[:4], _added(b[4], b[0], trees, rate))
 
-    schema = "id long, y double, w double, codes array<tinyint>, value double"
-    parts = -(-n * (size + 32) // PART_BYTES)
-    table, kept = materialize(rows.mapInArrow(binned, schema)).coalesce(parts), 0
+    # A task a core, more where a part would grow large.
+    parts = max(-(-n * (size + 32) // PART_BYTES), min(-(-n // BLOCK), rows.sparkSession.sparkContext.defaultParallelism))
+    table = materialize(rows.mapInArrow(binned, "codes binary, id binary, y binary, w binary"))
+    blocks, kept = table.repartition(parts).rdd.map(block).persist(StorageLevel.MEMORY_AND_DISK), 0
     usable = np.flatnonzero([len(c) > 0 for c in cuts])
     for t in range(rounds if len(usable) else 0):
         if t - kept == STORE_EVERY:
-            table, kept = materialize(table.mapInArrow(advanced(model.trees[kept:]), schema)).coalesce(parts), t
+            later = blocks.map(advanced(model.trees[kept:])).persist(StorageLevel.MEMORY_AND_DISK)
+            later.count()
+            blocks.unpersist()
+            blocks, kept = later, t
         take = max(1, round(column_share * len(usable)))
         columns = np.sort(np.random.default_rng([seed, t]).choice(usable, take, replace=False))
         feature, cut, leaf = np.zeros((1 << depth) - 1, np.int64), np.full((1 << depth) - 1, _ALL_LEFT), np.zeros(1 << depth)
         for level in range(depth):
-            counts = _histogram(table, model.trees[kept:], (feature, cut), level, columns, (seed, t, row_share), rate, scales, size)
+            left = _histogram(blocks, model.trees[kept:], (feature, cut), level, columns, (seed, t, row_share), rate, scales)
+            counts = np.stack([left, parents - left], axis=1).reshape(-1, *left.shape[1:]) if level else left
+            parents = counts
             for node, (f, b, low, high) in enumerate(_splits(counts, scales, penalty, least_weight)):
                 at = (1 << level) - 1 + node
                 feature[at], cut[at] = columns[f], b
                 if level == depth - 1:
                     leaf[2 * node : 2 * node + 2] = low, high
         model.trees.append((feature, cut, leaf))
+    blocks.unpersist()
     return model

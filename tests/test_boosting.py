@@ -78,6 +78,28 @@ def test_samples_repeat_whatever_the_partitions(spark, monkeypatch):
     assert all(abs(s.mean() - 0.9) < 0.01 for s in shares) and 0.79 < (shares[0] & shares[1]).mean() < 0.83
 
 
+def test_a_level_is_one_job_of_one_stage(spark):
+    rows, sc, jobs = _rows(spark)[3].repartition(4), spark.sparkContext, []
+    for rounds in (2, 7):
+        sc.setJobGroup(f"fit-{rounds}", "boosting")
+        fit_boosted(rows, 5, rounds, seed=11)
+        found = [sc.statusTracker().getJobInfo(j) for j in sc.statusTracker().getJobIdsForGroup(f"fit-{rounds}")]
+        jobs.append((len(found), sum(len(j.stageIds) for j in found)))
+    sc._jsc.clearJobGroup()
+    # Stages that are skipped, those of the kept blocks, are listed with their job.
+    assert jobs[1][0] - jobs[0][0] == 5 * 3 and jobs[1][1] - jobs[0][1] <= 5 * 3 * 2
+
+
+def test_tasks_beyond_the_driver_share_the_sums(spark, monkeypatch):
+    rows = _rows(spark)[3]
+    plain = fit_boosted(rows, 5, 3, seed=11)
+    monkeypatch.setattr(boosting, "BLOCK", 64)
+    monkeypatch.setattr(boosting, "PART_BYTES", 2000)
+    monkeypatch.setattr(boosting, "SUMMED", 2)
+    for a, b in zip(plain.trees, fit_boosted(rows, 5, 3, seed=11).trees, strict=True):
+        assert all(np.array_equal(u, v) for u, v in zip(a, b, strict=True))
+
+
 def test_odd_inputs(spark):
     with pytest.raises(ValueError, match="positive weight"):
         fit_boosted(spark.createDataFrame([], SCHEMA), 2, 3, seed=1)
