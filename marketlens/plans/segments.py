@@ -7,7 +7,8 @@ from fractions import Fraction
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark import RDD, StorageLevel
+from pyspark.sql import Column, DataFrame, Row, Window
 from pyspark.sql import functions as F
 
 from marketlens.operators.prep import standardize
@@ -16,80 +17,97 @@ from marketlens.sources.scratch import materialize
 
 #: Places of the grid per standard deviation.
 GRID = 1 << 22
+#: Points of a block inside a task, and of a partition that is larger than a core's share.
+BLOCK, PART_ROWS = 2048, 1 << 21
+#: Sums that the driver adds up itself; of more tasks, executors add them up first.
+SUMMED = 32
 
 
 class TooFewRowsError(ValueError):
     """Fewer customers than clusters."""
 
 
-def _squared(points: np.ndarray, centres: np.ndarray) -> np.ndarray:
-    """[point, run, centre]: squared distances, coordinate by coordinate, so a row's do not depend on its batch."""
-    out = np.zeros((len(points), *centres.shape[:2]))
-    for d in range(points.shape[1]):
-        out += (points[:, d, None, None] - centres[None, :, :, d]) ** 2
+def _squared(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """[run, centre, point]: squared distances, coordinate by coordinate, so a row's do not depend on its block."""
+    out = np.zeros((*centres.shape[:2], x.shape[1]))
+    for d in range(len(x)):
+        away = x[d] - centres[:, :, d, None]
+        away *= away
+        out += away
     return out
 
 
-def _columns(batch: pa.RecordBatch, at: list[str]) -> np.ndarray:
-    return np.stack([batch.column(a).to_numpy() for a in at], axis=1)
-
-
 def _draws(ids: np.ndarray, runs: np.ndarray, step: int) -> np.ndarray:
-    """[point, run]: exponential draws from 64-bit hashes of ids."""
-    x = ids.astype(np.uint64)[:, None] ^ ((runs.astype(np.uint64) * np.uint64(1009) + np.uint64(step + 1)) * np.uint64(0x9E3779B97F4A7C15))[None, :]
+    """[run, point]: exponential draws from 64-bit hashes of ids."""
+    x = ids.astype(np.uint64)[None, :] ^ ((runs.astype(np.uint64) * np.uint64(1009) + np.uint64(step + 1)) * np.uint64(0x9E3779B97F4A7C15))[:, None]
     for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
         x = (x ^ (x >> np.uint64(shift))) * np.uint64(factor)
     return -np.log(((x >> np.uint64(11)) + 0.5) / 2.0**53)
 
 
-def _starts(points: DataFrame, at: list[str], k: int, restarts: int, seed: int) -> np.ndarray:
+def _point_blocks(points: DataFrame, at: list[str], n: int) -> RDD:
+    """(ids, [coordinate, point]) in blocks that executors keep, in memory or on disk, dealt over the cores."""
+
+    def packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for start in range(0, batch.num_rows, BLOCK):
+                part = batch.slice(start, BLOCK)
+                numbers = [part.column(c).to_numpy().tobytes() for c in ("_id", *at)]
+                yield pa.RecordBatch.from_arrays([pa.array([numbers[0]], pa.binary()), pa.array([b"".join(numbers[1:])], pa.binary())], names=["ids", "at"])
+
+    def block(row: Row) -> tuple[np.ndarray, np.ndarray]:
+        return np.frombuffer(row["ids"], np.int64), np.frombuffer(row["at"], np.int64).reshape(len(at), -1).astype(float)
+
+    parts = max(-(-n // PART_ROWS), min(-(-n // BLOCK), points.sparkSession.sparkContext.defaultParallelism))
+    blocks = points.mapInArrow(packed, "ids binary, at binary").repartition(parts)
+    return blocks.rdd.map(block).persist(StorageLevel.MEMORY_AND_DISK)
+
+
+def _starts(blocks: RDD, d: int, k: int, restarts: int, seed: int) -> np.ndarray:
     """[run, centre, coordinate]: a point drawn by the hash of its id, then points drawn by squared distance to
     the centres so far. One scan draws the next centre of every run; a task sends one row per run."""
-    runs, names = np.arange(seed, seed + restarts), ["run", "race", "id", *at]
-    drawn = np.zeros((restarts, 0, len(at)))
+    runs, drawn = np.arange(seed, seed + restarts), np.zeros((restarts, 0, d))
     for step in range(k):
 
-        def run(batches: Iterator[pa.RecordBatch], step: int = step, drawn: np.ndarray = drawn) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                ids, x = batch.column("_id").to_numpy(), _columns(batch, at)
+        def run(part: Iterator[tuple], step: int = step, drawn: np.ndarray = drawn) -> Iterator[list[tuple]]:
+            least = None
+            for ids, x in part:
                 race = _draws(ids, runs, step)
                 if step:
-                    far = _squared(x, drawn).min(axis=2)
+                    far = _squared(x, drawn).min(axis=1)
                     race = np.where(far > 0, race / np.maximum(far, 1e-300), 1e300)
-                first = np.lexsort((*x.T[::-1], ids))  # the order on a tie
-                best = first[race[first].argmin(axis=0)]
-                columns = [np.arange(len(runs)), race[best, np.arange(len(runs))], ids[best], *x[best].T]
-                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=names)
-
-        found = points.mapInArrow(run, "run long, race double, id long, " + ", ".join(f"{a} long" for a in at))
-        least = found.groupBy("run").agg(F.min(F.struct("race", "id", *at)).alias("best")).select("run", *[f"best.{a}" for a in at]).collect()
-        drawn = np.concatenate([drawn, np.array([tuple(r)[1:] for r in sorted(least)], float)[:, None, :]], axis=1)
+                first = np.lexsort((*x[::-1], ids))  # the order on a tie
+                best = first[race[:, first].argmin(axis=1)]
+                found = [(race[r, i], ids[i], *x[:, i]) for r, i in enumerate(best)]
+                least = [*map(min, least, found)] if least else found
+            if least:
+                yield least
+
+        least = blocks.mapPartitions(run).treeReduce(lambda a, b: [*map(min, a, b)], _depth(blocks))
+        drawn = np.concatenate([drawn, np.array([row[2:] for row in least], float)[:, None, :]], axis=1)
     return drawn
 
 
-def _cluster_sums(points: DataFrame, at: list[str], centres: np.ndarray) -> dict[tuple[int, int], tuple[int, ...]]:
+def _depth(blocks: RDD) -> int:
+    return 1 if blocks.getNumPartitions() <= SUMMED else 2
+
+
+def _cluster_sums(blocks: RDD, centres: np.ndarray) -> dict[tuple[int, int], tuple[int, ...]]:
     """(run, cluster) -> size and sums of coordinates, all runs in one scan; a task sends a row per run and cluster."""
-    k = centres.shape[1]
+    runs, k, size = centres.shape
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((centres.shape[0] * k, 1 + len(at)), np.int64)
-        for batch in batches:
-            for start in range(0, batch.num_rows, 4096):
-                x = _columns(batch.slice(start, 4096), at)
-                slot = _squared(x, centres).argmin(axis=2) + np.arange(centres.shape[0]) * k
-                total[:, 0] += np.bincount(slot.reshape(-1), minlength=len(total))
-                for d in range(len(at)):
-                    # Whole numbers far below 2**53: exact in doubles.
-                    total[:, d + 1] += np.bincount(slot.reshape(-1), np.repeat(x[:, d], centres.shape[0]), len(total)).astype(np.int64)
-        some = np.flatnonzero(total[:, 0])
-        columns = [some // k, some % k, *total[some].T]
-        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["run", "c", "n", *at])
-
-    each = points.select(*at).mapInArrow(run, "run long, c long, n long, " + ", ".join(f"{a} long" for a in at))
-    rows = each.groupBy("run", "c").agg(F.sum("n"), *[F.sum(a) for a in at]).collect()
-    return {(r[0], r[1]): tuple(r)[2:] for r in rows}
+    def run(part: Iterator[tuple]) -> Iterator[np.ndarray]:
+        total = np.zeros((1 + size, runs * k), np.int64)
+        for _, x in part:
+            slot = (_squared(x, centres).argmin(axis=1) + (np.arange(runs) * k)[:, None]).reshape(-1)
+            total[0] += np.bincount(slot, minlength=runs * k)
+            for d in range(size):
+                # Whole numbers far below 2**53: exact in doubles.
+                total[d + 1] += np.bincount(slot, np.tile(x[d], runs), runs * k).astype(np.int64)
+        yield total
+
+    sums = blocks.mapPartitions(run).treeReduce(np.add, _depth(blocks))
+    return {(i // k, i % k): tuple(int(v) for v in sums[:, i]) for i in np.flatnonzero(sums[0]).tolist()}
 
 
 def _nearest(at: list[str], centres: np.ndarray) -> Column:
@@ -114,13 +132,14 @@ def cluster_customers(features: DataFrame, k: int = 4, restarts: int = 20, seed:
     n = points.count()
     if n < k:
         raise TooFewRowsError(f"{n} customers cannot form {k} segments.")
-    centres = _starts(points, at, k, restarts, seed)
+    blocks = _point_blocks(points, at, n)
+    centres = _starts(blocks, len(at), k, restarts, seed)
     sums: list[dict[int, tuple[int, ...]]] = [{} for _ in range(restarts)]
     moving = list(range(restarts))
     for _ in range(steps):
         if not moving:
             break
-        found = _cluster_sums(points, at, centres[moving])
+        found = _cluster_sums(blocks, centres[moving])
         still = []
         for i, r in enumerate(moving):
             now = {c: found[i, c] for c in range(k) if (i, c) in found}
@@ -130,6 +149,7 @@ def cluster_customers(features: DataFrame, k: int = 4, restarts: int = 20, seed:
             for c, (size, *total) in now.items():  # a centre without points stays where it is
                 centres[r, c] = [t / size for t in total]
         moving = still
+    blocks.unpersist()
     # The least sum of squares is the largest sum of squared cluster sums over sizes.
     spread = [sum(Fraction(total * total, size) for size, *totals in run.values() for total in totals) for run in sums]
     best = centres[max(range(restarts), key=lambda r: (spread[r], -r))]

@@ -258,3 +258,22 @@ def test_r_learner_finds_the_helped_segment(trial):
     table = experiment.method_comparison(experiment.welch_test(trial), out.result).collect()
     assert [r["method"][:10] for r in table] == ["Difference", "R-learner "]
     assert all(r["reject_at_5pct"] in ("Yes", "No") for r in table)
+
+
+def test_kmeans_step_is_one_job_and_adds_up_all_blocks(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    x, centres = rng.integers(-(1 << 24), 1 << 24, (500, 3)), rng.normal(0, 1 << 23, (7, 4, 3))
+    points = spark.createDataFrame([(i, *r) for i, r in enumerate(x.tolist())], "_id long, a long, b long, c long").repartition(3)
+    monkeypatch.setattr(segments, "BLOCK", 64)
+    monkeypatch.setattr(segments, "SUMMED", 2)
+    blocks = segments._point_blocks(points, ["a", "b", "c"], 500)
+    assert blocks.getNumPartitions() > 2 and sorted(i for ids, _ in blocks.collect() for i in ids) == list(range(500))
+    nearest = ((x[:, None, None, :] - centres[None]) ** 2).sum(axis=3).argmin(axis=2)
+    plain = {(r, c): (int(own.sum()), *x[own].sum(axis=0).tolist()) for r in range(7) for c in range(4) if (own := nearest[:, r] == c).any()}
+    assert segments._cluster_sums(blocks, centres) == plain
+    monkeypatch.setattr(segments, "SUMMED", 32)
+    spark.sparkContext.setJobGroup("kmeans", "one step")
+    assert segments._cluster_sums(blocks, centres) == plain
+    assert len(spark.sparkContext.statusTracker().getJobIdsForGroup("kmeans")) == 1
+    spark.sparkContext._jsc.clearJobGroup()
+    blocks.unpersist()
