@@ -84,3 +84,18 @@ def test_results_do_not_depend_on_partitioning(spark, name):
         spark.conf.set("spark.sql.shuffle.partitions", old)
         spark.conf.set("spark.sql.adaptive.enabled", "true")
     assert results[0] == results[1]
+
+
+def test_pairs_of_items_are_dealt_into_parts_that_grow_with_the_items(spark):
+    rows = [(o, i, (o + i) % 7, o % 3, 2.0, 1.0) for o in range(40) for i in range(3)]
+    columns = "order_id long, order_item_id int, product_id long, seller_id long, price double, freight_value double"
+    products = spark.createDataFrame([(p, f"c{p}") for p in range(7)], "product_id long, product_category_name string")
+    english = spark.createDataFrame([], "product_category_name string, product_category_name_english string")
+    least = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    for parts in (1, 3 * least):
+        out = fact.item_summary(spark.createDataFrame(rows, columns).repartition(parts), products, english)
+        plan = plan_of(out)
+        dealt = {int(n) for n in re.findall(r"hashpartitioning\(order_id#\d+L, (?:product|seller)_id#\d+L, (\d+)\)", plan)}
+        assert dealt == {max(least, fact.PAIR_PARTS * parts)}
+        got = {r["order_id"]: (r["item_count"], r["distinct_product_count"], r["seller_count"], r["product_category"]) for r in out.collect()}
+        assert got == {o: (3, 3, 1, max(f"c{(o + i) % 7}" for i in range(3))) for o in range(40)}
