@@ -158,7 +158,8 @@ def _histogram(blocks: RDD, trees: list, tree: tuple[np.ndarray, np.ndarray], le
                 total[2] += np.bincount(slot, np.tile(weight, len(columns)), nodes * each).astype(np.int64)
         yield total
 
-    sums = blocks.mapPartitions(run).treeReduce(np.add, 1 if blocks.getNumPartitions() <= SUMMED else 2)
+    found = blocks.mapPartitions(run)
+    sums = np.sum(found.collect(), axis=0) if blocks.getNumPartitions() <= SUMMED else found.treeReduce(np.add, 2)
     return np.moveaxis(sums.reshape(3, nodes, len(columns), BINS), 0, -1)
 
 
@@ -195,11 +196,13 @@ def fit_boosted(
     column_share: float = 0.9,
     penalty: float = 1.0,
     least_weight: float = 1.0,
+    cuts: list[np.ndarray] | None = None,
 ) -> BoostedModel:
     """Least-squares boosting of ``y`` with weights ``w`` on the array ``x`` of ``size`` doubles.
 
     ``id`` (bigint) decides by hash which rows a tree sees; every tree draws its columns once. ``penalty`` is added to
     the weight of a leaf, and both sides of a split weigh ``least_weight`` at least. Rows without y or w do not count.
+    ``cuts`` are the cut points of an earlier model of the same rows; without them they are found here.
     """
     rows = rows.select("id", "x", F.col("y").cast("double").alias("y"), F.col("w").cast("double").alias("w")).dropna()
     n, top, heavy = rows.agg(F.count("*"), F.max(F.abs("y")), F.max("w")).first()
@@ -211,7 +214,7 @@ def fit_boosted(
     scales = tuple(2.0 ** (levels - room - int(np.ceil(np.log2(most)))) for room, most in ((10, largest), (0, heavy)))
     whole = lambda c, s: F.sum(F.rint(c * F.lit(s)).cast("long"))
     g, w = rows.agg(whole(F.col("y") * F.col("w"), scales[0]), whole(F.col("w"), scales[1])).first()
-    model = BoostedModel(cut_points(rows, "x", size), (g / scales[0]) / (w / scales[1]), rate)
+    model = BoostedModel(cut_points(rows, "x", size) if cuts is None else cuts, (g / scales[0]) / (w / scales[1]), rate)
     cuts, base = model.cuts, model.base
 
     def binned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -122,3 +122,16 @@ def test_r_learner_does_not_depend_on_partitions(spark):
         out = experiment.r_learner(trial.repartition(parts), rounds=4).scored.collect()
         found.append({r["customer_unique_id"]: (r["m_hat"], r["tau_hat"], r["aipw_score"], r["selected_segment"]) for r in out})
     assert len(found[0]) == 1200 and found[0] == found[1]
+
+
+def test_models_of_the_same_rows_share_their_cut_points(spark, monkeypatch):
+    rows, found, plain = _rows(spark)[3], [], boosting.cut_points
+    first = fit_boosted(rows, 5, 3, seed=11)
+    monkeypatch.setattr(boosting, "cut_points", lambda *a: found.append(1) or plain(*a))
+    for a, b in zip(first.trees, fit_boosted(rows, 5, 3, seed=11, cuts=first.cuts).trees, strict=True):
+        assert all(np.array_equal(u, v) for u, v in zip(a, b, strict=True))
+    assert not found
+    frame = experiment.experiment_frame(_features(spark, 300), None, label_as_score=True)
+    spent = frame.select("customer_unique_id", F.abs(F.xxhash64("customer_unique_id") % 90).cast("double").alias("outcome"))
+    experiment.r_learner(experiment.experiment_rows(frame, spent, experiment.Scope(("BA",), "toys")), rounds=1)
+    assert len(found) == 1
