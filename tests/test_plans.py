@@ -99,3 +99,11 @@ def test_pairs_of_items_are_dealt_into_parts_that_grow_with_the_items(spark):
         assert dealt == {max(least, fact.PAIR_PARTS * parts)}
         got = {r["order_id"]: (r["item_count"], r["distinct_product_count"], r["seller_count"], r["product_category"]) for r in out.collect()}
         assert got == {o: (3, 3, 1, max(f"c{(o + i) % 7}" for i in range(3))) for o in range(40)}
+
+
+def test_joins_of_the_facts_have_a_stated_number_of_partitions(spark, no_broadcast):
+    """Spark merges partitions that it numbered itself by their bytes; those of a stated number stay apart."""
+    plan = plan_of(fact.fact_orders(binding.retail_tables(spark, SF_DIR)))
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    stated = rf"Exchange hashpartitioning\(\w+#\d+L, {parts}\), REPARTITION_BY_NUM"
+    assert len(re.findall(stated, plan)) == 2  # by customer_id and by order_id
