@@ -107,3 +107,16 @@ def test_joins_of_the_facts_have_a_stated_number_of_partitions(spark, no_broadca
     parts = spark.conf.get("spark.sql.shuffle.partitions")
     stated = rf"Exchange hashpartitioning\(\w+#\d+L, {parts}\), REPARTITION_BY_NUM"
     assert len(re.findall(stated, plan)) == 2  # by customer_id and by order_id
+
+
+def test_stored_facts_are_dealt_by_order_and_others_are_not_moved_again(spark, no_broadcast):
+    columns = "customer_unique_id long, order_id long, order_status string, payment_value double, item_count long, is_late_delivery int, order_purchase_ts timestamp_ntz, product_category string"
+    lines = [(o % 3, o, "delivered", 2.0, 1, 0, None, f"c{o % 2}") for o in range(12)] + [(None, None, "delivered", 1.0, 1, 0, None, None)] * 2
+    rows = spark.createDataFrame(lines, columns)
+    by_order = r"Exchange hashpartitioning\(order_id#\d+L, \d+\), REPARTITION_BY_NUM"
+    counted = features.customer_features(rows)
+    assert len(re.findall(by_order, plan_of(counted))) == 1 and not re.search(r"hashpartitioning\(customer_unique_id#\d+L, order_id", plan_of(counted))
+    dealt = plan_of(features.customer_features(rows.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "order_id")))
+    assert len(re.findall(by_order, dealt)) == 3  # once in each of the three scans of the facts
+    got = {r["customer_unique_id"]: (r["order_count"], r["category_count"], r["total_revenue"]) for r in counted.collect()}
+    assert got == {0: (4, 2, 8.0), 1: (4, 2, 8.0), 2: (4, 2, 8.0), None: (0, 0, 2.0)}
