@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -61,7 +62,7 @@ def refresh_daily(spark: SparkSession, raw: dict[str, DataFrame], out_dir: str)
     """Facts and daily sales after new or corrected raw rows: only months whose facts moved are written.
 
     Facts are computed once. A month's daily sales come from that month's facts alone, so the sales tables read
-    the folders of the moved months and no others.
+    the folders of the moved months and no others, and count orders plainly where no id repeats in those months.
     """
     fact = materialize(fact_orders(raw))
     digests = month_digests(fact, "order_purchase_ts")
@@ -71,8 +72,14 @@ def refresh_daily(spark: SparkSession, raw: dict[str, DataFrame], out_dir: str)
         )
     }
     stored = read_table(spark, out_dir, "fact_orders")
+
+    @cache
+    def facts_of(*months: str) -> tuple[DataFrame, bool]:
+        rows = of_months(stored, [*months])
+        return rows, features.orders_are_unique(rows)
+
     for name, daily in (("category_daily_sales", features.category_daily_sales), ("state_category_daily_sales", features.state_category_daily_sales)):
-        done[name] = refresh_monthly(spark, out_dir, name, digests, lambda months, daily=daily: daily(of_months(stored, months)), "order_date")
+        done[name] = refresh_monthly(spark, out_dir, name, digests, lambda months, daily=daily: daily(*facts_of(*months)), "order_date")
     return done
 
 
