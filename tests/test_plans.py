@@ -8,7 +8,7 @@ import pytest
 
 from __spark_entry__ import oracle_sql, queries
 from marketlens.functions.scalars import within_dates
-from marketlens.plans import fact, features
+from marketlens.plans import fact, features, quality
 from marketlens.sources import binding
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -120,3 +120,16 @@ def test_stored_facts_are_dealt_by_order_and_others_are_not_moved_again(spark, n
     assert len(re.findall(by_order, dealt)) == 3  # once in each of the three scans of the facts
     got = {r["customer_unique_id"]: (r["order_count"], r["category_count"], r["total_revenue"]) for r in counted.collect()}
     assert got == {0: (4, 2, 8.0), 1: (4, 2, 8.0), 2: (4, 2, 8.0), None: (0, 0, 2.0)}
+
+
+def test_key_counts_have_a_stated_number_of_partitions(spark, no_broadcast):
+    """Keys shrink to a few bytes on the wire; partitions merged by their bytes would hold millions of them."""
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    child = spark.createDataFrame([(k,) for k in [1, 1, 2, 9, 9, None, None]], "k long")
+    parent = spark.createDataFrame([(k,) for k in [1, 2, 2, 3, None]], "k long")
+    checks = {"2": quality.missing_parents("x", child.filter("k IS NOT NULL"), "k", parent, "d"), "4": quality.missing_parents("x", child, "k", parent, "d"),
+              "3": quality.duplicate_keys("t", child, "k"), "1": quality.duplicate_keys("t", parent, "k")}
+    for value, check in checks.items():
+        assert len(re.findall(rf"Exchange hashpartitioning\(k#\d+L, {parts}\), REPARTITION_BY_NUM", plan_of(check))) == 1
+        assert [r["value"] for r in check.collect()] == [value]
+        assert "AQEShuffleRead coalesced" not in plan_of(check)
