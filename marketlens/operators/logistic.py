@@ -16,6 +16,8 @@ from pyspark.sql import functions as F
 
 #: Rows of a block inside a task.
 BLOCK = 8192
+#: Terms of a score that are written out one by one; of more features, Spark folds the array.
+WRITTEN = 100
 
 
 class NotConvergedError(RuntimeError):
@@ -30,8 +32,13 @@ class LogisticModel:
 
     def probability(self, x: Column) -> Column:
         """P(label = 1) for an array of features; terms are added in the order of the array."""
-        weights = F.array(*[F.lit(float(c)) for c in self.coefficients])
-        z = F.aggregate(F.zip_with(x, weights, lambda a, b: a * b), F.lit(float(self.intercept)), lambda s, t: s + t)
+        weights = [F.lit(float(c)) for c in self.coefficients]
+        z = F.lit(float(self.intercept))
+        if len(weights) <= WRITTEN:  # written out, Spark compiles the sum
+            for i, c in enumerate(weights):
+                z = z + F.get(x, F.lit(i)) * c
+        else:
+            z = F.aggregate(F.zip_with(x, F.array(*weights), lambda a, b: a * b), z, lambda s, t: s + t)
         return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 
 

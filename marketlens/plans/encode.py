@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
-from pyspark.ml.feature import OneHotEncoder, StringIndexer, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.ml.feature import StringIndexer
+from pyspark.ml.functions import array_to_vector
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from marketlens.operators.prep import (
@@ -17,19 +17,19 @@ from marketlens.operators.prep import (
 from marketlens.operators.quantiles import frozen, with_row
 
 
-def design_matrix(
+def design_entries(
     df: DataFrame,
     numeric: list[str],
     categorical: list[str],
     train: str = "is_train",
     min_count: int = 50,
     method: str = "exact",
-) -> tuple[DataFrame, list[str]]:
-    """Add a ``features`` vector to every row; returns it with the names of its entries.
+) -> tuple[DataFrame, list[Column], list[str]]:
+    """The rows with their scaled numbers and the places of their categories' levels, the matrix's entries over these columns, and their names.
 
-    Medians, modes, means, deviations and category levels come from rows with ``train`` = 1.
-    The unseen-level slot is the one the encoder drops, so an unseen category is all zeros and
-    every training level keeps its own entry.
+    The added columns are few, so they are what to store: entries are plain expressions, built anew in every scan. Medians, modes, means, deviations and category levels come from rows with ``train`` = 1.
+    Every training level has its own entry and an unseen category is all zeros. A number that is missing or NaN after
+    filling is an error.
     """
     fit_rows = df.filter(F.col(train) == 1)
     fills = with_row(fit_medians(fit_rows, numeric, method), fit_modes(fit_rows, categorical))
@@ -52,14 +52,29 @@ def design_matrix(
         handleInvalid="keep",
         stringOrderType="alphabetAsc",
     )
-    encoder = OneHotEncoder(
-        inputCols=indexer.getOutputCols(), outputCols=[f"{c}_onehot" for c in levels], dropLast=True
-    )
-    assembler = VectorAssembler(
-        inputCols=[f"{c}_z" for c in numbers] + encoder.getOutputCols(), outputCol="features"
+    fitted = indexer.fit(prepared.filter(is_train))
+    scaled = [F.col(f"{c}_z") for c in numbers]
+    bad = F.raise_error(F.lit("Encountered null or NaN in a scaled number of the design matrix.")).cast("double")
+    placed = fitted.transform(prepared).select(
+        *df.columns,
+        *[F.when(z.isNull() | F.isnan(z), bad).otherwise(z + F.lit(0.0)).alias(f"_number_{i}") for i, z in enumerate(scaled)],
+        *[F.col(c).cast("int").alias(f"_place_{i}") for i, c in enumerate(indexer.getOutputCols())],
     )
-    fitted = Pipeline(stages=[indexer, encoder, assembler]).fit(prepared.filter(is_train))
-    names = list(numbers)
-    for group, labels in zip(groups, fitted.stages[0].labelsArray, strict=True):
+    entries, names = [F.col(f"_number_{i}") for i in range(len(numbers))], list(numbers)
+    for i, (group, labels) in enumerate(zip(groups, fitted.labelsArray, strict=True)):
+        entries += [(F.col(f"_place_{i}") == place).cast("double") for place in range(len(labels))]
         names += [f"{group}_{label}" for label in labels]
-    return fitted.transform(prepared).select(*df.columns, "features"), names
+    return placed, entries, names
+
+
+def design_matrix(
+    df: DataFrame,
+    numeric: list[str],
+    categorical: list[str],
+    train: str = "is_train",
+    min_count: int = 50,
+    method: str = "exact",
+) -> tuple[DataFrame, list[str]]:
+    """Add a ``features`` vector of the entries to every row; returns it with their names."""
+    placed, entries, names = design_entries(df, numeric, categorical, train, min_count, method)
+    return placed.select(*df.columns, array_to_vector(F.array(*entries)).alias("features")), names

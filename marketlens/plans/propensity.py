@@ -5,7 +5,6 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
-from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -21,7 +20,7 @@ from marketlens.operators.scoring import (
     score_summary,
     topk_lift,
 )
-from marketlens.plans.encode import design_matrix
+from marketlens.plans.encode import design_entries
 from marketlens.schemas import REPEAT_CATEGORICAL, REPEAT_NUMERIC, REPEAT_TARGET
 from marketlens.sources.scratch import materialize
 
@@ -73,15 +72,14 @@ def fit_scores(
     if 0 in (pos, neg):
         raise SingleClassError("All training rows have the same label.")
 
-    matrix, names = design_matrix(rows, REPEAT_NUMERIC, REPEAT_CATEGORICAL, min_count=min_count)
-    x = "_x"
-    matrix = materialize(matrix.select(*rows.columns, vector_to_array("features").alias(x)))
+    matrix, entries, names = design_entries(rows, REPEAT_NUMERIC, REPEAT_CATEGORICAL, min_count=min_count)
+    matrix, x = materialize(matrix), F.array(*entries)
     total = pos + neg
     weight = F.when(F.col(REPEAT_TARGET) == 1, total / (2.0 * pos)).otherwise(total / (2.0 * neg))
-    train = matrix.filter("is_train = 1").select(F.col(x).alias("x"), F.col(REPEAT_TARGET).alias("y"), weight.alias("w"))
+    train = matrix.filter("is_train = 1").select(x.alias("x"), F.col(REPEAT_TARGET).alias("y"), weight.alias("w"))
     model = fit_logistic(train, len(names), penalty=1.0, max_steps=max_steps)
 
-    scored = matrix.select(*rows.columns, model.probability(F.col(x)).alias(SCORE))
+    scored = matrix.select(*rows.columns, model.probability(x).alias(SCORE))
     columns = "position int, name string, coefficient double"
     lines = [(i, name, float(c)) for i, (name, c) in enumerate(zip(names, model.coefficients, strict=True))]
     if gradient:

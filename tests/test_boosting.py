@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 
 from marketlens.operators import boosting
 from marketlens.operators.boosting import cut_points, fit_boosted
-from marketlens.plans import experiment
+from marketlens.plans import experiment, propensity
+from marketlens.plans.encode import design_matrix
 from tests.test_models import _features
 
 SCHEMA = "id long, x array<double>, y double, w double"
@@ -135,3 +136,59 @@ def test_models_of_the_same_rows_share_their_cut_points(spark, monkeypatch):
     spent = frame.select("customer_unique_id", F.abs(F.xxhash64("customer_unique_id") % 90).cast("double").alias("outcome"))
     experiment.r_learner(experiment.experiment_rows(frame, spent, experiment.Scope(("BA",), "toys")), rounds=1)
     assert len(found) == 1
+
+
+def _with_levels(spark, n=900, levels=30):
+    rng = np.random.default_rng(5)
+    level = np.minimum(rng.integers(0, 2 * levels, n), levels)  # half of the rows have none
+    x = np.column_stack([rng.normal(size=n), *[(level == k).astype(float) for k in range(levels)], rng.random(n) < 0.3])
+    y = 30.0 * (level == 4) - 20.0 * (level == 9) * x[:, -1] + 3 * x[:, 0] + rng.normal(size=n)
+    return x, y, spark.createDataFrame([(i * 7919, r.tolist(), float(v), 1.0) for i, (r, v) in enumerate(zip(x, y, strict=True))], SCHEMA)
+
+
+def test_work_of_a_level_grows_with_categories_not_with_their_levels(spark, monkeypatch):
+    x, y, rows = _with_levels(spark)
+    found, plain = [], boosting._histogram
+    monkeypatch.setattr(boosting, "_histogram", lambda *a: found.append(plain(*a)) or found[-1])
+    model = fit_boosted(rows.repartition(3), x.shape[1], 4, seed=3, rate=0.3, row_share=1.0, column_share=1.0)
+    value = np.full(len(y), y.mean())
+    for _ in range(4):
+        value += 0.3 * _grow(x, y - value, np.ones(len(y)), model.cuts, 3, 1.0, 1.0)(x)
+    got = {r["id"]: r["p"] for r in model.predict(rows, "x", "p").collect()}
+    assert [got[i * 7919] for i in range(len(y))] == pytest.approx(value, abs=1e-6)
+    # A number, a category and a flag that meets its levels: not 32 bins for each of 32 features.
+    assert {f.size // len(f) // 3 for f in found} == {boosting.BINS + 31 + 2}
+    # Below the root the smaller child of each node is counted.
+    seen = [f[..., 0].sum() for f in found]
+    assert all(2 * seen[3 * t + level] <= seen[3 * t] for t in range(4) for level in (1, 2))
+
+
+def test_bins_stand_for_the_numbers(spark):
+    x, _, rows = _with_levels(spark)
+    first = fit_boosted(rows, x.shape[1], 3, seed=11)
+    plain = {r["id"]: r["p"] for r in first.predict(rows, "x", "p").collect()}
+    binned = first.predict(rows, "x", "p", bins=True)
+    assert dict(binned.dtypes)["x"] == "binary" and {r["id"]: r["p"] for r in binned.collect()} == plain
+    again = first.predict(binned.drop("p").repartition(3), "x", "p")
+    assert {r["id"]: r["p"] for r in again.collect()} == plain
+    other = fit_boosted(binned.drop("p"), x.shape[1], 3, seed=12, cuts=first.cuts)
+    for a, b in zip(fit_boosted(rows, x.shape[1], 3, seed=12).trees, other.trees, strict=True):
+        assert all(np.array_equal(u, v) for u, v in zip(a, b, strict=True))
+
+
+def test_models_store_no_matrix_of_doubles(spark, monkeypatch):
+    stored = []
+    for plan in (experiment, propensity):
+        plain = plan.materialize
+        monkeypatch.setattr(plan, "materialize", lambda df, plain=plain: stored.append(df) or plain(df))
+    features = _features(spark, 300)
+    scored = propensity.fit_scores(features)[0]
+    spent = features.select("customer_unique_id", F.abs(F.xxhash64("customer_unique_id") % 90).cast("double").alias("outcome"))
+    experiment.run_experiment(features, scored, spent, experiment.Scope(("BA",), "toys"), rounds=1)
+    assert len(stored) > 5 and not [d for df in stored for _, d in df.dtypes if "array" in d or "vector" in d]
+
+
+def test_the_matrix_takes_no_missing_number(spark):
+    rows = spark.createDataFrame([(1, None, "a"), (1, None, "b")], "is_train int, x double, c string")
+    with pytest.raises(Exception, match="null or NaN"):
+        design_matrix(rows, ["x"], ["c"], min_count=1)[0].collect()

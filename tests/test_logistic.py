@@ -6,6 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from marketlens.operators import logistic
 from marketlens.operators.logistic import NotConvergedError, fit_logistic, objective
 from marketlens.plans import propensity
 from tests.test_models import _features
@@ -75,3 +76,12 @@ def test_propensity_does_not_depend_on_partitions(spark):
         found.append({r["feature"]: r["coefficient"] for r in drivers})
     assert found[0].keys() == found[1].keys()
     assert max(abs(found[0][k] - found[1][k]) for k in found[0]) < 1e-9
+
+
+def test_scores_written_out_equal_folded_ones(spark, monkeypatch):
+    rows = _rows(spark)[3].select("x").union(spark.createDataFrame([(None,)], "x array<double>"))
+    model = logistic.LogisticModel(np.array([0.3, -1.7, 2.5, 1e-9]), -0.4, 1)
+    written = [r[0] for r in rows.select(model.probability(F.col("x"))).collect()]
+    monkeypatch.setattr(logistic, "WRITTEN", 0)
+    folded = rows.select(model.probability(F.col("x")))
+    assert written == [r[0] for r in folded.collect()] and written.count(None) == 1
